@@ -58,35 +58,27 @@ def equals_literal(column: str, literal: str) -> Column:
 
 
 def sharing_value(df: DataFrame, value: str, key: str) -> DataFrame:
-    """Rows whose value also occurs under another key, with the number of those partners and the first.
+    """Rows whose value also occurs under another key, with the number of those partners and one of them.
 
-    One row per record: the partners of a record are all records with its value, so listing every pair
-    would repeat each group as often as it has members.
+    One row per record: the partners of a record are all other records with its value, so listing every
+    pair would repeat each group as often as it has members. The named partner is the smallest key of
+    the group, or the largest for the smallest itself.
     """
-    low = F.min(key)
-    groups = df.where(F.col(value).isNotNull()).groupBy(value).agg(
-        F.count("*").alias("_n"), low.alias("_first")
+    groups = (
+        df.groupBy(value)
+        .agg(F.count("*").alias("_n"), F.min(key).alias("_low"), F.max(key).alias("_high"))
+        .where("_n > 1")
     )
-    groups = groups.where("_n > 1")
-    rest = (
-        df.join(groups, value)
-        .where(F.col(key) > F.col("_first"))
-        .groupBy(value)
-        .agg(F.min(key).alias("_second"))
-    )
-    groups = groups.join(rest, value)
+    is_low = F.col(key) == F.col("_low")
     return df.join(groups, value).select(
         *df.columns,
         (F.col("_n") - 1).alias("partners"),
-        F.when(F.col(key) == F.col("_first"), F.col("_second"))
-        .otherwise(F.col("_first"))
-        .alias("first_partner"),
+        F.when(is_low, F.col("_high")).otherwise(F.col("_low")).alias("partner"),
     )
 
 
 def pair_counts(df: DataFrame, group: list[str]) -> DataFrame:
     """Number of unordered pairs of records within each group, without building them."""
-    n = F.col("records")
     return (
         df.groupBy(*group)
         .agg(F.count("*").alias("records"))

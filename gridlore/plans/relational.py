@@ -165,7 +165,8 @@ def join_bridge(spark, sf):
 
 
 @query("self_join_same_value", """
-SELECT s.s_suppkey, s.s_nationkey, count(*) AS partners, min(t.s_suppkey) AS first_partner
+SELECT s.s_suppkey, s.s_nationkey, count(*) AS partners,
+       CASE WHEN s.s_suppkey < min(t.s_suppkey) THEN max(t.s_suppkey) ELSE min(t.s_suppkey) END AS partner
 FROM supplier s JOIN supplier t ON s.s_nationkey = t.s_nationkey AND s.s_suppkey <> t.s_suppkey
 GROUP BY s.s_suppkey, s.s_nationkey
 """)
@@ -186,7 +187,7 @@ def self_join_pairs(spark, sf):
         events,
         ["user_id", "event_type"],
         ["event_id"],
-        F.floor(F.col("event_id") / 100_000),
+        F.floor(F.col("event_id") / 1_000_000),
         {"event_id": "next_event_id"},
     ).where("next_event_id IS NOT NULL")
 
