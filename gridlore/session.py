@@ -49,9 +49,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores; larger inputs keep their own splits unshuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a table scan with fewer splits than cores before costly per-row work.
+
+    Larger inputs have more splits than cores and stay as they are, without a shuffle. To be used on a
+    plain scan: asking a plan with shuffles for its partitions would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
