@@ -1,0 +1,110 @@
+"""Scoring of Arrow batches of chunks against a block of queries; runs inside tasks.
+
+The module is pickled by value, so that executors need numpy and pyarrow but not this package.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+
+# Fixed values of the score.
+WORD_BONUS = 0.3
+MAX_SCORE = 1.0
+TIE_DIGITS = 9
+
+MATRIX_CELLS = 8_000_000
+NO_HIT = -np.inf
+
+
+def word_scorer(token_sets: list[list[str]]) -> Callable[[pa.ListArray], np.ndarray]:
+    """Score = share of the query's words that the chunk has, plus a bonus, at most 1."""
+    vocabulary = pa.array(sorted({t for s in token_sets for t in s}), pa.string())
+    sizes = np.array([max(len(s), 1) for s in token_sets], dtype=np.float64)
+    asked = np.zeros((len(vocabulary), len(token_sets)), dtype=np.float32)
+    for q, words in enumerate(token_sets):
+        at = pc.index_in(pa.array(words, pa.string()), value_set=vocabulary).to_numpy(zero_copy_only=False)
+        asked[at.astype(np.int64), q] = 1.0
+
+    def score(chunks: pa.ListArray) -> np.ndarray:
+        words = pc.index_in(chunks.flatten(), value_set=vocabulary)
+        known = pc.is_valid(words).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(chunks)), pc.list_value_length(chunks).to_numpy(zero_copy_only=False))
+        has = np.zeros((len(chunks), len(vocabulary)), dtype=np.float32)
+        has[rows[known], words.drop_null().to_numpy(zero_copy_only=False)] = 1.0
+        shared = (has @ asked).astype(np.float64)
+        return np.where(shared > 0, np.minimum(MAX_SCORE, shared / sizes + WORD_BONUS), NO_HIT)
+
+    return score
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+
+
+def vector_scorer(vectors: list[list[float]]) -> Callable[[pa.ListArray], np.ndarray]:
+    """Score = inner product of the unit vectors."""
+    asked = unit_rows(np.array(vectors, dtype=np.float64)).T
+
+    def score(chunks: pa.ListArray) -> np.ndarray:
+        flat = chunks.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return np.round(unit_rows(flat.reshape(len(chunks), -1)) @ asked, TIE_DIGITS)
+
+    return score
+
+
+class Best:
+    """The k best chunks per query seen so far: highest score first, then lowest ordinal."""
+
+    def __init__(self, n_queries: int, k: int) -> None:
+        self.scores = np.full((n_queries, k), NO_HIT)
+        self.ordinals = np.full((n_queries, k), np.iinfo(np.int64).max)
+        self.extras: dict[int, tuple] = {}
+        self.k = k
+
+    def add(self, scores: np.ndarray, ordinals: np.ndarray, extras: list[pa.Array]) -> None:
+        last, last_ordinal = self.scores[:, -1], self.ordinals[:, -1]
+        better = (scores > last) | ((scores == last) & (ordinals[:, None] < last_ordinal))
+        better &= scores > NO_HIT
+        for q in np.flatnonzero(better.any(axis=0)):
+            rows = np.flatnonzero(better[:, q])
+            s = np.concatenate([self.scores[q], scores[rows, q]])
+            o = np.concatenate([self.ordinals[q], ordinals[rows]])
+            order = np.lexsort((o, -s))[: self.k]
+            self.scores[q], self.ordinals[q] = s[order], o[order]
+            if extras:
+                for r in rows[order[order >= self.k] - self.k]:
+                    self.extras[int(ordinals[r])] = tuple(e[int(r)].as_py() for e in extras)
+
+    def rows(self, query_ids: pa.Array, names: list[str], schema: pa.Schema) -> pa.RecordBatch:
+        q, place = np.nonzero(self.scores > NO_HIT)
+        ordinals = self.ordinals[q, place]
+        columns = [query_ids.take(pa.array(q)), pa.array(ordinals), pa.array(self.scores[q, place])]
+        for i, _ in enumerate(names):
+            columns.append(pa.array([self.extras[int(o)][i] for o in ordinals], schema.field(3 + i).type))
+        return pa.RecordBatch.from_arrays(
+            [c.cast(f.type) for c, f in zip(columns, schema)], schema=schema
+        )
+
+
+def scan(best: Best, score, batch, extras: list[str], width: int) -> None:
+    step = max(1, MATRIX_CELLS // max(width, 1))
+    for start in range(0, batch.num_rows, step):
+        part = batch.slice(start, step)
+        keys = part.column("key")
+        if isinstance(keys, pa.ChunkedArray):
+            keys = keys.combine_chunks()
+        best.add(
+            score(keys),
+            part.column("ordinal").to_numpy(),
+            [part.column(e) for e in extras],
+        )
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,30 +36,35 @@ QUESTION_TYPES = {
     "filter": "where|with|having",
 }
 
+# Each pattern stands with the parts one of which a matching text must contain.
 MENTION_PATTERNS = [
-    rf"({WORD})\s*[=<>!]",
-    rf"(?i)({WORD})\s+(?:is|are|was|were)\s+",
-    rf"(?i)({WORD})\s+(?:has|have)\s+",
-    rf"(?i)({WORD})\s+(?:greater|less|more|above|below)",
-    rf"(?i)count\s+of\s+({WORD})",
-    rf"(?i)sum\s+of\s+({WORD})",
-    rf"(?i)avg\s+of\s+({WORD})",
-    rf"(?i)top\s+[0-9]+\s+({WORD})",
-    rf"(?i)by\s+({WORD})",
+    (rf"({WORD})\s*[=<>!]", ["=", "<", ">", "!"]),
+    (rf"(?i)({WORD})\s+(?:is|are|was|were)\s+", ["is", "are", "was", "were"]),
+    (rf"(?i)({WORD})\s+(?:has|have)\s+", ["has", "have"]),
+    (
+        rf"(?i)({WORD})\s+(?:greater|less|more|above|below)",
+        ["greater", "less", "more", "above", "below"],
+    ),
+    (rf"(?i)count\s+of\s+({WORD})", ["count"]),
+    (rf"(?i)sum\s+of\s+({WORD})", ["sum"]),
+    (rf"(?i)avg\s+of\s+({WORD})", ["avg"]),
+    (rf"(?i)top\s+[0-9]+\s+({WORD})", ["top"]),
+    (rf"(?i)by\s+({WORD})", ["by"]),
 ]
 
 QUOTED = "[\"']([^\"']+)[\"']"
 FILTER_PATTERNS = [
-    (rf"({WORD})\s*=\s*{QUOTED}", "="),
-    (rf"({WORD})\s*=\s*({WORD})", "="),
-    (rf"({WORD})\s*=\s*([0-9]+)", "="),
-    (rf"({WORD})\s*>\s*([0-9]+)", ">"),
-    (rf"({WORD})\s*<\s*([0-9]+)", "<"),
-    (rf"(?i)({WORD})\s+is\s+{QUOTED}", "="),
-    (rf"(?i)({WORD})\s+is\s+({WORD})", "="),
+    (rf"({WORD})\s*=\s*{QUOTED}", "=", ["="]),
+    (rf"({WORD})\s*=\s*({WORD})", "=", ["="]),
+    (rf"({WORD})\s*=\s*([0-9]+)", "=", ["="]),
+    (rf"({WORD})\s*>\s*([0-9]+)", ">", [">"]),
+    (rf"({WORD})\s*<\s*([0-9]+)", "<", ["<"]),
+    (rf"(?i)({WORD})\s+is\s+{QUOTED}", "=", ["is"]),
+    (rf"(?i)({WORD})\s+is\s+({WORD})", "=", ["is"]),
 ]
 
 SEARCH_SKIP_WORDS = ["give", "the", "and", "for", "with", "have", "from"]
+PAIR_PARTS = ["=", ":"]
 PAIR_PATTERNS = [
     rf"({WORD})\s*[=:]\s*['\"]?({WORD})['\"]?",
     rf"({WORD}\s+{WORD})\s*[=:]\s*['\"]?({WORD})['\"]?",
@@ -73,8 +79,30 @@ JOIN_PARTS = [
 # ---- end of fixed values -------------------------------------------------------------------------
 
 
-def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def contains_any(text: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
+def extract_all(
+    text: Column, pattern: str, group: int = 0, parts: list[str] | None = None
+) -> Column:
+    """All matches; texts that contain none of the given lower-case parts are not searched."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if not parts:
+        return found
+    return F.when(contains_any(F.lower(text), parts), found).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def extract_pairs(
+    text: Column, pattern: str, parts: list[str], pair: Callable[[Column, Column], Column]
+) -> Column:
+    """Combine groups 1 and 2 of every match; the text is searched once, each short match again."""
+    return F.transform(
+        extract_all(text, pattern, 0, parts),
+        lambda m: pair(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)),
+    )
 
 
 def tokens(text: Column) -> Column:
@@ -91,10 +119,6 @@ def has_word(text: Column, *words: str) -> Column:
     return text.rlike(f"(?i){BEFORE}(?:{'|'.join(words)}){AFTER}")
 
 
-def contains_any(text: Column, parts: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
-
-
 def keywords(text: Column) -> Column:
     """Plain lower-case words of two letters or more that are no stop words; order and repeats stay."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
@@ -105,7 +129,7 @@ def keywords(text: Column) -> Column:
 
 def column_mentions(text: Column) -> Column:
     """Words in places where a question names a column, sorted."""
-    found = [extract_all(text, p, 1) for p in MENTION_PATTERNS]
+    found = [extract_all(text, p, 1, parts) for p, parts in MENTION_PATTERNS]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
 
 
@@ -121,16 +145,17 @@ def aggregation_intent(text: Column) -> Column:
 def question_filters(text: Column) -> Column:
     """Conditions in a question as (column, operator, value), by pattern and then by place."""
 
-    def conditions(pattern: str, op: str) -> Column:
-        return F.zip_with(
-            extract_all(text, pattern, 1),
-            extract_all(text, pattern, 2),
+    def conditions(pattern: str, op: str, parts: list[str]) -> Column:
+        return extract_pairs(
+            text,
+            pattern,
+            parts,
             lambda c, v: F.struct(
                 F.upper(c).alias("column"), F.lit(op).alias("operator"), v.alias("value")
             ),
         )
 
-    return F.flatten(F.array(*[conditions(p, op) for p, op in FILTER_PATTERNS]))
+    return F.flatten(F.array(*[conditions(*f) for f in FILTER_PATTERNS]))
 
 
 def question_type(text: Column) -> Column:
@@ -158,9 +183,10 @@ def search_terms(text: Column) -> Column:
     both_cases = F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w))))
     pairs = [
         F.flatten(
-            F.zip_with(
-                extract_all(question, p, 1),
-                extract_all(question, p, 2),
+            extract_pairs(
+                question,
+                p,
+                PAIR_PARTS,
                 lambda left, right: F.array(
                     F.upper(F.regexp_replace(F.trim(left), r"\s+", "_")), F.upper(right)
                 ),
