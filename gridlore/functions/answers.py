@@ -39,3 +39,21 @@ def has_insight(text: Column) -> Column:
 
 def is_harmful(text: Column) -> Column:
     return F.lower(text).rlike("|".join(HARMFUL_WORDS))
+
+
+# Texts for results of one cell.
+ONE_CELL_TEXTS = {"SUM": "Total", "AVG": "Average", "MAX": "Maximum", "MIN": "Minimum"}
+COUNT_TEXT = ("Found **", "** matching records.")
+
+
+def one_cell_text(sql: Column, name: Column, value: Column) -> Column:
+    """A sentence about the single number a query returned: counts first, then the kind of aggregate."""
+    upper = F.upper(sql)
+    count = F.concat(F.lit(COUNT_TEXT[0]), value.cast("bigint").cast("string"), F.lit(COUNT_TEXT[1]))
+    number = F.call_function("format_number", value.cast("double"), F.lit("#,##0.00"))
+    case = F.when(upper.contains("COUNT"), count)
+    any_call = upper.rlike("|".join(f"{k}\\(" for k in ONE_CELL_TEXTS))
+    for kind, text in ONE_CELL_TEXTS.items():
+        sentence = F.concat(F.lit(f"{text} **"), name, F.lit("**: **"), number, F.lit("**"))
+        case = case.when(any_call & upper.contains(kind), sentence)
+    return case
