@@ -22,25 +22,58 @@ MATRIX_CELLS = 8_000_000
 NO_HIT = -np.inf
 
 
-def word_scorer(token_sets: list[list[str]]) -> Callable[[pa.ListArray], np.ndarray]:
-    """Score = share of the query's words that the chunk has, plus a bonus, at most 1."""
+# Scores of a batch of chunks (rows) for every query (columns).
+Score = Callable[[pa.ListArray], np.ndarray]
+
+
+def word_scorer(token_sets: list[list[str]]) -> tuple[Score, int]:
+    """Score = share of the query's words that the chunk has, plus a bonus, at most 1.
+
+    Also returns the cells that scoring needs per chunk. Shared words are counted by a matrix product while (words x queries) is small, otherwise by adding up
+    the lists of queries per word.
+    """
     vocabulary = pa.array(sorted({t for s in token_sets for t in s}), pa.string())
-    sizes = np.array([max(len(s), 1) for s in token_sets], dtype=np.float64)
-    asked = np.zeros((len(vocabulary), len(token_sets)), dtype=np.float32)
-    for q, words in enumerate(token_sets):
-        at = pc.index_in(pa.array(words, pa.string()), value_set=vocabulary).to_numpy(zero_copy_only=False)
-        asked[at.astype(np.int64), q] = 1.0
+    n_words, n_queries = len(vocabulary), len(token_sets)
+    lengths = np.array([len(s) for s in token_sets], dtype=np.int64)
+    sizes = np.maximum(lengths, 1).astype(np.float64)
+    flat = pa.array([t for s in token_sets for t in s], pa.string())
+    word = pc.index_in(flat, value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+    asking = np.repeat(np.arange(n_queries), lengths)
+    dense = n_words * n_queries <= MATRIX_CELLS
+    if dense:
+        asked = np.zeros((n_words, n_queries), dtype=np.float32)
+        asked[word, asking] = 1.0
+    else:
+        order = np.argsort(word, kind="stable")
+        asking = asking[order]
+        per_word = np.bincount(word, minlength=n_words)
+        starts = np.concatenate([[0], np.cumsum(per_word)])
+
+    def count_shared(rows: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+        if dense:
+            has = np.zeros((n, n_words), dtype=np.float32)
+            has[rows, words] = 1.0
+            return (has @ asked).astype(np.float64)
+        shared = np.zeros(n * n_queries)
+        step = max(1, MATRIX_CELLS // n_queries)
+        for i in range(0, len(words), step):
+            r, w = rows[i : i + step], words[i : i + step]
+            hits = per_word[w]
+            ends = np.cumsum(hits)
+            place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - hits, hits)
+            cell = np.repeat(r, hits) * n_queries + asking[np.repeat(starts[w], hits) + place]
+            shared += np.bincount(cell, minlength=n * n_queries)
+        return shared.reshape(n, n_queries)
 
     def score(chunks: pa.ListArray) -> np.ndarray:
         words = pc.index_in(chunks.flatten(), value_set=vocabulary)
         known = pc.is_valid(words).to_numpy(zero_copy_only=False)
         rows = np.repeat(np.arange(len(chunks)), pc.list_value_length(chunks).to_numpy(zero_copy_only=False))
-        has = np.zeros((len(chunks), len(vocabulary)), dtype=np.float32)
-        has[rows[known], words.drop_null().to_numpy(zero_copy_only=False)] = 1.0
-        shared = (has @ asked).astype(np.float64)
+        found = words.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+        shared = count_shared(rows[known], found, len(chunks))
         return np.where(shared > 0, np.minimum(MAX_SCORE, shared / sizes + WORD_BONUS), NO_HIT)
 
-    return score
+    return score, max(n_queries, n_words if dense else 0)
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -48,15 +81,15 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
-def vector_scorer(vectors: list[list[float]]) -> Callable[[pa.ListArray], np.ndarray]:
-    """Score = inner product of the unit vectors."""
+def vector_scorer(vectors: list[list[float]]) -> tuple[Score, int]:
+    """Score = inner product of the unit vectors; also the cells needed per chunk."""
     asked = unit_rows(np.array(vectors, dtype=np.float64)).T
 
     def score(chunks: pa.ListArray) -> np.ndarray:
         flat = chunks.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         return np.round(unit_rows(flat.reshape(len(chunks), -1)) @ asked, TIE_DIGITS)
 
-    return score
+    return score, max(asked.shape)
 
 
 class Best:
@@ -93,7 +126,9 @@ class Best:
         )
 
 
-def scan(best: Best, score, batch, extras: list[str], width: int) -> None:
+def scan(best: Best, scorer: tuple[Score, int], batch, extras: list[str]) -> None:
+    """Score a record batch or table in steps of bounded memory."""
+    score, width = scorer
     step = max(1, MATRIX_CELLS // max(width, 1))
     for start in range(0, batch.num_rows, step):
         part = batch.slice(start, step)

@@ -48,7 +48,7 @@ MENTION_PATTERNS = [
     (rf"(?i)count\s+of\s+({WORD})", ["count"]),
     (rf"(?i)sum\s+of\s+({WORD})", ["sum"]),
     (rf"(?i)avg\s+of\s+({WORD})", ["avg"]),
-    (rf"(?i)top\s+[0-9]+\s+({WORD})", ["top"]),
+    (rf"(?i)top\s+\p{{Nd}}+\s+({WORD})", ["top"]),
     (rf"(?i)by\s+({WORD})", ["by"]),
 ]
 
@@ -56,9 +56,9 @@ QUOTED = "[\"']([^\"']+)[\"']"
 FILTER_PATTERNS = [
     (rf"({WORD})\s*=\s*{QUOTED}", "=", ["="]),
     (rf"({WORD})\s*=\s*({WORD})", "=", ["="]),
-    (rf"({WORD})\s*=\s*([0-9]+)", "=", ["="]),
-    (rf"({WORD})\s*>\s*([0-9]+)", ">", [">"]),
-    (rf"({WORD})\s*<\s*([0-9]+)", "<", ["<"]),
+    (rf"({WORD})\s*=\s*(\p{{Nd}}+)", "=", ["="]),
+    (rf"({WORD})\s*>\s*(\p{{Nd}}+)", ">", [">"]),
+    (rf"({WORD})\s*<\s*(\p{{Nd}}+)", "<", ["<"]),
     (rf"(?i)({WORD})\s+is\s+{QUOTED}", "=", ["is"]),
     (rf"(?i)({WORD})\s+is\s+({WORD})", "=", ["is"]),
 ]
@@ -70,6 +70,7 @@ PAIR_PATTERNS = [
     rf"({WORD}\s+{WORD})\s*[=:]\s*['\"]?({WORD})['\"]?",
 ]
 
+LIMIT_PATTERN = rf"{BEFORE}(?:top|first|limit to|show only)\s+\p{{Nd}}+{AFTER}"
 GROUPING_PARTS = ["by", "per", "each"]
 SAME_PARTS = ["date", "time", "day", "value", "record"]
 FIND_PARTS = ["duplicate", "match", "similar", "pair"]
@@ -222,7 +223,7 @@ def numbers(text: Column) -> Column:
 def prompt_hints(text: Column) -> dict[str, Column]:
     """What a question asks the answering query to do."""
     low = F.lower(text)
-    limit = low.rlike(rf"{BEFORE}(?:top|first|limit to|show only)\s+[0-9]+{AFTER}")
+    limit = low.rlike(LIMIT_PATTERN)
     order = has_word(low, "highest", "lowest", "max", "min")
     group = contains_any(low, GROUPING_PARTS)
     same = low.contains("same") & contains_any(low, SAME_PARTS)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.operators.cleaning import families
-from gridlore.operators.quantiles import long_numbers, quantiles, wide
+from gridlore.operators.quantiles import long_numbers, number, quantiles, wide
 
 # Fixed values of the profile.
 TOP_VALUES = 10
@@ -34,7 +34,7 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or families(df)["numeric"]
     aggs = []
     for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
+        x = number(c)
         aggs += [
             F.count(x).alias(f"{i}_count"), F.avg(x).alias(f"{i}_mean"),
             F.stddev_samp(x).alias(f"{i}_std"), F.min(x).alias(f"{i}_min"),
@@ -61,9 +61,11 @@ def typical_range(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def missing(df: DataFrame) -> DataFrame:
     """Null count and share per column of the table as loaded, and their total."""
     n = F.count("*")
+    numeric = families(df)["numeric"]
     aggs = [n.alias("_rows")]
     for i, c in enumerate(df.columns):
-        aggs.append((n - F.count(F.col(f"`{c}`"))).alias(f"{i}_missing"))
+        cell = number(c) if c in numeric else F.col(f"`{c}`")
+        aggs.append((n - F.count(cell)).alias(f"{i}_missing"))
     one = df.agg(*aggs)
     total = sum((F.col(f"{i}_missing") for i in range(len(df.columns))), F.lit(0).cast("bigint"))
     rows = [
@@ -102,8 +104,9 @@ def value_counts(
     fractional = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
 
     def text(c: str) -> Column:
-        x = F.col(f"`{c}`")
-        return (x + F.lit(0.0) if c in fractional else x).cast("string").alias(c)
+        # adding zero makes minus zero zero
+        x = number(c) + F.lit(0.0) if c in fractional else F.col(f"`{c}`")
+        return x.cast("string").alias(c)
 
     ids = [F.col(f"`{ordinal}`").alias("_ordinal")] if ordinal else []
     cells = (
@@ -202,7 +205,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or families(df)["numeric"]
     aggs, rows = [], []
     for i, (a, b) in enumerate(combinations(columns, 2)):
-        x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+        x, y = number(a), number(b)
         both = x.isNotNull() & y.isNotNull()
         spread = F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
         aggs.append((F.covar_samp(x, y) / F.nullif(spread, F.lit(0.0))).alias(f"r{i}"))
@@ -221,8 +224,7 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Counts in equal-width bins between minimum and maximum; the last bin includes the maximum."""
-    x = F.col(f"`{column}`").cast("double")
-    numbers = df.select(x.alias("x")).where("x IS NOT NULL")
+    numbers = df.select(number(column).alias("x")).where("x IS NOT NULL")
     bounds = numbers.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")))
     limits = numbers.withColumn("b", bounds.scalar())
     width = (F.col("b.hi") - F.col("b.lo")) / F.lit(bins)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Up to this many rows the built-in percentile may hold every distinct value of a column in one task.
@@ -10,9 +10,14 @@ PERCENTILE_ROWS = 5_000_000
 FINE_BINS = 10_000
 
 
+def number(column: str) -> Column:
+    """A cell as a double; not-a-number counts as missing."""
+    return F.nanvl(F.col(f"`{column}`").cast("double"), F.lit(None).cast("double"))
+
+
 def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) with one row per cell that is not null."""
-    cast = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    cast = df.select(*[number(c).alias(c) for c in columns])
     return cast.unpivot([], [F.col(f"`{c}`") for c in columns], "column", "value").where(
         "value IS NOT NULL"
     )
@@ -28,12 +33,7 @@ def quantiles(
 
 
 def _by_percentile(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    one_row = df.agg(
-        *[
-            F.percentile(F.col(f"`{c}`").cast("double"), probs).alias(f"_{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
+    one_row = df.agg(*[F.percentile(number(c), probs).alias(f"_{i}") for i, c in enumerate(columns)])
     per_column = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("values"))
@@ -55,7 +55,8 @@ def _by_ranks(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
     """
     counted = long_numbers(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
     v = F.col("value")
-    counted = counted.withColumn("b1", F.signum(v) * F.floor(F.log1p(F.abs(v)) * 1000))
+    scale = F.least(F.log1p(F.abs(v)) * 1000, F.lit(1e9))  # the limit is for infinity
+    counted = counted.withColumn("b1", F.signum(v) * F.floor(scale))
 
     coarse = counted.groupBy("column", "b1").agg(
         F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")

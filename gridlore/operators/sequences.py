@@ -1,8 +1,9 @@
-"""Order-based operators that stay exact when one group holds a large share of all rows.
+"""Order-based operators that stay exact and balanced when one group holds a large share of all rows.
 
-A plain window would sort a whole group in one task. Here every group is cut into buckets that follow
-the order (an hour, an id range); the window runs per (group, bucket) and a small table with one row
-per bucket carries the state from bucket to bucket.
+A plain window sorts a whole group in one task. Here the table is first cut into contiguous ranges of the
+full order, so that a large group spreads over many ranges; windows run per (range, group), and a small
+table with one row per range and group carries the state from range to range. The cut table is written
+once, because both sides must see the same ranges, also after a lost executor.
 """
 
 from __future__ import annotations
@@ -10,86 +11,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlore.session import materialise
 
-def with_next(
-    df: DataFrame, group: list[str], order: list[str], bucket: Column, take: dict[str, str]
-) -> DataFrame:
+
+def in_ranges(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """The table with the number of its range in ``_part``; equal keys share a range."""
+    return materialise(
+        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges"
+    )
+
+
+def with_next(df: DataFrame, group: list[str], order: list[str], take: dict[str, str]) -> DataFrame:
     """Add columns of the following row of the same group: ``take`` maps source column to new name.
 
-    ``order`` must be unique within a group and ``bucket`` must not decrease along it. Group and
-    bucket must not be null, so that window and join share one shuffle.
+    ``order`` must be unique within a group; group columns must not be null.
     """
-    rows = df.withColumn("_bucket", bucket)
+    rows = in_ranges(df, [*group, *order])
     row = F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_take_{c}") for c in take])
-    here = Window.partitionBy(*group, "_bucket").orderBy(*order)
+    here = Window.partitionBy("_part", *group).orderBy(*order)
     inner = rows.withColumn("_inner", F.lead(row).over(here))
 
-    heads = rows.groupBy(*group, "_bucket").agg(F.min(row).alias("_head"))
-    along = Window.partitionBy(*group).orderBy("_bucket")
-    heads = heads.select(*group, "_bucket", F.lead("_head").over(along).alias("_outer"))
-
+    heads = rows.groupBy("_part", *group).agg(F.min(row).alias("_head"))
+    along = Window.partitionBy(*group).orderBy("_part")
+    heads = heads.select("_part", *group, F.lead("_head").over(along).alias("_outer"))
     following = F.coalesce(F.col("_inner"), F.col("_outer"))
-    return inner.join(heads, [*group, "_bucket"], "left").select(
+    return inner.join(heads, ["_part", *group], "left").select(
         *df.columns, *[following[f"_take_{c}"].alias(name) for c, name in take.items()]
     )
 
 
-def with_rank(
-    df: DataFrame, group: list[str], order: list[Column], bucket: Column, name: str,
-    descending: bool = False,
-) -> DataFrame:
-    """Number the rows of a group from 1 along ``order``; ``bucket`` must be monotone in it.
-
-    As for ``with_next``, group and bucket must not be null.
-    """
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
-    step = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    before = Window.partitionBy(*group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    here = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    numbered = rows.withColumn("_place", F.row_number().over(here))
-    return numbered.join(offsets, [*group, "_bucket"]).select(
-        *df.columns, (F.col("_place") + F.col("_offset")).alias(name)
+def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number all rows of a table from 1 along a unique order."""
+    rows = in_ranges(df, order)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    here = Window.partitionBy("_part").orderBy(*order)
+    return (
+        rows.withColumn("_place", F.row_number().over(here))
+        .join(offsets, "_part")
+        .select(*df.columns, (F.col("_place") + F.col("_offset")).alias(name))
     )
 
 
-def trailing_count(
-    df: DataFrame, group: str, key: str, ts: str, window: str, name: str, bucket_unit: str = "HOUR"
-) -> DataFrame:
-    """Rows of the same group with a time in [ts - window, ts], for every row; ``key`` is unique.
+def trailing_count(df: DataFrame, group: str, ts: str, window: str, name: str) -> DataFrame:
+    """Add the number of rows of the same group with a time in [ts - window, ts]; ties count.
 
-    The count is the running total at ``ts`` less the running total just before ``ts - window``. Both
-    are read off one pass over (group, time bucket) in which each row appears twice: as an event at
-    its own time and as a probe at the start of its window.
+    Rows are first counted per (group, time), so a time with many rows is one row from here on. The count
+    is the running total at ``ts`` less the running total just before ``ts - window``; both come from one
+    running sum in which each time appears twice: with its rows, and as a probe at its window's start.
     """
-    at_start = F.col(ts) - F.expr(f"INTERVAL {window}")
-    points = df.select(
+    moments = df.groupBy(group, ts).agg(F.count("*").alias("_n"))
+    start = F.col(ts) - F.expr(f"INTERVAL {window}")
+    points = moments.select(
         group,
-        key,
+        ts,
         F.explode(
             F.array(
-                F.struct(F.col(ts).alias("at"), F.lit(1).alias("is_event")),
-                F.struct(at_start.alias("at"), F.lit(0).alias("is_event")),
+                F.struct(F.col(ts).alias("_at"), F.lit(1).alias("_sign"), F.col("_n").alias("_w")),
+                F.struct(start.alias("_at"), F.lit(-1).alias("_sign"), F.lit(0).cast("bigint").alias("_w")),
             )
-        ).alias("p"),
-    ).select(
-        group, key, "p.at", "p.is_event", F.date_trunc(bucket_unit, F.col("p.at")).alias("bucket")
-    )
-    totals = points.groupBy(group, "bucket").agg(F.sum("is_event").alias("n"))
-    before = (
-        Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
+        ).alias("_p"),
+    ).select(group, ts, "_p.*")
+    rows = in_ranges(points, [group, "_at", "_sign"])
+
+    totals = rows.groupBy("_part", group).agg(F.sum("_w").alias("_total"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        group, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+        "_part", group, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
     )
-    upto = Window.partitionBy(group, "bucket").orderBy("at", "is_event").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
+    upto = (
+        Window.partitionBy("_part", group)
+        .orderBy("_at", "_sign")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    running = points.withColumn("inside", F.sum("is_event").over(upto)).join(
-        offsets, [group, "bucket"]
+    running = rows.withColumn("_inside", F.sum("_w").over(upto)).join(offsets, ["_part", group])
+    counted = running.groupBy(group, ts).agg(
+        F.sum(F.col("_sign") * (F.col("_inside") + F.col("_offset"))).alias(name)
     )
-    signed = F.when(F.col("is_event") == 1, 1).otherwise(-1) * (F.col("inside") + F.col("offset"))
-    return running.groupBy(key, group).agg(F.sum(signed).alias(name))
+    return df.join(counted, [group, ts]).select(*df.columns, name)

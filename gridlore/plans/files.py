@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlore.functions.answers import one_cell_text
 from gridlore.functions.prompts import ADVICE, MATCHING_TEXT, NUMBERS_TEXT, SYSTEM_TEXT, render_prompt
-from gridlore.functions.text import FIND_PARTS, GROUPING_PARTS, SAME_PARTS
-from gridlore.functions.text import AFTER, BEFORE
+from gridlore.functions.text import FIND_PARTS, GROUPING_PARTS, LIMIT_PATTERN, SAME_PARTS
 from gridlore.operators import chunks as K
 from gridlore.operators import search as S
 from gridlore.plans.profiling import PARTS_SQL, parts_with_gaps
@@ -111,7 +110,96 @@ def chunk_index_roundtrip(spark, sf):
     )
 
 
-@query("profile_chunks")
+PART_KINDS = {
+    "p_partkey": "int64", "p_name": "object", "p_brand": "object", "p_type": "object", "p_size": "int64",
+    "p_retailprice": "float64",
+}
+
+
+def column_rows_sql():
+    """One row per column of ``parts`` with the same fields as the column profile."""
+    rows = []
+    for i, (c, kind) in enumerate(PART_KINDS.items()):
+        number = kind != "object"
+        stats = ["avg", "stddev_samp", "min", "max"]
+        fields = [f"{f}({c})::DOUBLE" if number else "NULL::DOUBLE" for f in stats]
+        fields += [f"quantile_cont({c}::DOUBLE, {p})" if number else "NULL::DOUBLE" for p in (0.25, 0.75)]
+        some = f"FROM parts WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY"
+        top = f"SELECT {c}::VARCHAR AS v, count(*) AS n {some} n DESC, {c} LIMIT 10"
+        first = f"SELECT {c}::VARCHAR AS v, min(p_partkey) AS o {some} o LIMIT 8"
+        rows.append(f"""SELECT {i} AS p, '{c}' AS c, '{kind}' AS kind, {number} AS num,
+  count(*) - count({c}) AS missing, count({c}) AS filled, count(DISTINCT {c}) AS nd, {fields[0]} AS mean,
+  {fields[1]} AS std, {fields[2]} AS lo, {fields[3]} AS hi, {fields[4]} AS q25, {fields[5]} AS q75,
+  (SELECT list({{'v': v, 'n': n}} ORDER BY n DESC, {'v::DOUBLE' if number else 'v'}) FROM ({top})) AS top,
+  (SELECT list(v ORDER BY o) FROM ({first})) AS firsts FROM parts""")
+    return "cols AS (" + "\nUNION ALL\n".join(rows) + ")"
+
+
+NL = "chr(10)"
+RULE_SQL = f"repeat('=', 50) || {NL} || {NL}"
+HEAD_CELLS = " | ".join(f"{c:<15}" for c in PART_KINDS)
+ROW_CELLS = " || ' | ' || ".join(
+    f"rpad(CASE WHEN length({x}) > 12 THEN ({x})[1:9] || '...' ELSE {x} END, 15, ' ')"
+    for x in (f"coalesce({c}::VARCHAR, 'nan')" for c in PART_KINDS)
+)
+PARTS_OF_FIRST = "string_split(firsts[1], '-')"
+FORMAT_SQL = f"""CASE
+  WHEN len({PARTS_OF_FIRST}) = 3 AND length({PARTS_OF_FIRST}[1]) = 2 AND length({PARTS_OF_FIRST}[3]) = 2
+    THEN 'DD-XXX-YY (date-like)'
+  WHEN len({PARTS_OF_FIRST}) = 3 AND length({PARTS_OF_FIRST}[1]) = 4 AND length({PARTS_OF_FIRST}[2]) = 2
+    AND length({PARTS_OF_FIRST}[3]) = 2 THEN 'YYYY-MM-DD (date-like)'
+  WHEN len({PARTS_OF_FIRST}) = 3 THEN NULL
+  WHEN contains(firsts[1], '@') AND contains(firsts[1], '.') THEN 'Contains @ and . (email-like)'
+  WHEN regexp_full_match(firsts[1], '[0-9]+') THEN 'Numeric string'
+  WHEN len(regexp_extract_all(firsts[1], '\\S+')) = 1 THEN 'Single word' ELSE 'Multi-word text' END"""
+TOP_THREE = "array_to_string(list_transform(top[1:3], lambda t: t.v), ', ')"
+
+
+@query("profile_chunks", f"""
+WITH {PARTS_SQL}, {column_rows_sql()},
+out AS (
+SELECT 0 AS g, 0 AS p, 'schema_0' AS chunk_id, 'schema' AS type, NULL::VARCHAR AS "column",
+  '{K.SCHEMA_TITLE}' || {NL} || 'Dataset has ' || (SELECT count(*) FROM parts) || ' rows and 6 columns' || {NL}
+  || '{K.SCHEMA_COLUMNS_TITLE}' || {NL}
+  || string_agg('  - ' || c || ': ' || kind || ' (' || missing || ' missing values)' || {NL}, '' ORDER BY p)
+  AS content FROM cols
+UNION ALL
+SELECT 1, 0, 'stats_numerical', 'statistics', NULL, '{K.NUMERIC_TITLE}' || {NL} || string_agg(
+  {NL} || c || ':' || {NL} || printf('  Mean: %.2f', mean) || {NL} || printf('  Std: %.2f', std) || {NL}
+  || printf('  Min: %.2f', lo) || {NL} || printf('  Max: %.2f', hi) || {NL}, '' ORDER BY p) FROM cols WHERE num
+UNION ALL
+SELECT 2, p, 'stats_' || c, 'statistics', c, '{K.TEXT_TITLE}' || c || {NL} || '{K.TOP_TITLE}' || {NL}
+  || array_to_string(list_transform(top, lambda t: '  - ' || t.v || ': ' || t.n || {NL}), '')
+  FROM cols WHERE NOT num
+UNION ALL
+SELECT 3, 0, 'schema_with_samples', 'schema_samples', NULL, '{K.SAMPLES_TITLE}' || {NL} || {RULE_SQL}
+  || string_agg('Column: ' || c || {NL} || '  Type: ' || kind || {NL}
+  || CASE WHEN NOT num OR nd < 20 THEN '  Sample values: ' || array_to_string(firsts, ', ')
+     ELSE printf('  Range: %.2f to %.2f', lo, hi) || {NL} || '  Common values: ' || {TOP_THREE} END
+  || {NL} || {NL}, '' ORDER BY p) FROM cols
+UNION ALL
+SELECT 4, 0, 'data_rows_table', 'data_rows', NULL, 'DATA ROWS (First ' || count(*) || ' rows):' || {NL}
+  || {RULE_SQL} || '{HEAD_CELLS}' || {NL} || repeat('-', 96) || {NL}
+  || string_agg({ROW_CELLS} || {NL}, '' ORDER BY p_partkey)
+  FROM (SELECT * FROM parts ORDER BY p_partkey LIMIT 5)
+UNION ALL
+SELECT 5, 0, 'query_focused', 'query_insights', NULL, '{K.INSIGHTS_TITLE}' || {NL} || {RULE_SQL}
+  || 'Numeric filter columns: ' || string_agg(c, ', ' ORDER BY p) FILTER (num) || {NL} || {NL}
+  || string_agg('  ' || c || printf(': %.0f to %.0f (avg: %.0f)', lo, hi, mean) || {NL}, '' ORDER BY p) FILTER (num)
+  || {NL} || 'Text filter columns: ' || string_agg(c, ', ' ORDER BY p) FILTER (NOT num) || {NL}
+  || string_agg('  Common ''' || c || ''' values: ' || {TOP_THREE} || {NL}, '' ORDER BY p) FILTER (c = 'p_name')
+  FROM cols
+UNION ALL
+SELECT 6, p, 'column_' || c, 'column', c, 'Column: ' || c || {NL}
+  || CASE WHEN num THEN 'Type: Numeric' || {NL} || '{K.NUMERIC_USE}' || {NL}
+       || printf('Range: Values from %.0f to %.0f', lo, hi) || {NL}
+       || CASE WHEN nd < 20 THEN 'Contains: Distinct numeric values' || {NL} ELSE '' END
+     ELSE 'Type: Text' || {NL} || '{K.TEXT_USE}' || {NL} || coalesce('Format: ' || {FORMAT_SQL} || {NL}, '') END
+  || {NL} || 'Unique values: ' || nd || {NL} || 'Missing values: ' || missing || {NL}
+  || CASE WHEN num AND filled > 10 THEN printf('Typical range (25-75%%): %.0f to %.0f', q25, q75) || {NL} ELSE '' END
+  FROM cols)
+SELECT chunk_id, row_number() OVER (ORDER BY g, p) - 1 AS ordinal, type, "column", content FROM out
+""")
 def profile_chunks(spark, sf):
     return K.profile_chunks(parts_with_gaps(spark, sf), "p_partkey")
 
@@ -138,7 +226,7 @@ CONTEXT = "orders: o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_
 @query("render_prompts", f"""
 WITH {QUESTIONS_SQL}, q AS (SELECT id, text, lower(text) AS t, {NUMBERS % 'text'} AS ns FROM questions)
 SELECT id, concat_ws(chr(10), {lit(SYSTEM_TEXT)}, 'Table:', {lit(CONTEXT)}, 'Question:', text,
-  CASE WHEN regexp_matches(t, {lit(BEFORE + '(?:top|first|limit to|show only)' + chr(92) + 's+[0-9]+' + AFTER)}) THEN {lit(ADVICE['limit'])}
+  CASE WHEN regexp_matches(t, {lit(LIMIT_PATTERN)}) THEN {lit(ADVICE['limit'])}
        WHEN {says('t', 'highest', 'lowest', 'max', 'min')} THEN {lit(ADVICE['order by'])}
        WHEN {any_part('t', GROUPING_PARTS)} THEN {lit(ADVICE['group by'])} END,
   CASE WHEN len(ns) > 0 THEN {lit(NUMBERS_TEXT)} || array_to_string(ns, ', ') END,

@@ -183,13 +183,10 @@ GROUP BY a.user_id, a.event_type, a.event_id
 """)
 def self_join_pairs(spark, sf):
     events = table(spark, sf, "events").select("user_id", "event_type", "event_id")
-    return Q.with_next(
-        events,
-        ["user_id", "event_type"],
-        ["event_id"],
-        F.floor(F.col("event_id") / 1_000_000),
-        {"event_id": "next_event_id"},
-    ).where("next_event_id IS NOT NULL")
+    paired = Q.with_next(
+        events, ["user_id", "event_type"], ["event_id"], {"event_id": "next_event_id"}
+    )
+    return paired.where("next_event_id IS NOT NULL")
 
 
 @query("pair_counts", """
@@ -217,9 +214,7 @@ def repeat_within_interval(spark, sf):
         .where(F.col("event_type") == "purchase")
         .select("user_id", "ts", "event_id")
     )
-    nxt = Q.with_next(
-        purchases, ["user_id"], ["ts", "event_id"], F.date_trunc("HOUR", F.col("ts")), {"ts": "next_ts"}
-    )
+    nxt = Q.with_next(purchases, ["user_id"], ["ts", "event_id"], {"ts": "next_ts"})
     return nxt.groupBy("user_id").agg(
         F.count("*").alias("purchases"),
         F.count_if(F.col("next_ts") <= F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("repeats"),
@@ -398,7 +393,7 @@ SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts
 """)
 def rolling_count(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "ts")
-    return Q.trailing_count(events, "user_id", "event_id", "ts", "7 DAYS", "events_7d")
+    return Q.trailing_count(events, "user_id", "ts", "7 DAYS", "events_7d").drop("ts")
 
 
 @query("sort_ranked", """
@@ -410,10 +405,7 @@ def sort_ranked(spark, sf):
         "c_custkey", F.nullif("c_mktsegment", F.lit("MACHINERY")).alias("segment"), "c_acctbal"
     )
     balance = F.nullif("c_acctbal", F.lit(0.0))
-    bucket = F.coalesce(F.floor(balance / 10), F.lit(-(2**62)))
-    return Q.with_rank(
-        customers, [], [balance.asc_nulls_first(), F.col("c_custkey").asc()], bucket, "position"
-    )
+    return Q.with_rank(customers, [balance.asc_nulls_first(), F.col("c_custkey").asc()], "position")
 
 
 @query("top_n", """
