@@ -9,9 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values: word lists and patterns that decide the result --------------------------------
-# A word is a run of letters, digits and underscores of any script. WORD replaces \w and \b, whose
-# meaning for letters outside ASCII depends on the regex engine.
+# A word is a run of letters, digits and underscores of any script. WORD and the word ends START, BEFORE
+# and AFTER replace \w and \b, whose meaning for letters outside ASCII depends on the regex engine.
 WORD = r"[\p{L}\p{N}_]+"
+START = r"(?<![\p{L}\p{N}_])"
+NAME = f"{START}({WORD})"
 BEFORE = r"(?:^|[^\p{L}\p{N}_])"
 AFTER = r"(?:$|[^\p{L}\p{N}_])"
 
@@ -38,11 +40,11 @@ QUESTION_TYPES = {
 
 # Each pattern stands with the parts one of which a matching text must contain.
 MENTION_PATTERNS = [
-    (rf"({WORD})\s*[=<>!]", ["=", "<", ">", "!"]),
-    (rf"(?i)({WORD})\s+(?:is|are|was|were)\s+", ["is", "are", "was", "were"]),
-    (rf"(?i)({WORD})\s+(?:has|have)\s+", ["has", "have"]),
+    (rf"{NAME}\s*[=<>!]", ["=", "<", ">", "!"]),
+    (rf"(?i){NAME}\s+(?:is|are|was|were)\s+", ["is", "are", "was", "were"]),
+    (rf"(?i){NAME}\s+(?:has|have)\s+", ["has", "have"]),
     (
-        rf"(?i)({WORD})\s+(?:greater|less|more|above|below)",
+        rf"(?i){NAME}\s+(?:greater|less|more|above|below)",
         ["greater", "less", "more", "above", "below"],
     ),
     (rf"(?i)count\s+of\s+({WORD})", ["count"]),
@@ -54,20 +56,20 @@ MENTION_PATTERNS = [
 
 QUOTED = "[\"']([^\"']+)[\"']"
 FILTER_PATTERNS = [
-    (rf"({WORD})\s*=\s*{QUOTED}", "=", ["="]),
-    (rf"({WORD})\s*=\s*({WORD})", "=", ["="]),
-    (rf"({WORD})\s*=\s*(\p{{Nd}}+)", "=", ["="]),
-    (rf"({WORD})\s*>\s*(\p{{Nd}}+)", ">", [">"]),
-    (rf"({WORD})\s*<\s*(\p{{Nd}}+)", "<", ["<"]),
-    (rf"(?i)({WORD})\s+is\s+{QUOTED}", "=", ["is"]),
-    (rf"(?i)({WORD})\s+is\s+({WORD})", "=", ["is"]),
+    (rf"{NAME}\s*=\s*{QUOTED}", "=", ["="]),
+    (rf"{NAME}\s*=\s*({WORD})", "=", ["="]),
+    (rf"{NAME}\s*=\s*(\p{{Nd}}+)", "=", ["="]),
+    (rf"{NAME}\s*>\s*(\p{{Nd}}+)", ">", [">"]),
+    (rf"{NAME}\s*<\s*(\p{{Nd}}+)", "<", ["<"]),
+    (rf"(?i){NAME}\s+is\s+{QUOTED}", "=", ["is"]),
+    (rf"(?i){NAME}\s+is\s+({WORD})", "=", ["is"]),
 ]
 
 SEARCH_SKIP_WORDS = ["give", "the", "and", "for", "with", "have", "from"]
 PAIR_PARTS = ["=", ":"]
 PAIR_PATTERNS = [
-    rf"({WORD})\s*[=:]\s*['\"]?({WORD})['\"]?",
-    rf"({WORD}\s+{WORD})\s*[=:]\s*['\"]?({WORD})['\"]?",
+    rf"{NAME}\s*[=:]\s*['\"]?({WORD})['\"]?",
+    rf"{START}({WORD}\s+{WORD})\s*[=:]\s*['\"]?({WORD})['\"]?",
 ]
 
 LIMIT_PATTERN = rf"{BEFORE}(?:top|first|limit to|show only)\s+\p{{Nd}}+{AFTER}"
@@ -209,8 +211,7 @@ def analysis_terms(text: Column) -> Column:
             lambda f: F.array(F.concat_ws(" ", f["column"], f["value"]), f["value"]),
         )
     )
-    intent = aggregation_intent(text)
-    kind = F.when(intent != "none", F.array(intent)).otherwise(F.array().cast("array<string>"))
+    kind = F.filter(F.array(aggregation_intent(text)), lambda k: k != "none")
     head = F.array(text, F.array_join(keywords(text), " "))
     return F.array_distinct(F.flatten(F.array(head, mentions, filters, kind)))
 

@@ -74,7 +74,7 @@ def clean_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def restore_names(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    return df.withColumnsRenamed({c: mapping[c] for c in df.columns if c in mapping})
+    return df.toDF(*[mapping.get(c, c) for c in df.columns])
 
 
 def display_cell(column: Column) -> Column:

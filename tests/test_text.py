@@ -13,7 +13,7 @@ from gridlore.functions import text as X
 PIECES = (
     "How many count of rows is 'x y' größe = 5 > 7 < 12 by straße per each status: F top 5 first 10 the "
     "average avg sum total highest lowest where with number of \"q r\" has have greater below été_2 ½ ２３ "
-    "same date find duplicate pairs join a=b c = 'D' is open was standby AND OR 1,250 3.5"
+    "same date find duplicate pairs join a=b p=5q=6 c = 'D' is open was standby AND OR 1,250 3.5"
 ).split(" ")
 
 
@@ -50,15 +50,18 @@ def test_keywords(run, texts):
     assert run(X.keywords(T())) == expected
 
 
+def python_pattern(pattern):
+    return pattern.replace(X.START, "").replace(X.WORD, r"\b\w+\b").replace(r"\p{Nd}", r"\d")
+
+
 def test_mentions(run, texts):
-    word = r"\w+"
-    patterns = [p.replace(X.WORD, word).replace(r"\p{Nd}", r"\d") for p, _ in X.MENTION_PATTERNS]
+    patterns = [python_pattern(p) for p, _ in X.MENTION_PATTERNS]
     expected = [sorted({m for p in patterns for m in re.findall(p, t)}) for t in texts]
     assert run(X.column_mentions(T())) == expected
 
 
 def test_filters(run, texts):
-    patterns = [(p.replace(X.WORD, r"\w+").replace(r"\p{Nd}", r"\d"), op) for p, op, _ in X.FILTER_PATTERNS]
+    patterns = [(python_pattern(p), op) for p, op, _ in X.FILTER_PATTERNS]
     expected = [
         [(c.upper(), op, v) for p, op in patterns for c, v in re.findall(p, t)] for t in texts
     ]
