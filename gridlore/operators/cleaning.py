@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlore.operators.quantiles import number
+
 # Fixed values of the result: what replaces a missing cell, and the layout of display cells.
 UNKNOWN_TEXT = "Unknown"
 NUMBER_FILL = 0
@@ -35,16 +37,30 @@ def families(df: DataFrame) -> dict[str, list[str]]:
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Drop the columns that hold nothing but nulls; one pass, one row of counts to the driver."""
-    filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
-    return df.select(*[f"`{c}`" for c in df.columns if filled[c] > 0])
+    numeric = set(families(df)["numeric"])
+    cells = [number(c) if c in numeric else F.col(f"`{c}`") for c in df.columns]
+    filled = df.agg(*[F.count(x).alias(f"_{i}") for i, x in enumerate(cells)]).first()
+    return df.select(*[f"`{c}`" for i, c in enumerate(df.columns) if filled[i] > 0])
 
 
 def fill_by_type(df: DataFrame) -> DataFrame:
-    """Text gets 'Unknown', numbers 0 and booleans false; dates stay missing."""
+    """Text gets 'Unknown', numbers 0 (also for not-a-number) and booleans false; dates stay missing."""
     kind = families(df)
-    df = df.na.fill(UNKNOWN_TEXT, kind["text"]) if kind["text"] else df
-    df = df.na.fill(NUMBER_FILL, kind["numeric"]) if kind["numeric"] else df
-    return df.na.fill(False, kind["boolean"]) if kind["boolean"] else df
+    fill = {
+        **{c: F.lit(UNKNOWN_TEXT) for c in kind["text"]},
+        **{c: F.lit(NUMBER_FILL) for c in kind["numeric"]},
+        **{c: F.lit(False) for c in kind["boolean"]},
+    }
+
+    def filled(f: T.StructField) -> Column:
+        cell = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            cell = F.nanvl(cell, F.lit(None).cast(f.dataType))
+        if f.name in fill:
+            cell = F.coalesce(cell, fill[f.name].cast(f.dataType))
+        return cell.alias(f.name)
+
+    return df.select(*[filled(f) for f in df.schema.fields])
 
 
 def clean_table(df: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows the built-in percentile may hold every distinct value of a column in one task.
-PERCENTILE_ROWS = 5_000_000
+# Up to this many cells the built-in percentile may hold all distinct values of all columns in one task.
+PERCENTILE_CELLS = 4_000_000
 FINE_BINS = 10_000
 
 
@@ -24,10 +24,10 @@ def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], in_memory_rows: int = PERCENTILE_ROWS
+    df: DataFrame, columns: list[str], probs: list[float], in_memory_cells: int = PERCENTILE_CELLS
 ) -> DataFrame:
     """(column, prob, value) with linear interpolation between neighbours, exact at any size."""
-    if df.count() <= in_memory_rows:
+    if df.count() * len(columns) <= in_memory_cells:
         return _by_percentile(df, columns, probs)
     return _by_ranks(df, columns, probs)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+import re
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,9 +51,26 @@ def within_elapsed(column: str, other: str, interval: str) -> Column:
     return F.col(column).between(F.col(other) - span, F.col(other) + span)
 
 
-def equals_literal(column: str, literal: str) -> Column:
-    """Compare a number column with quoted text as numbers; text that is no number matches nothing."""
-    return F.col(column).cast("double") == F.lit(literal).try_cast("double")
+COMPARISONS = {
+    "=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt,
+    "<=": operator.le,
+}
+
+
+def compare_quoted(column: str, comparison: str, literal: str) -> Column:
+    """Compare a number column with quoted text as numbers: ``x = '123'`` means ``x = 123``.
+
+    The text is read while planning, so that the comparison reaches the scan. Text that is no number is
+    unequal to every number and otherwise matches nothing.
+    """
+    if re.fullmatch("[0-9]+", literal):
+        return COMPARISONS[comparison](F.col(column), F.lit(int(literal)))
+    return F.col(column).isNotNull() if comparison == "!=" else F.lit(False)
+
+
+def in_quoted(column: str, literals: list[str]) -> Column:
+    """``x IN ('1', '2')`` on a number column."""
+    return F.col(column).isin([int(t) for t in literals if re.fullmatch("[0-9]+", t)])
 
 
 # ---- records that share a value ------------------------------------------------------------------
@@ -94,6 +113,11 @@ def duplicated_groups(df: DataFrame, group: list[str]) -> DataFrame:
 # ---- grouped reports -----------------------------------------------------------------------------
 
 
+def money(column: str) -> Column:
+    """An amount in exact decimals, so that a sum does not depend on the order of its terms."""
+    return F.col(column).cast("decimal(18,2)")
+
+
 def total_by_dimension(
     facts: DataFrame, fact_key: str, measure: Column, dimension: DataFrame, dim_key: str, by: str,
     name: str,

@@ -125,14 +125,17 @@ def filter_within_24h(spark, sf):
 
 
 @query("typed_literal_filter", """
-SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = CAST('17' AS DOUBLE)
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+WHERE o_custkey = 17 OR o_custkey IN (21, 35) OR (o_custkey >= 40 AND o_custkey < 45)
 """)
 def typed_literal_filter(spark, sf):
-    return (
-        table(spark, sf, "orders")
-        .where(R.equals_literal("o_custkey", "17") | R.equals_literal("o_custkey", "17abc"))
-        .select("o_orderkey", "o_custkey", "o_totalprice")
+    chosen = (
+        R.compare_quoted("o_custkey", "=", "17")
+        | R.compare_quoted("o_custkey", "=", "17abc")
+        | R.in_quoted("o_custkey", ["21", "35", "x"])
+        | (R.compare_quoted("o_custkey", ">=", "40") & R.compare_quoted("o_custkey", "<", "45"))
     )
+    return table(spark, sf, "orders").where(chosen).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 # ---- joins ---------------------------------------------------------------------------------------
@@ -237,12 +240,12 @@ def agg_count(spark, sf):
 
 
 @query("agg_basic", """
-SELECT round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 6) AS avg_price,
+SELECT CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, round(avg(l_extendedprice), 6) AS avg_price,
        min(l_extendedprice) AS min_price, max(l_extendedprice) AS max_price FROM lineitem
 """)
 def agg_basic(spark, sf):
     return table(spark, sf, "lineitem").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
+        F.sum(R.money("l_quantity")).cast("double").alias("sum_qty"),
         F.round(F.avg("l_extendedprice"), 6).alias("avg_price"),
         F.min("l_extendedprice").alias("min_price"),
         F.max("l_extendedprice").alias("max_price"),
@@ -250,8 +253,8 @@ def agg_basic(spark, sf):
 
 
 @query("agg_group", """
-SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty,
-       round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, round(avg(l_discount), 6) AS avg_disc
+SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS DOUBLE) AS revenue, round(avg(l_discount), 6) AS avg_disc
 FROM lineitem GROUP BY l_returnflag, l_linestatus
 """)
 def agg_group(spark, sf):
@@ -260,8 +263,8 @@ def agg_group(spark, sf):
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
             F.count("*").alias("n"),
-            F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-            F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"),
+            F.sum(R.money("l_quantity")).cast("double").alias("sum_qty"),
+            F.sum(R.money("l_extendedprice") * (1 - R.money("l_discount"))).cast("double").alias("revenue"),
             F.round(F.avg("l_discount"), 6).alias("avg_disc"),
         )
     )
@@ -275,20 +278,20 @@ def agg_having_duplicates(spark, sf):
 
 
 @query("sales_by_category", """
-SELECT p_type, round(sum(l_extendedprice * (1 - l_discount)), 4) AS sales
+SELECT p_type, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS DOUBLE) AS sales
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type
 """)
 def sales_by_category(spark, sf):
     totals = R.total_by_dimension(
         table(spark, sf, "lineitem"),
         "l_partkey",
-        F.col("l_extendedprice") * (1 - F.col("l_discount")),
+        R.money("l_extendedprice") * (1 - R.money("l_discount")),
         table(spark, sf, "part"),
         "p_partkey",
         "p_type",
         "sales",
     )
-    return totals.select("p_type", F.round("sales", 4).alias("sales")).orderBy(F.col("sales").desc())
+    return totals.select("p_type", F.col("sales").cast("double").alias("sales")).orderBy(F.col("sales").desc())
 
 
 @query("agg_rate", """
@@ -327,14 +330,14 @@ def agg_mode(spark, sf):
 
 @query("agg_monthly_trend", """
 SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n,
-       round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1
 """)
 def agg_monthly_trend(spark, sf):
     return R.monthly(
         table(spark, sf, "orders"),
         "o_orderdate",
         F.count("*").alias("n"),
-        F.round(F.sum("o_totalprice"), 2).alias("total"),
+        F.sum(R.money("o_totalprice")).cast("double").alias("total"),
     )
 
 
@@ -356,7 +359,7 @@ def group_leader(spark, sf):
 
 
 @query("top_per_group", """
-WITH s AS (SELECT p_type, p_partkey, round(sum(l_extendedprice), 2) AS sales
+WITH s AS (SELECT p_type, p_partkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sales
            FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type, p_partkey)
 SELECT p_type, p_partkey, sales FROM (
   SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY sales DESC, p_partkey) AS r FROM s) WHERE r = 1
@@ -365,7 +368,7 @@ def top_per_group(spark, sf):
     per_part = (
         table(spark, sf, "lineitem")
         .groupBy("l_partkey")
-        .agg(F.round(F.sum("l_extendedprice"), 2).alias("sales"))
+        .agg(F.sum(R.money("l_extendedprice")).cast("double").alias("sales"))
     )
     sales = per_part.join(
         table(spark, sf, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")
@@ -376,13 +379,13 @@ def top_per_group(spark, sf):
 
 @query("trend_delta", """
 WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-                  round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1)
+                  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1)
 SELECT month, total, lag(total) OVER (ORDER BY month) AS previous,
        round(total - lag(total) OVER (ORDER BY month), 2) AS change FROM m
 """)
 def trend_delta(spark, sf):
     months = R.monthly(
-        table(spark, sf, "orders"), "o_orderdate", F.round(F.sum("o_totalprice"), 2).alias("total")
+        table(spark, sf, "orders"), "o_orderdate", F.sum(R.money("o_totalprice")).cast("double").alias("total")
     )
     return R.change_from_previous(months, "month", "total").withColumn("change", F.round("change", 2))
 

@@ -54,8 +54,11 @@ def test_display_cell(spark):
 
 def test_quoted_numbers(spark):
     df = spark.createDataFrame([(1, 123), (2, 5)], "i int, n int")
-    assert [r.i for r in df.where(R.equals_literal("n", "123")).collect()] == [1]
-    assert df.where(R.equals_literal("n", "123abc")).count() == 0
+    assert [r.i for r in df.where(R.compare_quoted("n", "=", "123")).collect()] == [1]
+    assert [r.i for r in df.where(R.compare_quoted("n", "<", "9")).collect()] == [2]
+    assert df.where(R.compare_quoted("n", "=", "123abc")).count() == 0
+    assert df.where(R.compare_quoted("n", "!=", "123abc")).count() == 2
+    assert [r.i for r in df.where(R.in_quoted("n", ["5", "x"])).collect()] == [2]
 
 
 def test_year_filter_reaches_the_scan(spark, tmp_path, capsys):

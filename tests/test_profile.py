@@ -32,11 +32,11 @@ def frame(spark):
     return spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data))
 
 
-@pytest.mark.parametrize("in_memory_rows", [10**9, 0])
-def test_quantiles(frame, in_memory_rows):
+@pytest.mark.parametrize("in_memory_cells", [10**9, 0])
+def test_quantiles(frame, in_memory_cells):
     got = {
         (r.column, r.prob): r.value
-        for r in quantiles(frame, frame.columns, PROBS, in_memory_rows).collect()
+        for r in quantiles(frame, frame.columns, PROBS, in_memory_cells).collect()
     }
     for c, values in columns().items():
         values = values[~np.isnan(values)]
