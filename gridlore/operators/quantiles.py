@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlore.session import materialise
+
 # Up to this many cells the built-in percentile may hold all distinct values of all columns in one task.
 PERCENTILE_CELLS = 4_000_000
 FINE_BINS = 10_000
@@ -46,68 +48,73 @@ def _by_percentile(df: DataFrame, columns: list[str], probs: list[float]) -> Dat
 
 
 def _by_ranks(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """Find the values at the wanted ranks by narrowing twice, so that no task sorts a whole column.
+    """Find the values at the wanted ranks by narrowing twice, so that no task holds or sorts a column.
 
-    Cells are first counted per distinct value, which removes hot values. Buckets on a log scale (safe
-    against outliers), then equal-width bins inside the wanted buckets (safe against narrow ranges),
-    leave a sliver of the distinct values to order. What is broadcast has two rows per column and
-    probability.
+    Three scans of the numeric columns: counts per bucket on a log scale (safe against outliers), counts
+    per equal-width bin inside the buckets that hold a wanted rank (safe against narrow ranges), and counts
+    per value inside the bins that hold one. All counts are partial aggregates, so each shuffle carries
+    buckets, bins or a sliver of the distinct values. What is broadcast and written between the scans has
+    two rows per column and probability.
     """
-    counted = long_numbers(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
     v = F.col("value")
     scale = F.least(F.log1p(F.abs(v)) * 1000, F.lit(1e9))  # the limit is for infinity
-    counted = counted.withColumn("b1", F.signum(v) * F.floor(scale))
+    cells = long_numbers(df, columns).withColumn("b1", (F.signum(v) * F.floor(scale)).cast("bigint"))
 
-    coarse = counted.groupBy("column", "b1").agg(
-        F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    coarse = cells.groupBy("column", "b1").agg(
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
     coarse = _running(coarse, ["column"], "b1")
     totals = coarse.groupBy("column").agg(F.sum("n").alias("total"))
-    wanted = totals.select(
+    ranks = totals.select(
         "column", "total", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob")
     ).withColumn("position", F.col("prob") * (F.col("total") - 1))
-    wanted = wanted.select(
-        "column",
-        "prob",
-        "position",
-        F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))).alias("rank"),
-    )
-    holds = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
-    wanted = (
-        wanted.join(coarse, "column")
-        .where(holds)
-        .select("column", "prob", "position", "rank", "b1", "lo", "hi", F.col("before").alias("base"))
+    both = F.array_distinct(F.array(F.floor("position"), F.ceil("position")))
+    ranks = ranks.select("column", "prob", "position", F.explode(both).alias("rank"))
+    keys = ["column", "prob", "position", "rank", "b1"]
+    wanted = materialise(
+        ranks.join(coarse, "column")
+        .where(_holds())
+        .select(*keys, "lo", "hi", F.col("before").alias("base")),
+        "quantile-buckets",
     )
 
-    buckets = wanted.select("column", "b1", "lo", "hi", "base").distinct()
-    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(5e-324))
-    near = counted.join(F.broadcast(buckets), ["column", "b1"]).withColumn(
-        "b2", F.floor((v - F.col("lo")) / width * FINE_BINS)
-    )
-    fine = near.groupBy("column", "b1", "b2", "base").agg(F.sum("n").alias("n"))
-    fine = _running(fine, ["column", "b1"], "b2").withColumn("before", F.col("before") + F.col("base"))
-    wanted = (
-        wanted.drop("lo", "hi", "base")
+    def binned(marks: DataFrame) -> DataFrame:
+        """The cells of the marked buckets with their bins."""
+        width = F.greatest(F.col("hi") - F.col("lo"), F.lit(5e-324))
+        rows = cells.join(F.broadcast(marks.distinct()), ["column", "b1"])
+        return rows.withColumn("b2", F.floor((v - F.col("lo")) / width * FINE_BINS))
+
+    marks = wanted.select("column", "b1", "lo", "hi", "base")
+    fine = binned(marks).groupBy("column", "b1", "b2", "base").agg(F.count("*").alias("n"))
+    fine = _running(fine, ["column", "b1"], "b2", "base")
+    wanted = materialise(
+        wanted.drop("base")
         .join(fine.drop("base"), ["column", "b1"])
-        .where(holds)
-        .select("column", "prob", "position", "rank", "b1", "b2", F.col("before").alias("base"))
+        .where(_holds())
+        .select(*keys, "b2", "lo", "hi", F.col("before").alias("base")),
+        "quantile-bins",
     )
 
-    bins = wanted.select("column", "b1", "b2", F.col("base").alias("bin_base")).distinct()
-    last = near.join(F.broadcast(bins), ["column", "b1", "b2"])
-    last = _running(last, ["column", "b1", "b2"], "value").withColumn(
-        "before", F.col("before") + F.col("bin_base")
-    )
-    hit = wanted.join(last.select("column", "b1", "b2", "value", "n", "before"), ["column", "b1", "b2"])
-    hit = hit.where(holds)
+    bins = wanted.select("column", "b1", "b2", "base").distinct()
+    last = binned(wanted.select("column", "b1", "lo", "hi"))
+    last = last.join(F.broadcast(bins), ["column", "b1", "b2"])
+    last = last.groupBy("column", "b1", "b2", "base", "value").agg(F.count("*").alias("n"))
+    last = _running(last, ["column", "b1", "b2"], "value", "base").drop("base")
+    hit = wanted.join(last, ["column", "b1", "b2"]).where(_holds())
     share = F.col("position") - F.floor("position")
     weight = F.when(F.col("rank") == F.floor("position"), 1 - share).otherwise(share)
     return hit.groupBy("column", "prob").agg(F.sum(weight * v).alias("value"))
 
 
-def _running(df: DataFrame, group: list[str], order: str) -> DataFrame:
+def _holds() -> Column:
+    return (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+
+
+def _running(df: DataFrame, group: list[str], order: str, base: str | None = None) -> DataFrame:
+    """Add the count of all rows before each row, from the start of the column."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    before = F.coalesce(F.sum("n").over(w), F.lit(0))
+    return df.withColumn("before", before + F.col(base) if base else before)
 
 
 def wide(quantile_rows: DataFrame, names: dict[float, str]) -> DataFrame:
