@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridlore.session import materialise
 
 # Up to this many cells the built-in percentile may hold all distinct values of all columns in one task.
-PERCENTILE_CELLS = 4_000_000
+PERCENTILE_CELLS = 500_000
 FINE_BINS = 10_000
 
 
