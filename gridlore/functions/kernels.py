@@ -29,8 +29,8 @@ Score = Callable[[pa.ListArray], np.ndarray]
 def word_scorer(token_sets: list[list[str]]) -> tuple[Score, int]:
     """Score = share of the query's words that the chunk has, plus a bonus, at most 1.
 
-    Also returns the cells that scoring needs per chunk. Shared words are counted by a matrix product while (words x queries) is small, otherwise by adding up
-    the lists of queries per word.
+    Also returns the cells that scoring needs per chunk. Shared words are counted by a matrix product
+    while (words x queries) is small, otherwise by adding up the lists of queries per word.
     """
     vocabulary = pa.array(sorted({t for s in token_sets for t in s}), pa.string())
     n_words, n_queries = len(vocabulary), len(token_sets)

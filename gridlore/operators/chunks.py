@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlore.operators import profile as P
-from gridlore.operators.cleaning import SHOWN_COLUMNS, display_cell, families
+from gridlore.operators.cleaning import SHOWN_COLUMNS, boolean_text, display_cell, families
 from gridlore.operators.quantiles import quantiles, wide
 from gridlore.session import materialise
 from gridlore.sources.tables import sample_rows
@@ -119,7 +119,6 @@ def profile_chunks(df: DataFrame, key: str) -> DataFrame:
     profile = materialise(column_profile(df, key), "column-profile")
     rows = df.select(F.count("*")).scalar()
     width = len(df.columns)
-    spark = df.sparkSession
     parts = [
         _schema_chunk(profile, rows, width),
         _numeric_chunk(profile),
@@ -155,7 +154,8 @@ def _one(df: DataFrame, group: int, kind: str, chunk_id: str, content: Column) -
 
 def _schema_chunk(profile: DataFrame, rows: Column, width: int) -> DataFrame:
     line = F.format_string("  - %s: %s (%d missing values)\n", "column", "dtype", "missing")
-    head = F.format_string(f"{SCHEMA_TITLE}\nDataset has %d rows and {width} columns\n{SCHEMA_COLUMNS_TITLE}\n", F.first(rows))
+    title = f"{SCHEMA_TITLE}\nDataset has %d rows and {width} columns\n{SCHEMA_COLUMNS_TITLE}\n"
+    head = F.format_string(title, F.first(rows))
     return _one(profile, 0, "schema", "schema_0", F.concat(head, _gather(profile, line)))
 
 
@@ -213,7 +213,13 @@ def _samples_chunk(profile: DataFrame) -> DataFrame:
 
 def _rows_chunk(df: DataFrame, key: str) -> DataFrame:
     shown = df.columns[:SHOWN_COLUMNS]
-    cells = F.array(*[F.coalesce(display_cell(F.col(f"`{c}`")), display_cell(F.lit("nan"))) for c in shown])
+    booleans = families(df)["boolean"]
+
+    def cell(c: str) -> Column:
+        x = boolean_text(F.col(f"`{c}`")) if c in booleans else F.col(f"`{c}`")
+        return F.coalesce(display_cell(x), display_cell(F.lit("nan")))
+
+    cells = F.array(*[cell(c) for c in shown])
     head = " | ".join(f"{c:<15}"[:15] for c in shown) + "\n" + "-" * (len(shown) * 16) + "\n"
     few = sample_rows(df, key, SAMPLE_ROWS).select(
         F.col(f"`{key}`").alias("position"), F.array_join(cells, " | ").alias("line")

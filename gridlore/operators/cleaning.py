@@ -13,6 +13,7 @@ from gridlore.operators.quantiles import number
 # Fixed values of the result: what replaces a missing cell, and the layout of display cells.
 UNKNOWN_TEXT = "Unknown"
 NUMBER_FILL = 0
+TRUE_TEXT, FALSE_TEXT = "True", "False"
 CELL_WIDTH = 15
 CELL_LIMIT = 12
 CELL_KEPT = 9
@@ -93,6 +94,10 @@ def restore_names(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.toDF(*[mapping.get(c, c) for c in df.columns])
 
 
+def boolean_text(column: Column) -> Column:
+    return F.when(column, TRUE_TEXT).when(~column, FALSE_TEXT)
+
+
 def display_cell(column: Column) -> Column:
     """A cell of a fixed-width text table."""
     text = column.cast("string")

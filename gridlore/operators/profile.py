@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.operators.cleaning import families
+from gridlore.operators.cleaning import boolean_text, families
 from gridlore.operators.quantiles import long_numbers, number, quantiles, wide
 
 # Fixed values of the profile.
@@ -100,10 +100,13 @@ def value_counts(
     ordinal at which the value occurs.
     """
     columns = columns or df.columns
-    numeric = set(families(df)["numeric"])
+    kind = families(df)
+    numeric = set(kind["numeric"])
     fractional = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
 
     def text(c: str) -> Column:
+        if c in kind["boolean"]:
+            return boolean_text(F.col(f"`{c}`")).alias(c)
         # adding zero makes minus zero zero
         x = number(c) + F.lit(0.0) if c in fractional else F.col(f"`{c}`")
         return x.cast("string").alias(c)

@@ -40,9 +40,10 @@ def test_mixed_table(spark):
         "Contains: Distinct numeric values", "", "Unique values: 11", "Missing values: 1",
         "Typical range (25-75%): 5 to 10",
     ]
+    assert "1               | user1@mai...    | False           | 2024-01-01      | 1.125          \n" in got["data_rows_table"]
     assert "ID/Key columns: order id" in got["query_focused"]
     assert "  order id samples: 1, 2, 3, 4, 5\n" in got["query_focused"]
-    assert "Column: ok\n  Type: bool\n  Sample values: false, true\n" in got["schema_with_samples"]
+    assert "Column: ok\n  Type: bool\n  Sample values: False, True\n" in got["schema_with_samples"]
 
 
 def test_table_without_numbers(spark):
