@@ -109,8 +109,10 @@ def score_responses(responses: DataFrame, sources: DataFrame) -> DataFrame:
     """Scores per response.
 
     responses(csv_file, question_id, question, mode, sql_query, answer, sql_valid, execution_success,
-    row_count), sources(question_id, mode, similarity).
+    row_count), sources(question_id, mode, similarity). What a response lacks counts as false, 0 or empty.
     """
+    responses = responses.na.fill(False, ["sql_valid", "execution_success"])
+    responses = responses.na.fill(0, ["row_count"]).na.fill("", ["sql_query", "answer"])
     joined = responses.join(source_quality(sources), ["question_id", "mode"], "left").na.fill(
         0, ["sources", "high", "medium"]
     )

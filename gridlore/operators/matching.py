@@ -73,28 +73,31 @@ def _candidate(asked: Column, known: Column) -> Column:
 
 
 def _with_blocks(requested: DataFrame, names: DataFrame) -> DataFrame:
-    """Each requested name next to every block of known names, at most BLOCK_NAMES names each.
+    """Each requested name next to every block of known names, about BLOCK_NAMES names each.
 
     A few blocks are broadcast after counting the names; more are joined on (block, salt).
     """
-    blocks = -(-names.count() // BLOCK_NAMES)
+    blocks = max(1, -(-names.count() // BLOCK_NAMES))
     known = names.select(
         "position", "name", clean_name(F.col("name")).alias("clean"),
-        F.floor(F.col("position") / BLOCK_NAMES).alias("block"),
+        F.pmod(F.xxhash64("position", "name"), F.lit(blocks)).alias("block"),
     ).groupBy("block").agg(F.collect_list(F.struct("position", "name", "clean")).alias("known"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))).cast("array<bigint>"))
-    rows = requested.withColumn("block", every)
+
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+
+    rows = requested.withColumn("block", numbers(blocks))
     if blocks <= BROADCAST_BLOCKS:
-        return rows.join(F.broadcast(known), "block").drop("block")
-    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        return rows.join(F.broadcast(known), "block", "left").drop("block")
+    salted = known.withColumn("salt", numbers(SALTS))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("asked"), F.lit(SALTS)))
-    return rows.join(salted, ["block", "salt"]).drop("block", "salt")
+    return rows.join(salted, ["block", "salt"], "left").drop("block", "salt")
 
 
 def match_names(requested: DataFrame, names: DataFrame) -> DataFrame:
     """(asked, name, stage): the known name that each distinct requested name means, or null.
 
-    requested(asked), names(position, name) with positions 0, 1, … The first stage that has any match
+    requested(asked), names(position, name); positions give the order of the names. The first stage that has any match
     wins; within it the position decides, or the similarity for the 'similar' stage.
     """
     distinct = requested.select("asked").where("asked IS NOT NULL").distinct()
@@ -116,7 +119,8 @@ def match_names(requested: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def closest_by_sequence(requested: DataFrame, names: DataFrame) -> DataFrame:
-    """(asked, name, ratio): the known name with the highest matching-block ratio of at least 0.6.
+    """(asked, name, ratio): the known name with the highest matching-block ratio of at least 0.6; of
+    equally similar names the one that sorts last.
 
     The ratio counts the letters of the longest common runs, found recursively, which no SQL function
     computes; it is a small pandas function over distinct names.
@@ -125,7 +129,7 @@ def closest_by_sequence(requested: DataFrame, names: DataFrame) -> DataFrame:
     distinct = distinct.withColumn("clean_asked", clean_name(F.col("asked")))
     cutoff = FUZZY_CUTOFF
 
-    @F.pandas_udf("name string, ratio double")
+    @F.pandas_udf("name string, ratio double, clean string")
     def closest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
 
@@ -134,23 +138,23 @@ def closest_by_sequence(requested: DataFrame, names: DataFrame) -> DataFrame:
             for word, block in zip(asked, known):
                 matcher = SequenceMatcher()
                 matcher.set_seq2(word)
-                best = (None, None)
-                for k in sorted(block, key=lambda k: k["position"]):
+                best = (None, None, None)
+                for k in block if block is not None else []:
                     matcher.set_seq1(k["clean"])
                     if matcher.real_quick_ratio() < cutoff or matcher.quick_ratio() < cutoff:
                         continue
                     ratio = matcher.ratio()
-                    if ratio >= cutoff and (best[1] is None or ratio > best[1]):
-                        best = (k["name"], ratio)
+                    better = best[1] is None or (ratio, k["clean"]) > (best[1], best[2])
+                    if ratio >= cutoff and better:
+                        best = (k["name"], ratio, k["clean"])
                 rows.append(best)
-            yield pd.DataFrame(rows, columns=["name", "ratio"]).astype({"ratio": "float64"})
+            yield pd.DataFrame(rows, columns=["name", "ratio", "clean"]).astype({"ratio": "float64"})
 
     scored = _with_blocks(distinct, names).withColumn("c", closest("clean_asked", "known"))
-    best = scored.groupBy("asked").agg(
-        F.max_by("c.name", F.struct(F.coalesce("c.ratio", F.lit(-1.0)))).alias("name"),
+    return scored.groupBy("asked").agg(
+        F.max_by("c.name", F.struct(F.coalesce("c.ratio", F.lit(-1.0)), "c.clean")).alias("name"),
         F.max("c.ratio").alias("ratio"),
     )
-    return best
 
 
 def unknown_names(requested: DataFrame, names: DataFrame) -> DataFrame:

@@ -70,6 +70,12 @@ def test_safety_and_overall(spark):
     assert got[2].overall_score == pytest.approx(0.3 * 0.9 + 0.25 * 0.6 + 0.25 * 0.2 + 0.2)
 
 
+def test_incomplete_responses(spark):
+    got = scores(spark, [("RAG", None, None, None, None, None), ("RAG", "SELECT 1", None, True, True, None)])
+    assert (got[0].factuality_score, got[0].completeness_score, got[0].safety_score) == (0.2, 0.3, 1.0)
+    assert got[0].sql_valid is False and got[1].factuality_score == pytest.approx(0.7)
+
+
 def test_failed_and_comparison(spark):
     asked = spark.createDataFrame(
         [("f", 1, "a", "RAG"), ("f", 1, "a", "Baseline"), ("f", 2, "b", "RAG"), ("f", 2, "b?", "Baseline"),
@@ -106,7 +112,7 @@ def test_relevant_questions(spark):
     }
 
 
-KNOWN = ["customer_id", "CustomerName", "unit price", "order_date", "qty", "sex"]
+KNOWN = ["customer_id", "CustomerName", "unit price", "order_date", "qty", "sex", "order_days"]
 
 
 @pytest.fixture(scope="module")
@@ -137,8 +143,22 @@ def test_blocks_of_names_agree_with_one_block(spark, known, monkeypatch):
     assert {r.asked: (r.name, r.stage) for r in M.match_names(requested, known).collect()} == whole
 
 
+def test_no_known_names(spark, known):
+    requested = spark.createDataFrame([("qty",)], "asked string")
+    none = known.where("position < 0")
+    assert M.match_names(requested, none).collect() == [("qty", None, None)]
+    assert M.closest_by_sequence(requested, none).collect() == [("qty", None, None)]
+    assert M.unknown_names(requested, none).collect() == [("qty", 1, None)]
+
+
+def test_positions_may_have_gaps(spark):
+    names = spark.createDataFrame([(70_000, "qty"), (5, "price")], "position int, name string")
+    requested = spark.createDataFrame([("qty",)], "asked string")
+    assert M.match_names(requested, names).first().name == "qty"
+
+
 def test_sequence_ratio(spark, known):
-    asked = ["custmer id", "ordr_dat", "quty", "zzzz", "unitprices", "naem", "customer_di"]
+    asked = ["custmer id", "ordr_dat", "quty", "zzzz", "unitprices", "naem", "customer_di", "order_dat_id"]
     clean = [r[0] for r in known.orderBy("position").select(M.clean_name(F.col("name"))).collect()]
     got = {
         r.asked: r.name
