@@ -31,11 +31,11 @@ AGGREGATION_WORDS = {
 }
 
 QUESTION_TYPES = {
-    "count": "count|number|how many",
-    "sum": "sum|total",
-    "average": "avg|average|mean",
-    "top": "top|highest|max",
-    "filter": "where|with|having",
+    "count": ["count", "number", "how many"],
+    "sum": ["sum", "total"],
+    "average": ["avg", "average", "mean"],
+    "top": ["top", "highest", "max"],
+    "filter": ["where", "with", "having"],
 }
 
 # Each pattern stands with the parts one of which a matching text must contain.
@@ -119,7 +119,8 @@ def token_set(text: Column) -> Column:
 
 def has_word(text: Column, *words: str) -> Column:
     """One of the words or phrases stands in the text between word ends, in any case."""
-    return text.rlike(f"(?i){BEFORE}(?:{'|'.join(words)}){AFTER}")
+    between_ends = text.rlike(f"(?i){BEFORE}(?:{'|'.join(words)}){AFTER}")
+    return contains_any(F.lower(text), list(words)) & between_ends
 
 
 def keywords(text: Column) -> Column:
@@ -164,7 +165,7 @@ def question_filters(text: Column) -> Column:
 def question_type(text: Column) -> Column:
     case = None
     for kind, words in QUESTION_TYPES.items():
-        hit = has_word(text, words)
+        hit = has_word(text, *words)
         case = F.when(hit, kind) if case is None else case.when(hit, kind)
     plain = case.otherwise("general")
     counted = (aggregation_intent(text) == "count") & (F.size(question_filters(text)) > 0)
