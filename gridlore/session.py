@@ -29,13 +29,13 @@ def get_session(app: str = "gridlore", cores: int | None = None) -> SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder named by the session.
 
-    Executors on other machines read what is written there, so a machine-local folder is used only
-    when the session names none, which is the case in local tests.
+    Executors on other machines read what is written there. Only a session on one machine that names
+    no folder, as in local tests, gets a folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="gridlore-")
         spark.sparkContext.setCheckpointDir(base)
     run = spark.sparkContext.applicationId
