@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.session import spread
 
-
-def table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A table of the folder; ``spread_by`` asks for parallel per-row work even on a small file."""
-    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    return spread(df, spread_by) if spread_by else df
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def register(df: DataFrame, name: str) -> DataFrame:
