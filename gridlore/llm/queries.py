@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm import exact_dedup, line_dedup, mixing, url_filter
+from gridlore.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash, token_counts, topk, url_filter
 from gridlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,30 @@ def op2_source_mix(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+@query("op4_simhash")
+def op4_simhash(spark, sf):
+    return simhash.near_groups(table(spark, sf, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark, sf):
+    return token_counts.count_tokens(table(spark, sf, "documents"))
+
+
+@query("op6_topk_search", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM c)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op6_topk_search(spark, sf):
+    return topk.search(table(spark, sf, "embeddings"))
+
+
 def _term_sql(terms: tuple[str, ...]) -> str:
     return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INTEGER)" for t in terms)
 
@@ -86,6 +110,17 @@ def op7_url_filter(spark, sf):
     return url_filter.judge(table(spark, sf, "pages"))
 
 
+@query("op8_quality_rules")
+def op8_quality_rules(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf, "labels")))
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
 @query("op10_line_dedup", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
