@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlore.session import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -24,3 +26,14 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("_row.*")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``materialise`` that also lets go of the shuffle files behind the table, which nothing reads any more."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.set(key, before)

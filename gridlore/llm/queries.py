@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash, token_counts, topk, url_filter
+from gridlore.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_counts, topk, url_filter
 from gridlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op2_source_mix(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+@query("op3_repeated_strings")
+def op3_repeated_strings(spark, sf):
+    return suffix_dedup.without_repeats(table(spark, sf, "documents")).drop("kept")
+
+
 @query("op4_simhash")
 def op4_simhash(spark, sf):
     return simhash.near_groups(table(spark, sf, "documents")).select(

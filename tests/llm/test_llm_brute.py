@@ -14,7 +14,7 @@ from brute import SF, components_of
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from gridlore.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash, token_counts, topk, url_filter
+from gridlore.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_counts, topk, url_filter
 from gridlore.llm.components import components
 from gridlore.llm.word_bpe import Merges
 
@@ -346,3 +346,56 @@ def test_url_filter_odd_rows(spark):
     }
     assert url_filter.judge(pages.limit(0)).collect() == []
     assert re.search("://", urls[15])
+
+
+def strings_left(docs, length=100):
+    """doc_id -> (bytes, removed, spans, digest of what is left), each string of so many bytes looked up."""
+    seen, out = set(), {}
+    for i, t in sorted(docs):
+        data = t.encode()
+        gone = np.zeros(len(data) + 1, bool)
+        for p in range(len(data) - length + 1):
+            s = data[p : p + length]
+            if s in seen:
+                gone[p : p + length] = True
+            seen.add(s)
+        edges = int((gone & ~np.r_[False, gone[:-1]]).sum())
+        left = bytes(b for b, g in zip(data, gone, strict=False) if not g)
+        out[i] = (len(data), int(gone.sum()), edges, hashlib.sha256(left).hexdigest())
+    return out
+
+
+def removed(df):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()}
+
+
+def test_repeated_strings(spark, rows):
+    got = removed(QUERIES["op3_repeated_strings"](spark, SF))
+    want = strings_left(rows)
+    assert got == want and sum(n for _, n, _, _ in want.values()) > 10_000
+
+
+def test_repeated_strings_of_hard_texts(spark, odd, empty, monkeypatch):
+    rng = np.random.default_rng(11)
+    piece = lambda n: "".join(rng.choice(list("ab c\né"), n))
+    passages = [piece(n) for n in (99, 100, 101, 150, 400)]
+    texts = ["a" * 700, "ab" * 300, "a" * 350 + "b" * 350, "abc" * 200 + "ab", "", "a" * 99, "a" * 100]
+    for _ in range(40):
+        texts.append(piece(rng.integers(0, 150)) + passages[rng.integers(5)] + piece(rng.integers(0, 90)) + passages[rng.integers(5)][:130])
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert removed(suffix_dedup.without_repeats(frame)) == strings_left(docs)
+    odd_rows = odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    assert removed(suffix_dedup.without_repeats(odd_rows)) == strings_left([(r.doc_id, r.text or "") for r in odd_rows.collect()])
+    assert suffix_dedup.without_repeats(odd).count() == odd.count()
+    assert suffix_dedup.without_repeats(empty).collect() == []
+
+
+def test_samples_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 101, n, np.uint8)) for n in (5000, 99, 100, 3000, 0, 250)]
+    whole = {(int(r), int(p) - d) for rows, places, _, lo, hi in suffix_dedup.samples(texts) for r, p, a, b in zip(rows, places, lo, hi, strict=True) for d in range(a, b + 1)}
+    assert whole == {(i, p) for i, t in enumerate(texts) for p in range(len(t) - 99)}  # every string has one
+    places = {(int(r), int(p)) for rows, at, *_ in suffix_dedup.samples(texts) for r, p in zip(rows, at, strict=True)}
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
+    assert {(int(r), int(p)) for rows, at, *_ in suffix_dedup.samples(texts) for r, p in zip(rows, at, strict=True)} == places
