@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, e
             parts = []
             for block in words.blocks(text):
                 cut, _ = words.cut(block)
-                new = list(set(cut) - known.keys())
+                new = list(set(cut).difference(known))
                 for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, "<u4").tobytes()
                 parts.append(b"".join(map(known.__getitem__, cut)))

@@ -40,7 +40,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
         known = dict(special)
 
         def settle(blocks: list[list[str]]) -> list[int]:
-            new = list(set().union(*blocks) - known.keys())
+            new = list(set().union(*blocks).difference(known))
             if new:
                 known.update(zip(new, merges.counts([w.encode() for w in new]).tolist(), strict=True))
             count = known.__getitem__
