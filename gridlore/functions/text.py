@@ -17,10 +17,11 @@ NAME = f"{START}({WORD})"
 BEFORE = r"(?:^|[^\p{L}\p{N}_])"
 AFTER = r"(?:$|[^\p{L}\p{N}_])"
 
-STOP_WORDS = (
-    "the a an is are was were be been being have has had having do does did doing done "
-    "will would shall should may might must can could and or but if then else when where why how"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having",
+    "do", "does", "did", "doing", "done", "will", "would", "shall", "should", "may", "might", "must",
+    "can", "could", "and", "or", "but", "if", "then", "else", "when", "where", "why", "how",
+]
 
 AGGREGATION_WORDS = {
     "average": ["average", "avg", "mean"],
@@ -202,10 +203,12 @@ def search_terms(text: Column) -> Column:
     return F.filter(F.array_distinct(terms), lambda t: t != "")
 
 
-def analysis_terms(text: Column) -> Column:
-    """Search terms from the analysis of a question: its keywords, first three mentions, conditions
+def analysis_terms(text: Column, mentions_used: int | None = None) -> Column:
+    """Search terms from the analysis of a question: its keywords, mentions (all, or so many), conditions
     and kind of aggregate, after the question itself."""
-    mentions = F.slice(column_mentions(text), 1, 3)
+    mentions = column_mentions(text)
+    if mentions_used is not None:
+        mentions = F.slice(mentions, 1, mentions_used)
     filters = F.flatten(
         F.transform(
             question_filters(text),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlore.operators import profile as P
-from gridlore.operators.cleaning import SHOWN_COLUMNS, boolean_text, display_cell, families
+from gridlore.operators.cleaning import boolean_text, display_cell, families
 from gridlore.operators.quantiles import quantiles, wide
 from gridlore.session import materialise
 from gridlore.sources.tables import sample_rows
@@ -33,10 +33,7 @@ FORMAT_TEXTS = {
 }
 TYPE_NAMES = {"integer": "int64", "fraction": "float64", "boolean": "bool", "text": "object", "datetime": "datetime64[ns]"}
 SAMPLE_ROWS = 5
-ID_COLUMNS_SHOWN = 3
 ID_SAMPLES = 5
-NUMBER_COLUMNS_SHOWN = 5
-TEXT_COLUMNS_SHOWN = 5
 # ---- end of fixed values -------------------------------------------------------------------------
 
 
@@ -87,7 +84,7 @@ def column_profile(df: DataFrame, key: str) -> DataFrame:
     if numeric:
         quartiles = wide(quantiles(df, kind["numeric"], [0.25, 0.75]), {0.25: "q25", 0.75: "q75"})
         stats = P.numeric_stats(df, kind["numeric"]).drop("count")
-        out = out.join(stats, "column", "left").join(quartiles, "column", "left")
+        out = out.join(stats, "column", "left").join(quartiles.drop("count"), "column", "left")
     else:
         for c in ("mean", "std", "min", "max", "q25", "q75"):
             out = out.withColumn(c, F.lit(None).cast("double"))
@@ -110,9 +107,11 @@ def _joined(rows: Column, n: int, sep: str = ", ") -> Column:
     return F.array_join(F.transform(F.slice(rows, 1, n), lambda r: r["value"]), sep)
 
 
-def profile_chunks(df: DataFrame, key: str) -> DataFrame:
+def profile_chunks(df: DataFrame, key: str, shown: int | None = None) -> DataFrame:
     """The chunk table of a table: chunk_id, ordinal, type, column, content.
 
+    Lists of columns name all columns, or the first ``shown`` of each kind.
+
     All texts are put together from the column profile, which has one row per column, and from the first
     rows; no step handles the rows of the table again.
     """
@@ -124,8 +123,8 @@ def profile_chunks(df: DataFrame, key: str) -> DataFrame:
         _numeric_chunk(profile),
         _text_chunks(profile),
         _samples_chunk(profile),
-        _rows_chunk(df, key),
-        _insights_chunk(profile),
+        _rows_chunk(df, key, shown),
+        _insights_chunk(profile, shown),
         _column_chunks(profile),
     ]
     out = parts[0]
@@ -211,8 +210,8 @@ def _samples_chunk(profile: DataFrame) -> DataFrame:
     return _one(profile, 3, "schema_samples", "schema_with_samples", content)
 
 
-def _rows_chunk(df: DataFrame, key: str) -> DataFrame:
-    shown = df.columns[:SHOWN_COLUMNS]
+def _rows_chunk(df: DataFrame, key: str, columns: int | None) -> DataFrame:
+    shown = df.columns[:columns]
     booleans = families(df)["boolean"]
 
     def cell(c: str) -> Column:
@@ -229,7 +228,8 @@ def _rows_chunk(df: DataFrame, key: str) -> DataFrame:
     return _one(few, 4, "data_rows", "data_rows_table", F.concat(title, F.lit(head), body))
 
 
-def _insights_chunk(profile: DataFrame) -> DataFrame:
+def _insights_chunk(profile: DataFrame, shown: int | None) -> DataFrame:
+    most = F.lit(2**31 - 1 if shown is None else shown)
     by_position = Window.orderBy("position")  # one row per column of the table
 
     def place(flag: str) -> Column:
@@ -242,9 +242,9 @@ def _insights_chunk(profile: DataFrame) -> DataFrame:
         place("is_text").alias("text_place"),
     )
 
-    def names(flag: str, limit: int | None = None, place_column: str = "") -> Column:
-        shown = F.col(flag) if limit is None else F.col(flag) & (F.col(place_column) <= limit)
-        picked = F.array_sort(F.collect_list(F.when(shown, F.struct("position", "column"))))
+    def names(flag: str, place_column: str | None = None) -> Column:
+        named = F.col(flag) & (F.col(place_column) <= most) if place_column else F.col(flag)
+        picked = F.array_sort(F.collect_list(F.when(named, F.struct("position", "column"))))
         return F.array_join(F.transform(picked, lambda r: r["column"]), ", ")
 
     def texts(shown: Column, text: Column) -> Column:
@@ -252,14 +252,14 @@ def _insights_chunk(profile: DataFrame) -> DataFrame:
         return F.array_join(F.transform(picked, lambda r: r["t"]), "")
 
     id_samples = texts(
-        F.col("id_like") & (F.col("id_place") <= ID_COLUMNS_SHOWN),
+        F.col("id_like") & (F.col("id_place") <= most),
         F.concat(
             F.lit("  "), F.col("column"), F.lit(" samples: "),
             F.coalesce(_joined(F.col("first"), ID_SAMPLES), F.lit("")), F.lit("\n"),
         ),
     )
     ranges = texts(
-        F.col("is_numeric") & (F.col("number_place") <= NUMBER_COLUMNS_SHOWN) & (F.col("non_null") > 0),
+        F.col("is_numeric") & (F.col("number_place") <= most) & (F.col("non_null") > 0),
         F.concat(
             F.lit("  "), F.col("column"), F.lit(": "), fixed(F.col("min"), 0), F.lit(" to "),
             fixed(F.col("max"), 0), F.lit(" (avg: "), fixed(F.col("mean"), 0), F.lit(")\n"),
@@ -281,7 +281,7 @@ def _insights_chunk(profile: DataFrame) -> DataFrame:
         if_any("id_like", F.concat(F.lit("ID/Key columns: "), names("id_like"), F.lit("\n\n"), id_samples, F.lit("\n"))),
         if_any("is_numeric", F.concat(F.lit("Numeric filter columns: "), names("is_numeric"), F.lit("\n\n"), ranges)),
         if_any("is_text", F.concat(
-            F.lit("\nText filter columns: "), names("is_text", TEXT_COLUMNS_SHOWN, "text_place"), F.lit("\n"), common)),
+            F.lit("\nText filter columns: "), names("is_text", "text_place"), F.lit("\n"), common)),
     )
     return _one(p, 5, "query_insights", "query_focused", content)
 

@@ -18,7 +18,6 @@ CELL_WIDTH = 15
 CELL_LIMIT = 12
 CELL_KEPT = 9
 CELL_MARK = "..."
-SHOWN_COLUMNS = 8
 
 
 def families(df: DataFrame) -> dict[str, list[str]]:

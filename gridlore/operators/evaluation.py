@@ -38,12 +38,13 @@ FAILED_SAFETY = 1.0
 FAILED_OVERALL = 0.1
 
 KEPT_SOURCES = 5
-SOURCE_CHARS = 200
 SOURCE_MARK = "..."
 # ---- end of fixed values -------------------------------------------------------------------------
 
 SCORES = list(WEIGHTS)
 KEYS = ["csv_file", "question_id", "question", "mode"]
+# a number names a question within its file only
+RESPONSE = ["csv_file", "question_id", "mode"]
 
 
 def factuality() -> Column:
@@ -98,7 +99,7 @@ def source_quality(sources: DataFrame) -> DataFrame:
     def kept(n: Column) -> Column:
         return F.least(n, F.lit(KEPT_SOURCES))
 
-    return sources.groupBy("question_id", "mode").agg(
+    return sources.groupBy(*RESPONSE).agg(
         kept(F.count("*")).alias("sources"),
         kept(F.count_if(F.col("similarity") > HIGH_SIMILARITY)).alias("high"),
         kept(F.count_if(F.col("similarity") > MEDIUM_SIMILARITY)).alias("medium"),
@@ -109,11 +110,11 @@ def score_responses(responses: DataFrame, sources: DataFrame) -> DataFrame:
     """Scores per response.
 
     responses(csv_file, question_id, question, mode, sql_query, answer, sql_valid, execution_success,
-    row_count), sources(question_id, mode, similarity). What a response lacks counts as false, 0 or empty.
+    row_count), sources(csv_file, question_id, mode, similarity). What a response lacks counts as false, 0 or empty.
     """
     responses = responses.na.fill(False, ["sql_valid", "execution_success"])
     responses = responses.na.fill(0, ["row_count"]).na.fill("", ["sql_query", "answer"])
-    joined = responses.join(source_quality(sources), ["question_id", "mode"], "left").na.fill(
+    joined = responses.join(source_quality(sources), RESPONSE, "left").na.fill(
         0, ["sources", "high", "medium"]
     )
     scored = joined.select(
@@ -147,16 +148,17 @@ def with_failed(asked: DataFrame, scored: DataFrame) -> DataFrame:
         "safety_score": F.lit(FAILED_SAFETY),
         "overall_score": F.lit(FAILED_OVERALL),
     }
-    known = scored.select("question_id", "mode", *default)
-    joined = asked.select(*KEYS).join(known, ["question_id", "mode"], "left")
+    known = scored.select(*RESPONSE, *default)
+    joined = asked.select(*KEYS).join(known, RESPONSE, "left")
     return joined.select(*KEYS, *[F.coalesce(c, d).alias(c) for c, d in default.items()])
 
 
 def compare_modes(records: DataFrame, first: str = "RAG", second: str = "Baseline") -> DataFrame:
     """Both modes of a question side by side, where both asked the same words.
 
-    A question has at most one record per mode, so conditional aggregates set them side by side with one
-    shuffle and one pass over the records instead of a join of two passes.
+    Conditional aggregates set the records side by side with one shuffle and one pass instead of a join of two
+    passes. Of several records of a question and mode one stands whole: that with the highest overall score, then
+    the highest in the order of the fields.
     """
     kept = {
         "overall_score": "overall_score",
@@ -165,19 +167,19 @@ def compare_modes(records: DataFrame, first: str = "RAG", second: str = "Baselin
         "execution_success": "execution_success",
     }
 
-    def of(mode: str, column: str) -> Column:
-        return F.max(F.when(F.col("mode") == mode, F.col(column)))
-
-    aggs = [of(first, "question").alias("question"), of(second, "question").alias("_other")]
+    record = F.struct(*kept, "retrieved_sources_count", "question")
+    pairs = records.groupBy("csv_file", "question_id").agg(
+        *[F.max(F.when(F.col("mode") == m, record)).alias(side) for m, side in ((first, "_1"), (second, "_2"))]
+    )
+    columns = [F.col("_1.question").alias("question")]
     for column, name in kept.items():
-        aggs += [
-            of(first, column).alias(f"{first.lower()}_{name}"),
-            of(second, column).alias(f"{second.lower()}_{name}"),
+        columns += [
+            F.col(f"{side}.{column}").alias(f"{m.lower()}_{name}") for m, side in ((first, "_1"), (second, "_2"))
         ]
-    aggs.append(of(first, "retrieved_sources_count").alias(f"{first.lower()}_sources_count"))
-    pairs = records.groupBy("csv_file", "question_id").agg(*aggs).where("question = _other")
+    columns.append(F.col("_1.retrieved_sources_count").alias(f"{first.lower()}_sources_count"))
+    pairs = pairs.where("_1.question = _2.question").select("csv_file", "question_id", *columns)
     gain = F.col(f"{first.lower()}_overall_score") - F.col(f"{second.lower()}_overall_score")
-    return pairs.drop("_other").withColumn("improvement", F.round(gain, 6))
+    return pairs.withColumn("improvement", F.round(gain, 6))
 
 
 def summarise(comparison: DataFrame) -> DataFrame:
@@ -198,14 +200,13 @@ def summarise(comparison: DataFrame) -> DataFrame:
     )
 
 
-def response_sources(sources: DataFrame) -> DataFrame:
-    """The most similar sources of each response, with the start of their text."""
-    w = Window.partitionBy("question_id", "mode").orderBy(F.col("similarity").desc(), "source_id")
-    return (
-        sources.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= KEPT_SOURCES)
-        .withColumn("content", F.concat(F.substring("content", 1, SOURCE_CHARS), F.lit(SOURCE_MARK)))
-    )
+def response_sources(sources: DataFrame, chars: int | None = None) -> DataFrame:
+    """The most similar sources of each response, with their text or, if asked for, its start and a mark."""
+    w = Window.partitionBy(*RESPONSE).orderBy(F.col("similarity").desc(), "source_id")
+    kept = sources.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= KEPT_SOURCES)
+    if chars is None:
+        return kept
+    return kept.withColumn("content", F.concat(F.substring("content", 1, chars), F.lit(SOURCE_MARK)))
 
 
 def file_stem(path: Column) -> Column:
@@ -217,23 +218,17 @@ def relevant_questions(questions: DataFrame, files: DataFrame) -> DataFrame:
     """(question_id, csv_file) where a source of the question names the file.
 
     questions(question_id, sources array<struct<csv_name>>), files(csv_file). A source names a file when
-    it contains the file's stem, which covers equal names with and without the ending. Every substring of
-    each distinct source name is looked up among the stems, so that the containment test is an equi-join.
+    it contains the file's stem, which covers equal names with and without the ending. Substrings of each distinct
+    source name, of those lengths only that stems have, are looked up among the stems by an equi-join.
     """
     stems = files.select("csv_file", file_stem(F.col("csv_file")).alias("stem")).where("stem <> ''")
     named = questions.select("question_id", F.explode("sources.csv_name").alias("name"))
-    size = F.length("name")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda start: F.transform(
-                F.sequence(F.lit(1), size - start + 1), lambda n: F.substring(F.col("name"), start, n)
-            ),
-        )
-    )
-    names = named.select("name").where("name <> ''").distinct()
+    lengths = stems.agg(F.collect_set(F.length("stem"))).scalar()  # as many as there are lengths of names
+    starts = F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)
+    spans = F.transform(starts, lambda start: F.substring(F.col("name"), start, F.col("n")))
+    names = named.select("name").where("name <> ''").distinct().select("name", F.explode(lengths).alias("n"))
     matches = (
-        names.select("name", F.explode(F.array_distinct(spans)).alias("stem"))
+        names.where("n <= length(name)").select("name", F.explode(F.array_distinct(spans)).alias("stem"))
         .join(stems, "stem")
         .select("name", "csv_file")
     )

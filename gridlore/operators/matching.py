@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlore.session import materialise
+
 # ---- fixed values of the match -------------------------------------------------------------------
 FUZZY_CUTOFF = 0.6
 SYNONYMS = {
@@ -26,11 +25,6 @@ SYNONYMS = {
 STAGES = ["exact", "any case", "part", "without underscores", "similar", "synonym", "related"]
 # ---- end of fixed values -------------------------------------------------------------------------
 
-BLOCK_NAMES = 500
-BROADCAST_BLOCKS = 20
-SALTS = 64
-
-
 def clean_name(column: Column) -> Column:
     """The rule for clean column names, as a column expression."""
     word = F.regexp_replace(column, "[\"'`]", "")
@@ -48,69 +42,149 @@ def _has_any(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(words))
 
 
-def _candidate(asked: Column, known: Column) -> Column:
-    """Stage, order within the stage and score of one known name for one requested name."""
-    name, position = known["clean"], known["position"]
-    ratio = edit_ratio(asked, name)
-    synonym = F.lit(None).cast("int")
-    related = F.lit(False)
-    for i, (key, words) in reversed(list(enumerate(SYNONYMS.items()))):
-        synonym = F.when(asked.contains(key) & _has_any(name, words), i).otherwise(synonym)
-        related = related | (_has_any(asked, [key, *words]) & _has_any(name, [key, *words]))
-    stage = (
-        F.when(asked == name, 1)
-        .when(asked == F.lower(known["name"]), 2)
-        .when(name.contains(asked) | asked.contains(name), 3)
-        .when(F.replace(asked, F.lit("_"), F.lit("")) == F.replace(name, F.lit("_"), F.lit("")), 4)
-        .when(ratio >= FUZZY_CUTOFF, 5)
-        .when(synonym.isNotNull(), 6)
-        .when(related, 7)
-    )
-    order = F.when(stage == 5, -ratio).when(stage == 6, synonym.cast("double")).otherwise(0.0)
-    return F.struct(
-        stage.alias("stage"), order.alias("order"), position.alias("position"), known["name"].alias("name")
-    )
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """All different runs of one to three letters."""
+    size = F.length(text)
+    return F.array_distinct(F.flatten(F.transform(
+        F.filter(F.array(*[F.lit(n) for n in range(1, GRAM + 1)]), lambda n: n <= size),
+        lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(text, at, n)),
+    )))
+
+
+def _containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """(out, in): all pairs in which the text ``out`` contains the text ``in``; empty texts are left out.
+
+    A contained text is looked up under the one of its runs of letters that fewest outer texts have, and only what is
+    found there is compared.
+    """
+    looked_up = outer.select("out").distinct().select("out", F.explode(_grams(F.col("out"))).alias("gram"))
+    counts = looked_up.groupBy("gram").agg(F.count("*").alias("n"))
+    longest = F.filter(_grams(F.col("in")), lambda g: F.length(g) == F.least(F.lit(GRAM), F.length("in")))
+    keys = inner.select("in").distinct().select("in", F.explode(longest).alias("gram")).join(counts, "gram", "left")
+    rarest = keys.groupBy("in").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k"))
+    rarest = rarest.where("k.n > 0").select("in", F.col("k.gram").alias("gram"))
+    return rarest.join(looked_up, "gram").where(F.contains("out", "in")).select("out", "in")
+
+
+def _allowed(a: Column, b: Column) -> Column:
+    """The most edits with which words of these lengths still count as similar."""
+    return F.floor(F.greatest(a, b) * (1 - FUZZY_CUTOFF) + 1e-6).cast("int")
+
+
+def _lengths(size: Column) -> Column:
+    """Lengths that a similar word can have."""
+    return F.sequence(F.ceil(size * FUZZY_CUTOFF - 1e-6).cast("int"), F.floor(size / FUZZY_CUTOFF + 1e-6).cast("int"))
 
 
-def _with_blocks(requested: DataFrame, names: DataFrame) -> DataFrame:
-    """Each requested name next to every block of known names, about BLOCK_NAMES names each.
+def _similar(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, c, ratio): all pairs of words of asked(a) and known(c) with a ratio of at least the cutoff.
 
-    A few blocks are broadcast after counting the names; more are joined on (block, salt).
+    With at most d edits, one of d + 1 parts of the known word stands unchanged in the other, moved by d letters at most.
+    Words therefore meet by equal length of both, number and text of a part; the ratio is computed for these pairs only.
     """
-    blocks = max(1, -(-names.count() // BLOCK_NAMES))
-    known = names.select(
-        "position", "name", clean_name(F.col("name")).alias("clean"),
-        F.pmod(F.xxhash64("position", "name"), F.lit(blocks)).alias("block"),
-    ).groupBy("block").agg(F.collect_list(F.struct("position", "name", "clean")).alias("known"))
+    c, a = F.col("c"), F.col("a")
 
-    def numbers(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    def begin(i: Column, size: Column, d: Column) -> Column:
+        return F.floor(i * size / (d + 1)).cast("int")
 
-    rows = requested.withColumn("block", numbers(blocks))
-    if blocks <= BROADCAST_BLOCKS:
-        return rows.join(F.broadcast(known), "block", "left").drop("block")
-    salted = known.withColumn("salt", numbers(SALTS))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("asked"), F.lit(SALTS)))
-    return rows.join(salted, ["block", "salt"], "left").drop("block", "salt")
+    def parts(la: Column) -> Column:
+        d = _allowed(la, F.length(c))
+        return F.transform(F.sequence(F.lit(0), d), lambda i: F.struct(
+            la.alias("la"), F.length(c).alias("lc"), i.alias("i"),
+            F.substring(c, begin(i, F.length(c), d) + 1, begin(i + 1, F.length(c), d) - begin(i, F.length(c), d)).alias("part"),
+        ))
+
+    def places(lc: Column) -> Column:
+        la, d = F.length(a), _allowed(F.length(a), lc)
+
+        def around(i: Column) -> Column:
+            size = begin(i + 1, lc, d) - begin(i, lc, d)
+            starts = F.filter(F.sequence(begin(i, lc, d) - d, begin(i, lc, d) + d), lambda s: (s >= 0) & (s + size <= la))
+            return F.transform(starts, lambda s: F.struct(
+                la.alias("la"), lc.alias("lc"), i.alias("i"), F.substring(a, s + 1, size).alias("part")
+            ))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), d), around))
+
+    names = known.select("c").where("c <> ''").distinct()
+    names = names.select("c", F.explode(F.flatten(F.transform(_lengths(F.length(c)), parts))).alias("k"))
+    words = asked.select("a").where("a <> ''").distinct()
+    words = words.select("a", F.explode(F.array_distinct(F.flatten(F.transform(_lengths(F.length(a)), places)))).alias("k"))
+    pairs = words.join(names, "k").select("a", "c").distinct().withColumn("ratio", edit_ratio(a, c))
+    return pairs.where(F.col("ratio") >= FUZZY_CUTOFF)
+
+
+def _stage(number: int, order: Column | float = 0.0) -> Column:
+    order = order if isinstance(order, Column) else F.lit(order)
+    return F.struct(F.lit(number).alias("stage"), order.cast("double").alias("order"), "position", "name").alias("found")
+
+
+def _firsts(known: DataFrame, key: Column, name: str) -> DataFrame:
+    """The known name with the smallest position for each value of a key."""
+    first = known.groupBy(key.alias(name)).agg(F.min(F.struct("position", "name")).alias("_first"))
+    return first.select(name, "_first.*")
 
 
 def match_names(requested: DataFrame, names: DataFrame) -> DataFrame:
     """(asked, name, stage): the known name that each distinct requested name means, or null.
 
     requested(asked), names(position, name); positions give the order of the names. The first stage that has any match
-    wins; within it the position decides, or the similarity for the 'similar' stage.
+    wins; within it the position decides, or the similarity for the 'similar' stage. Every stage is an equi-join, and
+    the costly ones see only what the cheap ones have left.
     """
-    distinct = requested.select("asked").where("asked IS NOT NULL").distinct()
-    distinct = distinct.withColumn("clean_asked", clean_name(F.col("asked")))
-    pairs = _with_blocks(distinct, names)
-    found = F.array_min(
-        F.filter(
-            F.transform("known", lambda k: _candidate(F.col("clean_asked"), k)),
-            lambda c: c["stage"].isNotNull(),
-        )
-    )
-    best = pairs.withColumn("found", found).groupBy("asked").agg(F.min("found").alias("found"))
+    asked = requested.select("asked").where("asked IS NOT NULL").distinct().withColumn("a", clean_name(F.col("asked")))
+    known = names.select("position", "name", clean_name(F.col("name")).alias("c"))
+
+    def bare(c: str) -> Column:
+        return F.replace(F.col(c), F.lit("_"), F.lit(""))
+
+    equal = [
+        asked.join(_firsts(known, F.col("c"), "a"), "a").select("asked", _stage(1)),
+        asked.join(_firsts(known, F.lower("name"), "a"), "a").select("asked", _stage(2)),
+        asked.withColumn("b", bare("a")).join(_firsts(known, bare("c"), "b"), "b").select("asked", _stage(4)),
+    ]
+    found = equal[0].unionAll(equal[1]).unionAll(equal[2]).groupBy("asked").agg(F.min("found").alias("found"))
+    state = materialise(asked.join(found, "asked", "left"), "names-equal")
+    rest = state.where("found IS NULL OR found.stage > 3").select("asked", "a")
+
+    by_clean = _firsts(known, F.col("c"), "c")
+    holding = _containing(by_clean.select(F.col("c").alias("out")), rest.select(F.col("a").alias("in"))).toDF("c", "a")
+    held = _containing(rest.select(F.col("a").alias("out")), by_clean.select(F.col("c").alias("in"))).toDF("a", "c")
+    parts = rest.join(holding.unionByName(held).join(by_clean, "c"), "a").select("asked", _stage(3))
+    # an empty name is part of every name
+    everywhere = [
+        (F.col("a") == "", known.agg(F.min(F.struct("position", "name"))).scalar()),
+        (F.lit(True), known.where("c = ''").agg(F.min(F.struct("position", "name"))).scalar()),
+    ]
+    for holds, first in everywhere:
+        empty = rest.where(holds).select("asked", first.alias("_first")).where("_first IS NOT NULL")
+        parts = parts.unionAll(empty.select("asked", "_first.*").select("asked", _stage(3)))
+    parts = parts.groupBy("asked").agg(F.min("found").alias("_part"))
+    state = state.join(parts, "asked", "left")
+    state = materialise(state.select("asked", "a", F.least("found", "_part").alias("found")), "names-parts")
+    rest = state.where("found IS NULL").select("asked", "a")
+
+    similar = _similar(rest, by_clean).join(by_clean, "c").join(rest, "a").select("asked", _stage(5, -F.col("ratio")))
+
+    def kinds(text: str, words_of) -> Column:
+        numbers = [F.when(words_of(F.col(text), k, w), F.lit(i)) for i, (k, w) in enumerate(SYNONYMS.items())]
+        return F.explode(F.array_compact(F.array(*numbers)))
+
+    def by_kind(number: int, in_asked, in_known, order: bool) -> DataFrame:
+        few = _firsts(known.withColumn("kind", kinds("c", in_known)), F.col("kind"), "kind")
+        # at most one row per kind of synonym
+        met = rest.withColumn("kind", kinds("a", in_asked)).join(F.broadcast(few), "kind")
+        return met.select("asked", _stage(number, F.col("kind") if order else 0.0))
+
+    synonyms = by_kind(6, lambda t, k, w: t.contains(k), lambda t, k, w: _has_any(t, w), True)
+    either = lambda t, k, w: _has_any(t, [k, *w])
+    others = similar.unionAll(synonyms).unionAll(by_kind(7, either, either, False))
+    others = others.groupBy("asked").agg(F.min("found").alias("_other"))
     stages = F.array(*[F.lit(s) for s in STAGES])
+    best = state.join(others, "asked", "left").select("asked", F.coalesce("found", "_other").alias("found"))
     return best.select(
         "asked",
         F.col("found.name").alias("name"),
@@ -118,64 +192,12 @@ def match_names(requested: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def closest_by_sequence(requested: DataFrame, names: DataFrame) -> DataFrame:
-    """(asked, name, ratio): the known name with the highest matching-block ratio of at least 0.6; of
-    equally similar names the one that sorts last.
-
-    The ratio counts the letters of the longest common runs, found recursively, which no SQL function
-    computes; it is a small pandas function over distinct names.
-    """
-    distinct = requested.select("asked").where("asked IS NOT NULL").distinct()
-    distinct = distinct.withColumn("clean_asked", clean_name(F.col("asked")))
-    cutoff = FUZZY_CUTOFF
-
-    @F.pandas_udf("name string, ratio double, clean string")
-    def closest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
-
-        for asked, known in batches:
-            rows = []
-            for word, block in zip(asked, known):
-                matcher = SequenceMatcher()
-                matcher.set_seq2(word)
-                best = (None, None, None)
-                for k in block if block is not None else []:
-                    matcher.set_seq1(k["clean"])
-                    if matcher.real_quick_ratio() < cutoff or matcher.quick_ratio() < cutoff:
-                        continue
-                    ratio = matcher.ratio()
-                    better = best[1] is None or (ratio, k["clean"]) > (best[1], best[2])
-                    if ratio >= cutoff and better:
-                        best = (k["name"], ratio, k["clean"])
-                rows.append(best)
-            yield pd.DataFrame(rows, columns=["name", "ratio", "clean"]).astype({"ratio": "float64"})
-
-    scored = _with_blocks(distinct, names).withColumn("c", closest("clean_asked", "known"))
-    return scored.groupBy("asked").agg(
-        F.max_by("c.name", F.struct(F.coalesce("c.ratio", F.lit(-1.0)), "c.clean")).alias("name"),
-        F.max("c.ratio").alias("ratio"),
-    )
-
-
 def unknown_names(requested: DataFrame, names: DataFrame) -> DataFrame:
     """Requested names that are no known name, with the number of requests and the most similar name."""
     counts = requested.where("asked IS NOT NULL").groupBy("asked").agg(F.count("*").alias("requests"))
-    counts = counts.withColumn("clean_asked", clean_name(F.col("asked")))
-    known = names.select(clean_name(F.col("name")).alias("clean_asked")).distinct()
-    unknown = counts.join(known, "clean_asked", "left_anti")
-
-    def similar(k: Column) -> Column:
-        ratio = edit_ratio(F.col("clean_asked"), k["clean"])
-        return F.when(
-            ratio >= FUZZY_CUTOFF,
-            F.struct((-ratio).alias("order"), k["position"].alias("position"), k["name"].alias("name")),
-        )
-
-    best = F.array_min(F.transform("known", similar))
-    return (
-        _with_blocks(unknown, names)
-        .withColumn("best", best)
-        .groupBy("asked", "requests")
-        .agg(F.min("best").alias("best"))
-        .select("asked", "requests", F.col("best.name").alias("suggestion"))
-    )
+    counts = counts.withColumn("a", clean_name(F.col("asked")))
+    known = names.select("position", "name", clean_name(F.col("name")).alias("c"))
+    unknown = counts.join(known.select(F.col("c").alias("a")).distinct(), "a", "left_anti")
+    near = _similar(unknown, known).join(_firsts(known, F.col("c"), "c"), "c")
+    best = near.groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("order"), "position", "name")).alias("best"))
+    return unknown.join(best, "a", "left").select("asked", "requests", F.col("best.name").alias("suggestion"))

@@ -49,16 +49,14 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     quartiles = wide(
         quantiles(df, columns, [0.25, 0.5, 0.75]), {0.25: "q25", 0.5: "q50", 0.75: "q75"}
     )
-    return numeric_stats(df, columns).join(quartiles, "column", "left")
+    return numeric_stats(df, columns).join(quartiles.drop("count"), "column", "left")
 
 
 def typical_range(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The middle half of each numeric column that has more than ten values."""
     columns = columns or families(df)["numeric"]
-    counts = df.agg(*[F.count(number(c)).alias(f"{i}_count") for i, c in enumerate(columns)])
-    filled = _melt(counts, columns, ["count"]).where(F.col("count") > TYPICAL_RANGE_MIN_ROWS)
     quartiles = wide(quantiles(df, columns, [0.25, 0.75]), {0.25: "q25", 0.75: "q75"})
-    return filled.join(quartiles, "column").select("column", "count", "q25", "q75")
+    return quartiles.where(F.col("count") > TYPICAL_RANGE_MIN_ROWS).select("column", "count", "q25", "q75")
 
 
 def missing(df: DataFrame) -> DataFrame:

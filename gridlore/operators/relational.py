@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import operator
 import re
 from datetime import date
+from decimal import ROUND_FLOOR, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # ---- filters -------------------------------------------------------------------------------------
@@ -57,20 +60,44 @@ COMPARISONS = {
 }
 
 
-def compare_quoted(column: str, comparison: str, literal: str) -> Column:
-    """Compare a number column with quoted text as numbers: ``x = '123'`` means ``x = 123``.
+QUOTED_NUMBER = r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?\s*"
+WIDEST = 38  # digits that a decimal literal can have
 
-    The text is read while planning, so that the comparison reaches the scan. Text that is no number is
-    unequal to every number and otherwise matches nothing.
-    """
-    if re.fullmatch("[0-9]+", literal):
-        return COMPARISONS[comparison](F.col(column), F.lit(int(literal)))
-    return F.col(column).isNotNull() if comparison == "!=" else F.lit(False)
 
+def compare_quoted(df: DataFrame, column: str, comparison: str, literal: str) -> Column:
+    """Compare a number column with quoted text as numbers: ``x > '-12.5'`` means ``x > -12.5``.
 
-def in_quoted(column: str, literals: list[str]) -> Column:
-    """``x IN ('1', '2')`` on a number column."""
-    return F.col(column).isin([int(t) for t in literals if re.fullmatch("[0-9]+", t)])
+    The text is read while planning and becomes a literal of the column's type, so that the comparison reaches the
+    scan. Text that is no number is unequal to every number and otherwise matches nothing.
+    """
+    cell, kind = F.col(column), df.schema[column].dataType
+    unequal, always, never = comparison == "!=", F.col(column).isNotNull(), F.lit(False)
+    if not re.fullmatch(QUOTED_NUMBER, literal):
+        return always if unequal else never
+    value = Decimal(literal.strip())
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return COMPARISONS[comparison](cell, F.lit(float(value)).cast(kind))
+    if isinstance(kind, T.IntegralType):
+        if value.adjusted() >= 18:  # beyond every whole number of the column
+            holds = unequal or (comparison in ("<", "<=")) == (value > 0) and comparison != "="
+            return always if holds else never
+        below = int(value.to_integral_value(ROUND_FLOOR))
+        if below != value:  # between two whole numbers
+            if comparison in ("=", "!="):
+                return always if unequal else never
+            comparison = ">" if comparison in (">", ">=") else "<="
+        return COMPARISONS[comparison](cell, F.lit(below).cast(kind if abs(below) < 2**31 else T.LongType()))
+    exact = isinstance(kind, T.DecimalType) and value.normalize().as_tuple().exponent >= -kind.scale
+    if exact and value.adjusted() < kind.precision - kind.scale:
+        return COMPARISONS[comparison](cell, F.lit(f"{value:f}").cast(kind))
+    if len(value.as_tuple().digits) > WIDEST or abs(value.adjusted()) >= WIDEST:
+        return COMPARISONS[comparison](cell.cast("double"), F.lit(float(value)))
+    return COMPARISONS[comparison](cell, F.lit(value))
+
+
+def in_quoted(df: DataFrame, column: str, literals: list[str]) -> Column:
+    """``x IN ('1', '20.5')`` on a number column; texts that are no numbers match nothing."""
+    return functools.reduce(operator.or_, [compare_quoted(df, column, "=", t) for t in literals], F.lit(False))
 
 
 # ---- records that share a value ------------------------------------------------------------------

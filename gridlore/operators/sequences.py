@@ -8,6 +8,9 @@ once, because both sides must see the same ranges, also after a lost executor.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ def in_ranges(df: DataFrame, order: list[str | Column]) -> DataFrame:
 def with_next(df: DataFrame, group: list[str], order: list[str], take: dict[str, str]) -> DataFrame:
     """Add columns of the following row of the same group: ``take`` maps source column to new name.
 
-    ``order`` must be unique within a group; group columns must not be null.
+    ``order`` must be unique within a group; rows with a null group form a group of their own.
     """
     rows = in_ranges(df, [*group, *order])
     row = F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_take_{c}") for c in take])
@@ -35,11 +38,18 @@ def with_next(df: DataFrame, group: list[str], order: list[str], take: dict[str,
     along = Window.partitionBy(*group).orderBy("_part")
     heads = heads.select("_part", *group, F.lead("_head").over(along).alias("_outer"))
     following = F.coalesce(F.col("_inner"), F.col("_outer"))
-    return inner.join(heads, ["_part", *group], "left").select(
+    return _null_safe(inner, heads, ["_part", *group], "left").select(
         *df.columns, *[following[f"_take_{c}"].alias(name) for c, name in take.items()]
     )
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, a null being equal to a null; the keys are those of the left side."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Number all rows of a table from 1 along a unique order."""
     rows = in_ranges(df, order)
@@ -57,11 +67,13 @@ def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 def trailing_count(df: DataFrame, group: str, ts: str, window: str, name: str) -> DataFrame:
     """Add the number of rows of the same group with a time in [ts - window, ts]; ties count.
 
+    Rows with a null group form a group of their own; a row without a time is counted nowhere and gets no number.
+
     Rows are first counted per (group, time), so a time with many rows is one row from here on. The count
     is the running total at ``ts`` less the running total just before ``ts - window``; both come from one
     running sum in which each time appears twice: with its rows, and as a probe at its window's start.
     """
-    moments = df.groupBy(group, ts).agg(F.count("*").alias("_n"))
+    moments = df.where(F.col(ts).isNotNull()).groupBy(group, ts).agg(F.count("*").alias("_n"))
     start = F.col(ts) - F.expr(f"INTERVAL {window}")
     points = moments.select(
         group,
@@ -85,8 +97,8 @@ def trailing_count(df: DataFrame, group: str, ts: str, window: str, name: str) -
         .orderBy("_at", "_sign")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    running = rows.withColumn("_inside", F.sum("_w").over(upto)).join(offsets, ["_part", group])
+    running = _null_safe(rows.withColumn("_inside", F.sum("_w").over(upto)), offsets, ["_part", group])
     counted = running.groupBy(group, ts).agg(
         F.sum(F.col("_sign") * (F.col("_inside") + F.col("_offset"))).alias(name)
     )
-    return df.join(counted, [group, ts]).select(*df.columns, name)
+    return _null_safe(df, counted, [group, ts], "left").select(*df.columns, name)

@@ -14,14 +14,11 @@ from gridlore.plans.questions import NUMBERS, ORDER_QUESTION, ORDER_SQL_TEXT, an
 from gridlore.plans.questions import QUESTIONS_SQL, questions
 from gridlore.plans.registry import query
 from gridlore.plans.retrieval import COLUMN_CASE, TYPE_CASE, chunks, lexical_sql
-from gridlore.plans.scoring import DAYS_SQL, QA_SOURCES, QUESTION, QUESTION_ID, RECORDS_SQL, days, records
+from gridlore.plans.scoring import DAYS_SQL, QA_SOURCES, QUESTION, RECORDS_SQL, days, records
 from gridlore.session import scratch_path
 from gridlore.sources import files as N
 from gridlore.sources.tables import table
 
-JSON_ARRAY_ROWS = 20_000
-
-
 @query("scan_csv", f"""
 WITH {PARTS_SQL} SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM parts
 """)
@@ -33,12 +30,12 @@ def scan_csv(spark, sf):
 
 @query("sink_csv", f"WITH {PARTS_SQL} SELECT * REPLACE (p_name || ', \"' || p_brand || '\"' AS p_name) FROM parts")
 def sink_csv(spark, sf):
-    """Cells with commas and quotes, written and read back with a schema."""
+    """Cells with commas and quotes, written with their columns in another order and read back with a schema."""
     parts = parts_with_gaps(spark, sf).withColumn(
         "p_name", F.concat(F.col("p_name"), F.lit(', "'), F.col("p_brand"), F.lit('"'))
     )
     path = scratch_path(spark, "part-csv")
-    N.write_csv(parts, path)
+    N.write_csv(parts.select(*reversed(parts.columns)), path)
     return N.read_csv(spark, path, schema=parts.schema)
 
 
@@ -48,17 +45,11 @@ SELECT question, array_to_string([s1, s2, s3], '|') AS sources, CAST(3 AS INTEGE
 """)
 def scan_json(spark, sf):
     pairs = days(spark, sf).select(
-        F.expr(QUESTION_ID).alias("id"),
         F.expr(QUESTION).alias("question"),
         F.array(*[F.struct(F.expr(e).alias("csv_name")) for e in QA_SOURCES.values()]).alias("sources"),
     )
-    files = pairs.count() // JSON_ARRAY_ROWS + 1
-    arrays = (
-        pairs.groupBy(F.pmod(F.xxhash64("id"), F.lit(files)).alias("part"))
-        .agg(F.to_json(F.collect_list(F.struct("question", "sources"))).alias("value"))
-    )
     path = scratch_path(spark, "qa-json")
-    arrays.write.partitionBy("part").text(path)
+    N.write_json_arrays(pairs, path)
     read = N.read_json_array(spark, path)
     return read.select(
         "question", F.array_join("sources.csv_name", "|").alias("sources"), F.size("sources").alias("n")

@@ -9,7 +9,7 @@ from gridlore.operators import profile as P
 from gridlore.plans.registry import query
 from gridlore.sources.tables import table
 
-LINE_NUMBERS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PART_NUMBERS = ["p_partkey", "p_size", "p_retailprice"]
 PART_TEXT = ["p_name", "p_brand", "p_type"]
 
@@ -103,7 +103,7 @@ def project_columns(spark, sf):
 def display_cells(spark, sf):
     customers = table(spark, sf, "customer")
     return customers.select(
-        *[C.display_cell(F.col(c)).alias(c) for c in customers.columns[: C.SHOWN_COLUMNS]]
+        *[C.display_cell(F.col(c)).alias(c) for c in customers.columns]
     )
 
 
@@ -117,7 +117,7 @@ SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean,
        round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS q50,
        round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q75 FROM lines"""))
 def profile_numeric(spark, sf):
-    d = P.describe(lines_with_gaps(spark, sf), LINE_NUMBERS)
+    d = P.describe(lines_with_gaps(spark, sf))
     return d.select(
         "column", "count", "min", "max",
         *[F.round(c, 6).alias(c) for c in ("mean", "std", "q25", "q50", "q75")],
@@ -129,7 +129,7 @@ SELECT '{c}' AS "column", count({c}) AS count,
        round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q25,
        round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q75 FROM lines HAVING count({c}) > 10"""))
 def profile_iqr(spark, sf):
-    r = P.typical_range(lines_with_gaps(spark, sf), LINE_NUMBERS)
+    r = P.typical_range(lines_with_gaps(spark, sf))
     return r.select("column", "count", F.round("q25", 6).alias("q25"), F.round("q75", 6).alias("q75"))
 
 
@@ -176,7 +176,7 @@ def category_share(spark, sf):
     return shares.select("column", F.col("value").alias("text"), "n", F.round("share", 6).alias("share"))
 
 
-@query("first_distinct_values", f"WITH {PARTS_SQL}, {long_sql('parts', ['p_size', 'p_retailprice'], PART_TEXT, 'p_partkey')}" + """
+@query("first_distinct_values", f"WITH {PARTS_SQL}, {long_sql('parts', PART_NUMBERS, PART_TEXT, 'p_partkey')}" + """
 SELECT "column", text, number, position FROM (
   SELECT "column", text, number,
          CAST(row_number() OVER (PARTITION BY "column" ORDER BY min(o)) AS INTEGER) AS position
@@ -184,9 +184,7 @@ SELECT "column", text, number, position FROM (
 WHERE position <= 8
 """)
 def first_distinct_values(spark, sf):
-    counts = P.value_counts(
-        parts_with_gaps(spark, sf), ["p_size", "p_retailprice", *PART_TEXT], ordinal="p_partkey"
-    )
+    counts = P.value_counts(parts_with_gaps(spark, sf), ordinal="p_partkey")
     firsts = P.first_values(counts)
     return firsts.select("column", *P.split_value(firsts), "position")
 
@@ -198,7 +196,7 @@ def pair_sql(a, b):
 @query("correlation_matrix", f"WITH {LINES_SQL}\n" + "\nUNION ALL\n".join(
     pair_sql(a, b) for i, a in enumerate(LINE_NUMBERS) for b in LINE_NUMBERS[i + 1:]))
 def correlation_matrix(spark, sf):
-    r = P.correlations(lines_with_gaps(spark, sf), LINE_NUMBERS)
+    r = P.correlations(lines_with_gaps(spark, sf))
     return r.withColumn("r", F.round("r", 6))
 
 
@@ -224,7 +222,7 @@ def histogram(spark, sf):
     )
 
 
-BOX_COLUMNS = ["value", "user_id"]
+BOX_COLUMNS = ["event_id", "user_id", "value"]
 
 
 @query("box_stats", union_sql(BOX_COLUMNS, """
@@ -239,14 +237,14 @@ FROM (SELECT CAST({c} AS DOUBLE) AS x FROM events),
      (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q2,
              quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM events)"""))
 def box_stats(spark, sf):
-    b = P.box_stats(table(spark, sf, "events"), BOX_COLUMNS)
+    b = P.box_stats(table(spark, sf, "events"))
     rounded = ["q25", "q50", "q75", "lower_fence", "upper_fence"]
     return b.select(*[F.round(c, 6).alias(c) if c in rounded else c for c in b.columns])
 
 
 # ---- quality -------------------------------------------------------------------------------------
 
-QUALITY_COLUMNS = ["l_orderkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_shipdate"]
+QUALITY_COLUMNS = [*LINE_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 @query("quality_missing", f"WITH {LINES_SQL}, m AS (" + union_sql(QUALITY_COLUMNS, """
@@ -255,7 +253,7 @@ SELECT '{c}' AS "column", count(*) - count({c}) AS missing,
 SELECT *, CAST(sum(missing) OVER () AS BIGINT) AS total_missing FROM m
 """)
 def quality_missing(spark, sf):
-    m = P.missing(lines_with_gaps(spark, sf).select(*QUALITY_COLUMNS))
+    m = P.missing(lines_with_gaps(spark, sf))
     return m.withColumn("missing_pct", F.round("missing_pct", 6))
 
 

@@ -126,16 +126,29 @@ def filter_within_24h(spark, sf):
 
 @query("typed_literal_filter", """
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders
-WHERE o_custkey = 17 OR o_custkey IN (21, 35) OR (o_custkey >= 40 AND o_custkey < 45)
+WHERE o_custkey = 17 OR o_custkey IN (21, 35) OR (o_custkey >= 39.5 AND o_custkey < 45 AND o_custkey > -1)
+  OR o_totalprice > 2.9e5 OR o_totalprice IN (SELECT min(o_totalprice) FROM orders) OR o_totalprice < -0.5
+  OR (o_totalprice <= 100000.75 AND o_totalprice >= 99000.25)
 """)
 def typed_literal_filter(spark, sf):
+    """Quoted whole numbers, decimals, negatives and exponents on a whole and on a fractional column."""
+    orders = table(spark, sf, "orders")
+    cheapest = str(orders.agg(F.min("o_totalprice")).first()[0])
+
+    def is_(column, comparison, literal):
+        return R.compare_quoted(orders, column, comparison, literal)
+
     chosen = (
-        R.compare_quoted("o_custkey", "=", "17")
-        | R.compare_quoted("o_custkey", "=", "17abc")
-        | R.in_quoted("o_custkey", ["21", "35", "x"])
-        | (R.compare_quoted("o_custkey", ">=", "40") & R.compare_quoted("o_custkey", "<", "45"))
+        is_("o_custkey", "=", "17")
+        | is_("o_custkey", "=", "17abc")
+        | R.in_quoted(orders, "o_custkey", ["21", "35", "x", "20.5"])
+        | (is_("o_custkey", ">=", "39.5") & is_("o_custkey", "<", "45") & is_("o_custkey", ">", "-1"))
+        | is_("o_totalprice", ">", "2.9e5")
+        | R.in_quoted(orders, "o_totalprice", [cheapest])
+        | is_("o_totalprice", "<", "-0.5")
+        | (is_("o_totalprice", "<=", "100000.75") & is_("o_totalprice", ">=", "99000.25"))
     )
-    return table(spark, sf, "orders").where(chosen).select("o_orderkey", "o_custkey", "o_totalprice")
+    return orders.where(chosen).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 # ---- joins ---------------------------------------------------------------------------------------
@@ -391,11 +404,17 @@ def trend_delta(spark, sf):
 
 
 @query("rolling_count", """
-SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts
-       RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS events_7d FROM events
+WITH e AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id,
+                  CASE WHEN event_id % 60 <> 0 THEN ts END AS ts FROM events)
+SELECT event_id, user_id, CASE WHEN ts IS NOT NULL THEN count(*) OVER (PARTITION BY user_id, ts IS NULL ORDER BY ts
+       RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) END AS events_7d FROM e
 """)
 def rolling_count(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    """Some events name no user, some no time."""
+    events = table(spark, sf, "events").select(
+        "event_id", F.expr("CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id"),
+        F.expr("CASE WHEN event_id % 60 <> 0 THEN ts END AS ts"),
+    )
     return Q.trailing_count(events, "user_id", "ts", "7 DAYS", "events_7d").drop("ts")
 
 

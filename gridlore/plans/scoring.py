@@ -44,7 +44,9 @@ FIELDS = {
     },
 }
 CSV_FILE = "concat('data/file_', user_id % 4, '.csv')"
-QUESTION_ID = "user_id * 100 + d"
+# numbers start anew in every file
+QUESTION_ID = "CAST(floor(user_id / 4) AS BIGINT) * 100 + d"
+DAY_ID = "user_id * 100 + d"
 SIMILARITY = "least(value / 100, 1.0)"
 
 DAYS_SQL = """days AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS d, count(*) AS n,
@@ -109,7 +111,8 @@ def responses(spark, sf):
 
 def sources(spark, sf):
     return table(spark, sf, "events").select(
-        F.expr("user_id * 100 + dayofmonth(ts)").alias("question_id"),
+        F.expr(CSV_FILE).alias("csv_file"),
+        F.expr(QUESTION_ID.replace(" d", " dayofmonth(ts)")).alias("question_id"),
         F.lit("RAG").alias("mode"),
         F.col("event_id").alias("source_id"),
         F.expr(SIMILARITY).alias("similarity"),
@@ -130,14 +133,14 @@ SAFETY = f"""CASE WHEN regexp_matches(lower(sql_query), '{'|'.join(S.UNSAFE_SQL)
 
 RECORDS_SQL = f"""{DAYS_SQL},
 asked AS ({mode_sql('RAG')} UNION ALL {mode_sql('Baseline')}),
-src AS (SELECT user_id * 100 + CAST(day(ts) AS INTEGER) AS question_id, 'RAG' AS mode, event_id AS source_id,
+src AS (SELECT {CSV_FILE} AS csv_file, {QUESTION_ID.replace(" d", " CAST(day(ts) AS INTEGER)")} AS question_id, 'RAG' AS mode, event_id AS source_id,
   {SIMILARITY} AS similarity, concat_ws(' ', event_type, props) AS content FROM events),
-sq AS (SELECT question_id, mode, least(count(*), 5) AS sources, count(*) FILTER (similarity > 0.7) AS high,
-  count(*) FILTER (similarity > 0.5) AS medium FROM src GROUP BY question_id, mode),
+sq AS (SELECT csv_file, question_id, mode, least(count(*), 5) AS sources, count(*) FILTER (similarity > 0.7) AS high,
+  count(*) FILTER (similarity > 0.5) AS medium FROM src GROUP BY csv_file, question_id, mode),
 parts AS (SELECT csv_file, question_id, question, mode, sql_valid, execution_success,
   coalesce(sources, 0) AS retrieved_sources_count, {FACTUALITY} AS factuality_score,
   {COMPLETENESS} AS completeness_score, {FAITHFULNESS} AS faithfulness_score, {SAFETY} AS safety_score
-  FROM asked LEFT JOIN sq USING (question_id, mode) WHERE errors < n),
+  FROM asked LEFT JOIN sq USING (csv_file, question_id, mode) WHERE errors < n),
 scored AS (SELECT *, round(factuality_score * 0.3::DOUBLE + completeness_score * 0.25::DOUBLE
   + faithfulness_score * 0.25::DOUBLE + safety_score * 0.2::DOUBLE, 6) AS overall_score FROM parts),
 records AS (SELECT a.csv_file, a.question_id, a.question, a.mode, coalesce(s.sql_valid, false) AS sql_valid,
@@ -146,7 +149,7 @@ records AS (SELECT a.csv_file, a.question_id, a.question, a.mode, coalesce(s.sql
   coalesce(factuality_score, 0.1::DOUBLE) AS factuality_score, coalesce(completeness_score, 0.1::DOUBLE) AS completeness_score,
   coalesce(faithfulness_score, CASE WHEN a.mode = 'Baseline' THEN 0.1 ELSE 0.2 END::DOUBLE) AS faithfulness_score,
   coalesce(safety_score, 1.0::DOUBLE) AS safety_score, coalesce(overall_score, 0.1::DOUBLE) AS overall_score
-  FROM asked a LEFT JOIN scored s USING (question_id, mode)),
+  FROM asked a LEFT JOIN scored s USING (csv_file, question_id, mode)),
 comparison AS (SELECT r.csv_file, r.question_id, r.question,
   r.overall_score AS rag_overall_score, b.overall_score AS baseline_overall_score,
   r.factuality_score AS rag_factuality, b.factuality_score AS baseline_factuality,
@@ -171,9 +174,9 @@ def records(spark, sf):
 
 
 def score_query(score):
-    @query(f"score_{score}", f"WITH {RECORDS_SQL} SELECT question_id, mode, {score}_score FROM scored")
+    @query(f"score_{score}", f"WITH {RECORDS_SQL} SELECT csv_file, question_id, mode, {score}_score FROM scored")
     def run(spark, sf):
-        return scored(spark, sf).select("question_id", "mode", f"{score}_score")
+        return scored(spark, sf).select("csv_file", "question_id", "mode", f"{score}_score")
 
     return run
 
@@ -217,8 +220,8 @@ def eval_win_rate(spark, sf):
 
 
 @query("response_sources", f"""WITH {RECORDS_SQL}
-SELECT question_id, mode, source_id, round(similarity, 6) AS similarity, content[1:200] || '...' AS content,
-       CAST(row_number() OVER (PARTITION BY question_id, mode ORDER BY similarity DESC, source_id) AS INTEGER) AS rank
+SELECT csv_file, question_id, mode, source_id, round(similarity, 6) AS similarity, content,
+       CAST(row_number() OVER (PARTITION BY csv_file, question_id, mode ORDER BY similarity DESC, source_id) AS INTEGER) AS rank
 FROM src QUALIFY rank <= 5
 """)
 def response_sources(spark, sf):
@@ -233,14 +236,14 @@ QA_SOURCES = {
 
 
 @query("question_relevance", f"""
-WITH {DAYS_SQL}, q AS (SELECT {QUESTION_ID} AS question_id, {', '.join(f'{e} AS {c}' for c, e in QA_SOURCES.items())} FROM days),
+WITH {DAYS_SQL}, q AS (SELECT {DAY_ID} AS question_id, {', '.join(f'{e} AS {c}' for c, e in QA_SOURCES.items())} FROM days),
 f AS (SELECT DISTINCT {CSV_FILE} AS csv_file, concat('file_', user_id % 4) AS stem FROM events),
 u AS (SELECT question_id, unnest([s1, s2, s3]) AS name FROM q)
 SELECT DISTINCT question_id, csv_file FROM u JOIN f ON contains(name, stem)
 """)
 def question_relevance(spark, sf):
     names = days(spark, sf).selectExpr(
-        f"{QUESTION_ID} AS question_id", *[f"{e} AS {c}" for c, e in QA_SOURCES.items()]
+        f"{DAY_ID} AS question_id", *[f"{e} AS {c}" for c, e in QA_SOURCES.items()]
     )
     qa = names.select(
         "question_id",
@@ -311,11 +314,6 @@ def name_match(spark, sf):
     return M.match_names(requested(spark, sf), nations(spark, sf))
 
 
-@query("name_match_ratio")
-def name_match_ratio(spark, sf):
-    return M.closest_by_sequence(requested(spark, sf), nations(spark, sf))
-
-
 @query("unknown_names", f"""
 WITH r AS (SELECT {REQUESTED} AS asked, count(*) AS requests FROM customer GROUP BY 1),
 q AS (SELECT asked, requests, {clean_sql('asked')} AS a FROM r),

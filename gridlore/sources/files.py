@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,15 +34,18 @@ def read_csv(
 ) -> DataFrame:
     """A CSV file or folder with a header row; missing-value tokens become null.
 
-    With a schema the file is read once, and cells that do not fit become null. Without one a pass over
-    the text finds the types. Line breaks inside quotes need ``multi_line``, which gives up splitting files.
+    With a schema, its columns are found by their names in the header, in any order, the file is read once, and cells
+    that do not fit become null; further files must have the header of the first. Without one a pass over the text
+    finds the types. Line breaks inside quotes need ``multi_line``, which gives up splitting files.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if schema is not None:
-        text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-        text = reader.schema(text_schema).csv(path)
+        header = reader.option("inferSchema", False).csv(path).columns or schema.names  # reads the first line only
+        text_schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        text = reader.schema(text_schema).option("enforceSchema", False).csv(path)
+        text = text.select(*[f"`{c}`" for c in schema.names])
     else:
         text = reader.option("inferSchema", False).csv(path)
     cells = text.select(
@@ -102,9 +108,27 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA)
     return spark.read.schema(schema).json(path)
 
 
-def write_records(df: DataFrame, path: str) -> None:
-    """Response records as JSON lines, in one folder per mode and table name."""
-    df.write.partitionBy("mode", "csv_name").json(path)
+def write_json_arrays(df: DataFrame, path: str, files: int = 8) -> None:
+    """Records as so many files, each one JSON array; a task writes its file record by record."""
+    text = df.select(F.to_json(F.struct("*")).alias("value"))
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            lines = []
+            for value in batch.column("value").to_pylist():
+                lines.append(mark + value)
+                mark = ","
+            yield pa.RecordBatch.from_pydict({"value": lines}, pa.schema([("value", pa.string())]))
+        yield pa.RecordBatch.from_pydict({"value": ["]" if mark == "," else "[]"]}, pa.schema([("value", pa.string())]))
+
+    text.repartition(files, F.xxhash64("value")).mapInArrow(bracketed, "value string").write.text(path)
+
+
+def write_records(df: DataFrame, path: str, files_per_key: int = 4) -> None:
+    """Response records as JSON lines, in one folder per mode and table name with at most so many files."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_key))
+    df.repartition("mode", "csv_name", salt).write.partitionBy("mode", "csv_name").json(path)
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

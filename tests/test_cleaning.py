@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,11 +56,23 @@ def test_display_cell(spark):
 
 def test_quoted_numbers(spark):
     df = spark.createDataFrame([(1, 123), (2, 5)], "i int, n int")
-    assert [r.i for r in df.where(R.compare_quoted("n", "=", "123")).collect()] == [1]
-    assert [r.i for r in df.where(R.compare_quoted("n", "<", "9")).collect()] == [2]
-    assert df.where(R.compare_quoted("n", "=", "123abc")).count() == 0
-    assert df.where(R.compare_quoted("n", "!=", "123abc")).count() == 2
-    assert [r.i for r in df.where(R.in_quoted("n", ["5", "x"])).collect()] == [2]
+    assert [r.i for r in df.where(R.compare_quoted(df, "n", "=", "123")).collect()] == [1]
+    assert [r.i for r in df.where(R.compare_quoted(df, "n", "<", "9")).collect()] == [2]
+    assert df.where(R.compare_quoted(df, "n", "=", "123abc")).count() == 0
+    assert df.where(R.compare_quoted(df, "n", "!=", "123abc")).count() == 2
+    assert [r.i for r in df.where(R.in_quoted(df, "n", ["5", "x"])).collect()] == [2]
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "double", "decimal(12,2)"])
+def test_quoted_numbers_of_every_form(spark, kind):
+    values = [-13, -12, -1, 0, 12, 13, 290000] + ([12.5, -12.5] if kind in ("double", "decimal(12,2)") else [])
+    df = spark.createDataFrame([(float(v),) for v in values], "n double").select(F.col("n").cast(kind))
+    literals = ["12.5", "-12.5", "-1", "+12", " 2.9e5 ", "13.", ".5", "1e99", "-1e99", "12.345"]
+    for literal in literals:
+        for sign, test in R.COMPARISONS.items():
+            want = sorted(float(v) for v in values if test(Decimal(v), Decimal(literal.strip())))
+            got = sorted(float(r.n) for r in df.where(R.compare_quoted(df, "n", sign, literal)).collect())
+            assert got == want, (sign, literal)
 
 
 def test_year_filter_reaches_the_scan(spark, tmp_path, capsys):

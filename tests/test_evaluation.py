@@ -1,6 +1,6 @@
 """Truth tables of the scores, the comparison, and name matching."""
 
-from difflib import get_close_matches
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +18,9 @@ def scores(spark, responses, sources=()):
     r = spark.createDataFrame(
         [("f.csv", i, f"q{i}", *x) for i, x in enumerate(responses)], RESPONSE
     )
-    s = spark.createDataFrame(list(sources), "question_id long, mode string, similarity double")
+    s = spark.createDataFrame(
+        [("f.csv", *x) for x in sources], "csv_file string, question_id long, mode string, similarity double"
+    )
     return {x.question_id: x for x in V.score_responses(r, s).collect()}
 
 
@@ -85,7 +87,7 @@ def test_failed_and_comparison(spark):
     responses = spark.createDataFrame(
         [("f", 1, "a", "RAG", "SELECT 1", "about 5", True, True, 2)], RESPONSE
     )
-    none = spark.createDataFrame([], "question_id long, mode string, similarity double")
+    none = spark.createDataFrame([], "csv_file string, question_id long, mode string, similarity double")
     records = V.with_failed(asked, V.score_responses(responses, none))
     got = {(r.question_id, r.mode): r for r in records.collect()}
     assert got[1, "Baseline"].overall_score == 0.1 and got[1, "Baseline"].faithfulness_score == 0.1
@@ -135,19 +137,10 @@ def test_match_stages(spark, known):
     assert got == cases
 
 
-def test_blocks_of_names_agree_with_one_block(spark, known, monkeypatch):
-    requested = spark.createDataFrame([(c,) for c in ("price", "cusomer_idd", "gender", "zz")], "asked string")
-    whole = {r.asked: (r.name, r.stage) for r in M.match_names(requested, known).collect()}
-    monkeypatch.setattr(M, "BLOCK_NAMES", 2)
-    monkeypatch.setattr(M, "BROADCAST_BLOCKS", 1)
-    assert {r.asked: (r.name, r.stage) for r in M.match_names(requested, known).collect()} == whole
-
-
 def test_no_known_names(spark, known):
     requested = spark.createDataFrame([("qty",)], "asked string")
     none = known.where("position < 0")
     assert M.match_names(requested, none).collect() == [("qty", None, None)]
-    assert M.closest_by_sequence(requested, none).collect() == [("qty", None, None)]
     assert M.unknown_names(requested, none).collect() == [("qty", 1, None)]
 
 
@@ -157,17 +150,66 @@ def test_positions_may_have_gaps(spark):
     assert M.match_names(requested, names).first().name == "qty"
 
 
-def test_sequence_ratio(spark, known):
-    asked = ["custmer id", "ordr_dat", "quty", "zzzz", "unitprices", "naem", "customer_di", "order_dat_id"]
-    clean = [r[0] for r in known.orderBy("position").select(M.clean_name(F.col("name"))).collect()]
-    got = {
-        r.asked: r.name
-        for r in M.closest_by_sequence(spark.createDataFrame([(a,) for a in asked], "asked string"), known).collect()
-    }
-    for a in asked:
-        word = spark.createDataFrame([(a,)], "a string").select(M.clean_name(F.col("a"))).first()[0]
-        close = get_close_matches(word, clean, n=1, cutoff=0.6)
-        assert got[a] == (KNOWN[clean.index(close[0])] if close else None), a
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similar_and_containing_pairs_are_complete(spark):
+    rnd = random.Random(5)
+    words = {"".join(rnd.choice("abc_") for _ in range(rnd.randrange(0, 9))) for _ in range(260)}
+    asked, known = sorted(words)[::2], sorted(words)[1::2]
+    a = spark.createDataFrame([(w,) for w in asked], "a string")
+    c = spark.createDataFrame([(w,) for w in known], "c string")
+    got = {(r.a, r.c) for r in M._similar(a, c).collect()}
+    assert got == {(x, y) for x in asked for y in known if x and y and 1 - edits(x, y) / max(len(x), len(y)) >= 0.6}
+    pairs = {(r.out, r["in"]) for r in M._containing(c.toDF("out"), a.toDF("in")).collect()}
+    assert pairs == {(y, x) for x in asked for y in known if x and x in y}
+
+
+def test_stages_agree_with_all_pairs(spark):
+    rnd = random.Random(6)
+    parts = ["date", "time", "name", "label", "id", "code", "sex", "gender", "qty", "x_", "_", "pay", ""]
+    known = [rnd.choice(parts) + rnd.choice(parts) + rnd.choice("abcde") for _ in range(40)] + ["''"]
+    asked = sorted({rnd.choice(parts) + rnd.choice("abcxyz") + rnd.choice(parts) for _ in range(80)} | {"", "!"})
+    names = spark.createDataFrame(list(enumerate(known)), "position int, name string")
+    requested = spark.createDataFrame([(w,) for w in asked], "asked string")
+    got = {r.asked: (r.name, r.stage) for r in M.match_names(requested, names).collect()}
+    clean = dict(spark.createDataFrame([(w,) for w in {*known, *asked}], "w string").select("w", M.clean_name(F.col("w"))).collect())
+
+    def stage(a, k, i):
+        c = clean[k]
+        ratio = 1 - edits(a, c) / max(len(a), len(c), 1)
+        has = lambda t, words: any(w in t for w in words)
+        synonym = [n for n, (w, others) in enumerate(M.SYNONYMS.items()) if w in a and has(c, others)]
+        related = any(has(a, [w, *others]) and has(c, [w, *others]) for w, others in M.SYNONYMS.items())
+        tests = [a == c, a == k.lower(), a in c or c in a, a.replace("_", "") == c.replace("_", ""), ratio >= 0.6, synonym, related]
+        n = next((n for n, t in enumerate(tests, 1) if t), None)
+        return n and (n, -ratio if n == 5 else synonym[0] if n == 6 else 0, i, k)
+
+    for w in asked:
+        best = min(filter(None, (stage(clean[w], k, i) for i, k in enumerate(known))), default=None)
+        assert got[w] == ((best[3], M.STAGES[best[0] - 1]) if best else (None, None)), w
+
+
+def test_equal_numbers_in_two_files_stay_apart(spark):
+    asked = spark.createDataFrame(
+        [(f, 1, "a", m) for f in ("f", "g") for m in ("RAG", "Baseline")], "csv_file string, question_id long, question string, mode string"
+    )
+    responses = spark.createDataFrame(
+        [("f", 1, "a", "RAG", "DROP x", "about 5", True, True, 2), ("g", 1, "a", "RAG", "SELECT 1", "about 5", True, True, 2)], RESPONSE
+    )
+    sources = spark.createDataFrame([("g", 1, "RAG", 0.9)], "csv_file string, question_id long, mode string, similarity double")
+    records = V.with_failed(asked, V.score_responses(responses, sources)).collect()
+    got = {(r.csv_file, r.mode): (r.safety_score, r.retrieved_sources_count) for r in records}
+    assert got == {("f", "RAG"): (0.0, 0), ("g", "RAG"): (1.0, 1), ("f", "Baseline"): (1.0, 0), ("g", "Baseline"): (1.0, 0)}
+    # of two records of one mode, one stands whole
+    twice = spark.createDataFrame([*records, records[0]])
+    assert V.compare_modes(twice).count() == 2
 
 
 def test_unknown_names(spark, known):

@@ -5,11 +5,12 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gridlore.operators import matching as M
 from gridlore.operators import quantiles as N
 from gridlore.operators import sequences as Q
-from gridlore.plans.profiling import LINE_NUMBERS, lines_with_gaps
 from gridlore.session import materialise, scratch_path
 from gridlore.sources.tables import table
 
@@ -50,7 +51,7 @@ def test_filters_reach_the_scan(spark, name, pushed):
         ("agg_basic", "struct<l_quantity:double,l_extendedprice:double>"),
         ("pair_counts", "struct<user_id:bigint,event_type:string>"),
         ("chunk_counts", "struct<lang:string>"),
-        ("lexical_search", "struct<doc_id:bigint,text:string>"),
+        ("dedupe_keep_first", "struct<doc_id:bigint,text:string,lang:string,source:string>"),
     ],
 )
 def test_only_needed_columns_are_read(spark, name, columns):
@@ -72,11 +73,21 @@ def test_sums_go_before_the_join(spark):
     assert text.index("Join") < text.index("partial_sum((cast(l_extendedprice")
 
 
-def test_large_quantiles_shuffle_no_values_of_whole_columns(spark):
-    df = N.quantiles(lines_with_gaps(spark, FOLDER), LINE_NUMBERS, [0.5], in_memory_cells=0)
-    for exchange in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan(df)):
-        if "value" in exchange:
-            assert "b2" in exchange  # only values of the bins that hold a wanted rank
+def test_quantiles_shuffle_values_of_narrow_bands_only(spark):
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("x"))
+    seen = N.quantiles(rows, ["x"], [0.25, 0.5], accuracy=1000)
+    text = plan(seen, "formatted")
+    assert "percentile_approx(" in text and " percentile(" not in text
+    exact = rows.select(F.percentile(F.col("x").cast("double"), F.array(F.lit(0.25), F.lit(0.5)))).first()[0]
+    assert [r.value for r in seen.orderBy("prob").collect()] == pytest.approx(exact, rel=1e-12)
+
+
+def test_names_meet_under_a_shared_key(spark):
+    words = spark.range(3).selectExpr("cast(id as string) AS w")
+    text = plan(M._containing(words.toDF("out"), words.toDF("in")))
+    assert "NestedLoop" not in text and re.search(r"Join \[gram", text)
+    text = plan(M._similar(words.toDF("a"), words.toDF("c")))
+    assert "NestedLoop" not in text and re.search(r"Join \[k", text)
 
 
 def test_intermediate_tables_go_to_the_shared_folder(spark):

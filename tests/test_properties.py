@@ -42,7 +42,7 @@ def test_outcomes_add_up(spark):
 def test_each_question_has_one_record_per_mode(spark):
     records = scoring.records(spark, FOLDER)
     asked = scoring.asked(spark, FOLDER)
-    assert records.count() == asked.count() == records.select("question_id", "mode").distinct().count()
+    assert records.count() == asked.count() == records.select("csv_file", "question_id", "mode").distinct().count()
     assert records.where("overall_score < 0.1 OR overall_score > 1").count() == 0
 
 

@@ -12,8 +12,6 @@ FOLDER = "/root/testdata/sf0.001"
 CORPUS = {**entry.CORPUS_QUERIES, **entry.PIPELINE_QUERIES}  # tested in a folder of their own
 QUERIES = {k: v for k, v in entry.queries().items() if k not in CORPUS}
 SQL = {k: v for k, v in entry.oracle_sql().items() if k not in CORPUS}
-# Results that SQL cannot state; their own tests compare them with plain Python.
-WITHOUT_SQL = {"name_match_ratio"}
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +19,8 @@ def con():
     return connect(FOLDER)
 
 
-def test_only_named_queries_lack_sql():
-    assert set(QUERIES) - set(SQL) == WITHOUT_SQL
+def test_all_queries_have_sql():
+    assert set(QUERIES) == set(SQL)
     assert set(SQL) <= set(QUERIES)
 
 

@@ -65,6 +65,16 @@ def test_with_rank(table, rows):
     assert {r.id: r.place for r in got} == expected
 
 
+def test_rows_without_group_or_time_stay(spark):
+    at = dt.datetime(2024, 1, 1)
+    data = [(1, None, at), (2, None, at), (3, 7, None), (4, 7, at)]
+    df = spark.createDataFrame(data, "id long, user long, ts timestamp")
+    got = {r.id: r.n for r in Q.trailing_count(df, "user", "ts", "1 DAY", "n").collect()}
+    assert got == {1: 2, 2: 2, 3: None, 4: 1}
+    following = {r.id: r.after for r in Q.with_next(df.where("ts IS NOT NULL"), ["user"], ["ts", "id"], {"id": "after"}).collect()}
+    assert following == {1: 2, 2: None, 4: None}
+
+
 def test_trailing_count(table, rows):
     times = defaultdict(list)
     for _, user, ts in rows:

@@ -113,6 +113,9 @@ def one(spark, expr, value):
         ("SELECT 1 /* one\ntwo */ + 2\n\nThis query adds", "SELECT 1 + 2"),
         ("no statement; here", "no statement"),
         ("nothing", "nothing"),
+        ("Here's what you want:\n```\nSELECT a FROM t\n```\nDone", "SELECT a FROM t Done"),
+        ("It's easy: SELECT a /* no end", "SELECT a"),
+        ("Use SELECT a FROM t -- not; here\nWHERE b = 1; ok", "SELECT a FROM t WHERE b = 1"),
     ],
 )
 def test_clean_sql(spark, text, expected):
@@ -126,6 +129,7 @@ def test_clean_sql(spark, text, expected):
         ("select a where b = 1", "select a FROM data WHERE b = 1"),
         ("SELECT a FROM t WHERE b = 1", "SELECT a FROM t WHERE b = 1"),
         ("SELECT a FROM t", "SELECT a FROM t"),
+        ("SELECT a WHERE b = 'FROM' FROM t GROUP BY a", "SELECT a FROM t WHERE b = 'FROM' GROUP BY a"),
     ],
 )
 def test_repair_sql(spark, text, expected):
