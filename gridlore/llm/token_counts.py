@@ -1,7 +1,8 @@
 """Token counts by rank-synchronous merging.
 
-Texts are cut into words, the tokenizer's pre-tokens. A task keeps the counts of words it has met; new words of a block of
-texts are gathered and merged together in ragged numpy arrays (``word_bpe.Merges``), all pairs of lowest rank at once.
+Texts are cut into chunks between white space, and chunks into the tokenizer's pre-tokens. A task remembers the symbols of
+chunks it has met; the pre-tokens of new chunks are gathered over many texts and merged together in ragged numpy arrays
+(``word_bpe.Merges``), in each of them all pairs of lowest rank at once. The surviving symbols are counted.
 """
 
 from __future__ import annotations
@@ -13,11 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm.common import whole_text
-from gridlore.llm.word_bpe import Merges, Words
+from gridlore.llm.word_bpe import Known
 
 LIMIT = 2048
-KNOWN_WORDS = 400_000  # a task forgets its counts beyond this number and starts anew
-GATHERED_CHARS = 1 << 20  # texts gathered before their new words are merged
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -35,35 +34,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, merges = Words(path), Merges(path)
-        special = dict.fromkeys(words.special, 1)
-        known = dict(special)
-
-        def settle(blocks: list[list[str]]) -> list[int]:
-            new = list(set().union(*blocks).difference(known))
-            if new:
-                known.update(zip(new, merges.counts([w.encode() for w in new]).tolist(), strict=True))
-            count = known.__getitem__
-            sums = [sum(map(count, b)) for b in blocks]
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-                known.update(special)
-            return sums
-
+        known = Known(path)
         for b in batches:
-            texts = b.column("text")
-            tokens, gathered, rows, chars = [0] * len(texts), [], [], 0
-            for row, text in enumerate(texts):
-                for block in words.blocks(text.as_py()):
-                    gathered.append(words.cut(block)[0])
-                    rows.append(row)
-                    chars += len(block)
-                    if chars >= GATHERED_CHARS:
-                        for r, n in zip(rows, settle(gathered), strict=True):
-                            tokens[r] += n
-                        gathered, rows, chars = [], [], 0
-            for r, n in zip(rows, settle(gathered) if gathered else [], strict=True):
-                tokens[r] += n
+            tokens = [len(ids) // 4 for ids in known.ids(t.as_py() for t in b.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("n_bytes"), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             )

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -17,10 +17,13 @@ import numpy as np
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLOCK_CHARS = 1 << 20  # of a text that are cut into words at a time
+GATHERED_CHARS = 1 << 20  # of texts whose new chunks are merged together
+SLOT_BITS = 20  # of the tables in which pairs are looked up
+KNOWN_CHUNKS = 400_000  # that a task remembers
 
 
 class Words:
-    """Cuts texts into words, and names the special strings among them."""
+    """Cuts texts into chunks between white space, and chunks into words."""
 
     def __init__(self, path: str):
         import regex
@@ -32,38 +35,46 @@ class Words:
             raise ValueError(f"{path} is not a word BPE file of the kind that is known here")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, self.special)))
-        own = PATTERN.replace(r"\s", WHITE_SPACE)
-        self._find = regex.compile(own).findall
-        # texts of ASCII only need no properties of characters
-        self._find_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
-        self._cut = re.compile(f"[{WHITE_SPACE}]")
+        self._find = regex.compile(PATTERN.replace(r"\s", WHITE_SPACE)).findall
+        self._white = re.compile(f"[{WHITE_SPACE}]")
+        self._whites = re.compile(f"[{WHITE_SPACE}]+")
+        self._separators = re.compile("[\x1c-\x1f]")  # white space for str.split, but not for the tokenizer
+
+    def words_of(self, chunk: str) -> list[str]:
+        if chunk.isalpha():  # a run of letters is one word
+            return [chunk]
+        if chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self._find(chunk)
 
     def blocks(self, text: str) -> Iterator[str]:
         """A long text in parts that end before white space, where no word and no character goes on."""
         pos = 0
         while pos < len(text):
-            stop = self._cut.search(text, pos + BLOCK_CHARS)
+            stop = self._white.search(text, pos + BLOCK_CHARS)
             end = stop.start() if stop else len(text)
             yield text[pos:end]
             pos = end
 
-    def plain(self, text: str) -> list[str]:
-        if text.isascii():
-            return self._find_ascii(text.lower())
-        if "Σ" in text:
-            text = text.replace("Σ", "σ")  # lowered alone, not by its place in the word
-        return self._find(unicodedata.normalize("NFC", text).lower())
-
-    def cut(self, text: str) -> tuple[list[str], int]:
-        """The words of a block in order, a special string standing for itself, and the number of special strings."""
-        if not self._special.search(text):
-            return self.plain(text), 0
-        words, pos, n = [], 0, 0
+    def _plain(self, text: str) -> list[str]:
+        if not text.isascii():
+            if "Σ" in text:
+                text = text.replace("Σ", "σ")  # lowered alone, not by its place in the word
+            text = unicodedata.normalize("NFC", text)
+        if self._separators.search(text):
+            return [c for c in self._whites.split(text.lower()) if c]
+        return text.lower().split()
+
+    def chunks(self, text: str) -> list[str]:
+        """What stands between white space in a block, in order; a special string stands for itself."""
+        if "<|" not in text or not self._special.search(text):
+            return self._plain(text)
+        chunks, pos = [], 0
         for m in self._special.finditer(text):
-            words += self.plain(text[pos : m.start()])
-            words.append(m.group())
-            pos, n = m.end(), n + 1
-        return words + self.plain(text[pos:]), n
+            chunks += self._plain(text[pos : m.start()])
+            chunks.append(m.group())
+            pos = m.end()
+        return chunks + self._plain(text[pos:])
 
 
 def byte_symbols() -> list[str]:
@@ -87,28 +98,50 @@ class Merges:
         self.width = max(vocab.values()) + 1
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.made, self.rank = keys[order], made[order], order.astype(np.int64)
+        self.none = len(keys)
+        # of pairs and what they become, by rank; the last entry is that of no pair
+        self.keys, self.made = np.append(keys, -1), np.append(made, -1)
+        self.slots: list[tuple[np.uint64, np.ndarray]] = []
+        left = np.arange(self.none)
+        while len(left):  # pairs that share a slot go to the next table
+            factor = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.slots) * 0x517CC1B727220A95 & (1 << 64) - 1 | 1)
+            table = np.full(1 << SLOT_BITS, self.none, np.int32)
+            at = self._slot(keys[left], factor)
+            table[at] = left
+            self.slots.append((factor, table))
+            left = left[table[at] != left]
+
+    @staticmethod
+    def _slot(pairs: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return (pairs.astype(np.uint64) * factor >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def ranks(self, pairs: np.ndarray) -> np.ndarray:
+        """The rank of each pair, and the number of pairs for one that is never merged."""
+        out = np.full(len(pairs), self.none, np.int32)
+        for factor, table in self.slots:
+            found = table[self._slot(pairs, factor)]
+            hit = self.keys[found] == pairs
+            out[hit] = found[hit]
+        return out
 
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        """The number of symbols that survive in each word; no word may be empty.
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that survive in all words, one word after the other, and their number in each; no word is empty.
 
         All words lie in one array of symbols. In every round each word finds its pair of lowest rank and merges all its
         occurrences at once, of overlapping ones every other from the left; words without a pair leave the array.
         """
-        none = np.int64(len(self.keys))
+        none = np.int32(self.none)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         symbols = self.first[flat]
         ends = np.cumsum(sizes) - 1
         symbols[ends] = self.last[flat[ends]]
         owner = np.repeat(np.arange(len(words)), sizes)
-        out = sizes.copy()
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols) > 1:
-            pair = symbols[:-1] * self.width + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), none - 1)
-            known = (self.keys[at] == pair) & (owner[:-1] == owner[1:])
-            rank = np.append(np.where(known, self.rank[at], none), none)
+            rank = np.full(len(symbols), none)
+            inside = np.flatnonzero(owner[:-1] == owner[1:])
+            rank[inside] = self.ranks(symbols[inside] * self.width + symbols[inside + 1])
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             lengths = np.diff(np.r_[starts, len(owner)])
             lowest = np.repeat(np.minimum.reduceat(rank, starts), lengths)
@@ -119,10 +152,59 @@ class Merges:
             touching = np.r_[False, merge[1:] & merge[:-1]]
             merge &= ~touching | ((place - run) % 2 == 0)
             where = np.flatnonzero(merge)
-            symbols[where] = self.made[at[where]]
-            keep = np.ones(len(symbols), bool)
-            keep[where + 1] = False
-            keep &= lowest < none
-            out -= np.bincount(owner[where], minlength=len(out))
-            symbols, owner = symbols[keep], owner[keep]
-        return out
+            symbols[where] = self.made[rank[where]]
+            stays = lowest < none
+            done.append((owner[~stays], symbols[~stays]))
+            stays[where + 1] = False
+            symbols, owner = symbols[stays], owner[stays]
+        owner, symbols = (np.concatenate(x) for x in zip(*done, (owner, symbols), strict=True))
+        return symbols[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+
+class Known:
+    """The ids of chunks that a task has met, as bytes; beyond ``limit`` chunks it forgets them and starts anew."""
+
+    def __init__(self, path: str, limit: int = KNOWN_CHUNKS):
+        self.words, self.merges, self.limit = Words(path), Merges(path), limit
+        self.special = {s: np.array([i], "<u4").tobytes() for s, i in self.words.special.items()}
+        self.of = dict(self.special)
+
+    def learn(self, blocks: list[list[str]]) -> None:
+        """Merge the words of all chunks of some blocks that are new, together."""
+        if len(self.of) > self.limit:
+            self.of = dict(self.special)
+        new = list(set().union(*blocks).difference(self.of))
+        if not new:
+            return
+        cut = [self.words.words_of(c) for c in new]
+        words = [w.encode() for c in cut for w in c]
+        flat, counts = self.merges.ids(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        data = flat.astype("<u4").tobytes()
+        ends = np.r_[0, np.cumsum(counts)][np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))] * 4
+        begins = [0, *ends[:-1].tolist()]
+        self.of.update((c, data[b:e]) for c, b, e in zip(new, begins, ends.tolist(), strict=True))
+
+    def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, four bytes each; new chunks of about GATHERED_CHARS characters are merged together."""
+        rows: list[list[str]] = []
+        chars = 0
+        for text in texts:
+            if len(text) > BLOCK_CHARS:
+                yield from self._settled(rows)
+                rows, chars = [], 0
+                parts = []
+                for block in self.words.blocks(text):
+                    parts += self._settled([self.words.chunks(block)])
+                yield b"".join(parts)
+                continue
+            rows.append(self.words.chunks(text))
+            chars += len(text)
+            if chars >= GATHERED_CHARS:
+                yield from self._settled(rows)
+                rows, chars = [], 0
+        yield from self._settled(rows)
+
+    def _settled(self, rows: list[list[str]]) -> list[bytes]:
+        self.learn(rows)
+        of = self.of.__getitem__
+        return [b"".join(map(of, chunks)) for chunks in rows]

@@ -118,8 +118,9 @@ def test_token_counts_and_ids_of_hard_texts(spark):
 def test_merges_of_random_words():
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("aabbcenthsiog"), rng.integers(1, 30))) for _ in range(3000)] + ["a" * n for n in range(1, 40)]
-    got = Merges(str(public_tokenizers.path("word_bpe_49k.json"))).counts([w.encode() for w in words])
-    assert got.tolist() == [len(e.ids) for e in TOKENIZER.encode_batch(words, add_special_tokens=False)]
+    flat, counts = Merges(str(public_tokenizers.path("word_bpe_49k.json"))).ids([w.encode() for w in words])
+    want = [e.ids for e in TOKENIZER.encode_batch(words, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
 
 
 def test_long_text_is_cut_in_blocks(spark, monkeypatch):
@@ -130,8 +131,9 @@ def test_long_text_is_cut_in_blocks(spark, monkeypatch):
     import gridlore.llm.word_bpe as word_bpe
 
     monkeypatch.setattr(word_bpe, "BLOCK_CHARS", 50)
-    words = word_bpe.Words(token_counts.tokenizer_path())
-    assert "".join(words.blocks(text)) == text and sum(len(words.cut(b)[0]) for b in words.blocks(text)) == len(words.cut(text)[0])
+    known = word_bpe.Known(token_counts.tokenizer_path(), limit=100)
+    assert "".join(known.words.blocks(text)) == text
+    assert [len(x) // 4 for x in known.ids(["a b", text, "", "c"])] == [2, n, 0, 1]
 
 
 def check_packing(docs, packed, sequence=2048):
