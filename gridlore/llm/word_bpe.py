@@ -66,13 +66,13 @@ class Words:
         return text.lower().split()
 
     def chunks(self, text: str) -> list[str]:
-        """What stands between white space in a block, in order; a special string stands for itself."""
+        """What stands between white space in a block, in order; a special string has a blank before it."""
         if "<|" not in text or not self._special.search(text):
             return self._plain(text)
         chunks, pos = [], 0
         for m in self._special.finditer(text):
             chunks += self._plain(text[pos : m.start()])
-            chunks.append(m.group())
+            chunks.append(" " + m.group())
             pos = m.end()
         return chunks + self._plain(text[pos:])
 
@@ -166,7 +166,7 @@ class Known:
 
     def __init__(self, path: str, limit: int = KNOWN_CHUNKS):
         self.words, self.merges, self.limit = Words(path), Merges(path), limit
-        self.special = {s: np.array([i], "<u4").tobytes() for s, i in self.words.special.items()}
+        self.special = {" " + s: np.array([i], "<u4").tobytes() for s, i in self.words.special.items()}
         self.of = dict(self.special)
 
     def learn(self, blocks: list[list[str]]) -> None:
