@@ -37,3 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
         return materialise(df, name)
     finally:
         conf.set(key, before)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of written tables that nothing reads any more, to keep the peak of disk low."""
+    for t in tables:
+        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)

@@ -4,7 +4,7 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier,
 up in the same one. Not all suffixes are sorted. As in induced sorting, only those at local minima are, and what lies to the
 left of them is induced:
 
-1. *Sample.* A suffix is sampled where its first ``GRAM`` bytes rank lowest in some string of ``LENGTH`` bytes. Every such
+1. *Sample.* Of equal texts the first one stands for all. A suffix is sampled where its first ``GRAM`` bytes rank lowest in some string of ``LENGTH`` bytes. Every such
    string has one sampled suffix, found from its own bytes alone, so equal strings have it at the same place, and the
    strings that share one start at consecutive places to its left.
 2. *Sort.* Sampled suffixes whose first bytes occur once cannot lie in a repeated string and drop out. The others become
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlore.llm.common import written
+from gridlore.llm.common import discard, written
 
 LENGTH = 100
 GRAM = 16
@@ -119,9 +119,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("_key"), text.cast("binary").alias("_bytes"))
 
 
-def repeated_grams(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, _key and _grams: of every document the hashes of sampled first bytes that occur more than once."""
+def sampled_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, _key, _n (bytes), _copy and _grams (hashes of the first bytes of sampled suffixes) of every document.
+
+    Whole copies are found first, so that only the first of equal texts goes through the sort: _copy marks the others.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "_key", "_other", "_n", "_grams"]
+    rows = _texts(docs).withColumn("_other", F.xxhash64(F.lit("other"), "_bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,25 +136,36 @@ def repeated_grams(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             rows, hashes = (np.concatenate([none, *(x[i] for x in found)]) for i in (0, 2))
             offsets = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(own)))]
             grams = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_key"), grams], ["doc_id", "_key", "_grams"])
+            sizes = pa.array([len(t) for t in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_key"), b.column("_other"), sizes, grams], names)
+
+    each = written(rows.mapInArrow(run, f"doc_id {kind}, _key long, _other long, _n long, _grams array<long>"), "sampled")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id")).alias("_first")
+    firsts = each.groupBy("_key", "_other").agg(least)
+    marked = each.join(firsts, ["_key", "_other"]).withColumn("_copy", ~F.col("doc_id").eqNullSafe(F.col("_first.doc_id")))
+    out = written(marked.select("doc_id", "_key", "_n", "_copy", F.when(~F.col("_copy"), F.col("_grams")).alias("_grams")), "documents")
+    discard(each)
+    return out
+
 
-    each = written(_texts(docs).mapInArrow(run, f"doc_id {kind}, _key long, _grams array<long>"), "grams")
-    often = each.select(F.explode("_grams").alias("gram")).groupBy("gram").count().filter("count > 1").select("gram")
-    own = each.select("doc_id", "_key", F.explode("_grams").alias("gram")).join(often, "gram")
-    return own.groupBy("doc_id", "_key").agg(F.collect_set("gram").alias("_grams"))
+def repeated_grams(sampled_: DataFrame) -> DataFrame:
+    """doc_id, _key and _grams: of every document that is no copy, the hashes that occur more than once."""
+    each = sampled_.filter("NOT _copy").select("doc_id", "_key", F.explode("_grams").alias("gram"))
+    often = each.groupBy("gram").count().filter("count > 1").select("gram")
+    return each.join(often, "gram").groupBy("doc_id", "_key").agg(F.collect_set("gram").alias("_grams"))
 
 
 TUPLE = "gram long, c1 long, c2 long, least int, most int, doc_id {kind}, _key long, at long, right binary, left binary"
 
 
-def tuples(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def tuples(docs: DataFrame, grams: DataFrame, length: int = LENGTH) -> DataFrame:
     """The tuple of every sampled suffix whose first bytes occur more than once.
 
     gram (hash of the first bytes), c1 and c2 (a digest of right, left, least and most), least, most, doc_id, _key, at (its
     place), right (bytes from the place on, as far as its strings go) and left (bytes before it, the nearest first).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = repeated_grams(docs, length).withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "_k")
+    lists = grams.withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "_k")
     rows = _texts(docs).join(lists, F.expr("doc_id <=> _id AND _key = _k")).select("doc_id", "_key", "_bytes", "_grams")
     names = [c.split()[0] for c in TUPLE.split(", ")]
 
@@ -238,22 +254,34 @@ def induced(tuples_: DataFrame, length: int = LENGTH) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, _key, start, end: spans of bytes, overlapping ones too, that cover all that is to go."""
     place = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "_key", "at")
-    found = written(tuples(docs, length), "tuples")
+    not_first = ~place.eqNullSafe(F.col("first"))
+    span = ["doc_id", "_key", "start", "end"]
+
+    own = sampled_documents(docs, length)
+    found = written(tuples(docs, repeated_grams(own), length), "tuples")
+    copies = written(own.filter(F.col("_copy") & (F.col("_n") >= length)).selectExpr("doc_id", "_key", "0L AS start", "_n AS end"), "copies")
+    discard(own)
+
     same = found.groupBy("gram", "c1", "c2").agg(F.min(place).alias("first"))
     several = same.groupBy("gram").agg(F.count("*").alias("kinds"))
-    same = written(same.join(several, "gram"), "kinds").select("c1", "c2", F.col("gram").alias("g"), "first", "kinds")
-    on = ["c1", "c2"]
-    not_first = ~place.eqNullSafe(F.col("first"))
-    again = found.drop("left", "right").join(same, on).filter(not_first)
-    whole = again.select("doc_id", "_key", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + length).alias("end"))
-    kept = found.join(same.filter("kinds > 1"), on).filter(~not_first).drop("g", "first", "kinds")
-    by_right = written(_sorted_with(written(kept, "sample"), "right", "left", "shared_right", length), "by-right")
-    by_right = by_right.filter((F.col("shared_right") + F.col("most") >= length))
-    by_left = _sorted_with(by_right, "left", "right", "shared_left", length)
+    same = written(same.join(several, "gram").select("c1", "c2", "first", "kinds"), "kinds")
+    again = found.drop("left", "right").join(same.drop("kinds"), ["c1", "c2"]).filter(not_first)
+    again = again.withColumns({"start": F.col("at") - F.col("most"), "end": F.col("at") - F.col("least") + length})
+    again = written(again.select(*span), "repeated-tuples")
+    kept = found.join(same.filter("kinds > 1").drop("kinds"), ["c1", "c2"]).filter(~not_first).drop("c1", "c2", "first")
+    kept = written(kept, "sample")
+    discard(found, same)
+
+    by_right = written(_sorted_with(kept, "right", "left", "shared_right", length), "by-right")
+    discard(kept)
+    by_left = _sorted_with(by_right.filter(F.col("shared_right") + F.col("most") >= length), "left", "right", "shared_left", length)
     strings = written(induced(by_left, length), "strings")
+    discard(by_right)
     firsts = strings.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = strings.join(firsts, ["w1", "w2"]).filter(not_first)
-    return whole.unionAll(later.select("doc_id", "_key", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
+    later = written(later.select("doc_id", "_key", F.col("at").alias("start"), (F.col("at") + length).alias("end")), "repeated-strings")
+    discard(strings)
+    return copies.unionAll(again).unionAll(later)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
