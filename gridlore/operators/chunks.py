@@ -23,6 +23,29 @@ SAMPLES_TITLE = "DATASET SCHEMA AND SAMPLE VALUES:"
 INSIGHTS_TITLE = "QUERY-FOCUSED DATA INSIGHTS:"
 NUMERIC_USE = "Use for: Calculations (SUM, AVG), Comparisons (>, <), Aggregation"
 TEXT_USE = "Use for: Text matching (LIKE), Grouping, Filtering"
+SHAPE_TEXT = "Dataset has %d rows and {width} columns"
+COLUMN_LINE = "  - %s: %s (%d missing values)\n"
+STATISTICS = (("Mean", "mean"), ("Std", "std"), ("Min", "min"), ("Max", "max"))
+TOP_LINE = "  - %s: %d\n"
+COLUMN_LABEL = "Column: "
+TYPE_LABEL = "  Type: "
+SAMPLES_LABEL = "  Sample values: "
+RANGE_LABEL = "  Range: "
+COMMON_LABEL = "\n  Common values: "
+ROWS_TITLE = "DATA ROWS (First %d rows):"
+ID_SAMPLES_LABEL = " samples: "
+AVERAGE_LABEL = " (avg: "
+ID_COLUMNS_LABEL = "ID/Key columns: "
+NUMERIC_COLUMNS_LABEL = "Numeric filter columns: "
+TEXT_COLUMNS_LABEL = "\nText filter columns: "
+VALUES_FROM = "Range: Values from "
+TYPICAL_LABEL = "Typical range (25-75%): "
+NUMERIC_TYPE = "Type: Numeric"
+TEXT_TYPE = "Type: Text"
+DISTINCT_NUMBERS = "Contains: Distinct numeric values"
+FORMAT_LABEL = "Format: "
+UNIQUE_LINE = "\nUnique values: %d"
+MISSING_LINE = "Missing values: %d"
 FORMAT_TEXTS = {
     "DD-XXX-YY": "DD-XXX-YY (date-like)",
     "YYYY-MM-DD": "YYYY-MM-DD (date-like)",
@@ -152,8 +175,8 @@ def _one(df: DataFrame, group: int, kind: str, chunk_id: str, content: Column) -
 
 
 def _schema_chunk(profile: DataFrame, rows: Column, width: int) -> DataFrame:
-    line = F.format_string("  - %s: %s (%d missing values)\n", "column", "dtype", "missing")
-    title = f"{SCHEMA_TITLE}\nDataset has %d rows and {width} columns\n{SCHEMA_COLUMNS_TITLE}\n"
+    line = F.format_string(COLUMN_LINE, "column", "dtype", "missing")
+    title = f"{SCHEMA_TITLE}\n{SHAPE_TEXT.format(width=width)}\n{SCHEMA_COLUMNS_TITLE}\n"
     head = F.format_string(title, F.first(rows))
     return _one(profile, 0, "schema", "schema_0", F.concat(head, _gather(profile, line)))
 
@@ -162,7 +185,7 @@ def _numeric_chunk(profile: DataFrame) -> DataFrame:
     numeric = profile.where("is_numeric")
     stats = [
         F.concat(F.lit(f"  {name}: "), F.coalesce(fixed(F.col(c), 2), F.lit("nan")))
-        for name, c in (("Mean", "mean"), ("Std", "std"), ("Min", "min"), ("Max", "max"))
+        for name, c in STATISTICS
     ]
     block = F.concat(F.lit("\n"), F.col("column"), F.lit(":\n"), _lines(*stats))
     content = F.when(F.count("*") > 0, F.concat(F.lit(f"{NUMERIC_TITLE}\n"), _gather(numeric, block)))
@@ -170,7 +193,7 @@ def _numeric_chunk(profile: DataFrame) -> DataFrame:
 
 
 def _text_chunks(profile: DataFrame) -> DataFrame:
-    top = F.transform("top", lambda t: F.format_string("  - %s: %d\n", t["value"], t["n"]))
+    top = F.transform("top", lambda t: F.format_string(TOP_LINE, t["value"], t["n"]))
     return profile.where("is_text").select(
         F.lit(2).alias("group"),
         "position",
@@ -188,19 +211,19 @@ def _samples_chunk(profile: DataFrame) -> DataFrame:
     listed = F.col("is_text") | (F.col("distinct_values") < P.FEW_DISTINCT)
     samples = F.when(
         listed & (F.size("first") > 0),
-        F.concat(F.lit("  Sample values: "), _joined(F.col("first"), P.FIRST_VALUES)),
+        F.concat(F.lit(SAMPLES_LABEL), _joined(F.col("first"), P.FIRST_VALUES)),
     )
     spread = F.when(
         ~listed & F.col("is_numeric"),
         F.concat(
-            F.lit("  Range: "), fixed(F.col("min"), 2), F.lit(" to "), fixed(F.col("max"), 2),
-            F.lit("\n  Common values: "), _joined(F.col("top"), P.COMMON_VALUES),
+            F.lit(RANGE_LABEL), fixed(F.col("min"), 2), F.lit(" to "), fixed(F.col("max"), 2),
+            F.lit(COMMON_LABEL), _joined(F.col("top"), P.COMMON_VALUES),
         ),
     )
     block = F.concat(
         _lines(
-            F.concat(F.lit("Column: "), F.col("column")),
-            F.concat(F.lit("  Type: "), F.col("dtype")),
+            F.concat(F.lit(COLUMN_LABEL), F.col("column")),
+            F.concat(F.lit(TYPE_LABEL), F.col("dtype")),
             samples,
             spread,
         ),
@@ -224,7 +247,7 @@ def _rows_chunk(df: DataFrame, key: str, columns: int | None) -> DataFrame:
         F.col(f"`{key}`").alias("position"), F.array_join(cells, " | ").alias("line")
     )
     body = _gather(few, F.concat(F.col("line"), F.lit("\n")))
-    title = F.format_string(f"DATA ROWS (First %d rows):\n{RULE}\n\n", F.count("*"))
+    title = F.format_string(f"{ROWS_TITLE}\n{RULE}\n\n", F.count("*"))
     return _one(few, 4, "data_rows", "data_rows_table", F.concat(title, F.lit(head), body))
 
 
@@ -254,7 +277,7 @@ def _insights_chunk(profile: DataFrame, shown: int | None) -> DataFrame:
     id_samples = texts(
         F.col("id_like") & (F.col("id_place") <= most),
         F.concat(
-            F.lit("  "), F.col("column"), F.lit(" samples: "),
+            F.lit("  "), F.col("column"), F.lit(ID_SAMPLES_LABEL),
             F.coalesce(_joined(F.col("first"), ID_SAMPLES), F.lit("")), F.lit("\n"),
         ),
     )
@@ -262,7 +285,7 @@ def _insights_chunk(profile: DataFrame, shown: int | None) -> DataFrame:
         F.col("is_numeric") & (F.col("number_place") <= most) & (F.col("non_null") > 0),
         F.concat(
             F.lit("  "), F.col("column"), F.lit(": "), fixed(F.col("min"), 0), F.lit(" to "),
-            fixed(F.col("max"), 0), F.lit(" (avg: "), fixed(F.col("mean"), 0), F.lit(")\n"),
+            fixed(F.col("max"), 0), F.lit(AVERAGE_LABEL), fixed(F.col("mean"), 0), F.lit(")\n"),
         ),
     )
     common = texts(
@@ -278,10 +301,10 @@ def _insights_chunk(profile: DataFrame, shown: int | None) -> DataFrame:
 
     content = F.concat(
         F.lit(f"{INSIGHTS_TITLE}\n{RULE}\n\n"),
-        if_any("id_like", F.concat(F.lit("ID/Key columns: "), names("id_like"), F.lit("\n\n"), id_samples, F.lit("\n"))),
-        if_any("is_numeric", F.concat(F.lit("Numeric filter columns: "), names("is_numeric"), F.lit("\n\n"), ranges)),
+        if_any("id_like", F.concat(F.lit(ID_COLUMNS_LABEL), names("id_like"), F.lit("\n\n"), id_samples, F.lit("\n"))),
+        if_any("is_numeric", F.concat(F.lit(NUMERIC_COLUMNS_LABEL), names("is_numeric"), F.lit("\n\n"), ranges)),
         if_any("is_text", F.concat(
-            F.lit("\nText filter columns: "), names("is_text", "text_place"), F.lit("\n"), common)),
+            F.lit(TEXT_COLUMNS_LABEL), names("is_text", "text_place"), F.lit("\n"), common)),
     )
     return _one(p, 5, "query_insights", "query_focused", content)
 
@@ -291,29 +314,29 @@ def _column_chunks(profile: DataFrame) -> DataFrame:
     look = P.text_format(F.get(F.transform("first", lambda f: f["value"]), F.lit(0)))
     named = F.create_map(*[F.lit(x) for pair in FORMAT_TEXTS.items() for x in pair])
     span = F.concat(
-        F.lit("Range: Values from "), fixed(F.col("min"), 0), F.lit(" to "), fixed(F.col("max"), 0)
+        F.lit(VALUES_FROM), fixed(F.col("min"), 0), F.lit(" to "), fixed(F.col("max"), 0)
     )
     typical = F.concat(
-        F.lit("Typical range (25-75%): "), fixed(F.col("q25"), 0), F.lit(" to "), fixed(F.col("q75"), 0)
+        F.lit(TYPICAL_LABEL), fixed(F.col("q25"), 0), F.lit(" to "), fixed(F.col("q75"), 0)
     )
     content = F.concat(
         _lines(
-            F.concat(F.lit("Column: "), F.col("column")),
-            F.when(F.col("is_numeric"), F.lit(f"Type: Numeric\n{NUMERIC_USE}")),
+            F.concat(F.lit(COLUMN_LABEL), F.col("column")),
+            F.when(F.col("is_numeric"), F.lit(f"{NUMERIC_TYPE}\n{NUMERIC_USE}")),
             F.when(F.col("is_numeric") & some, span),
             F.when(
                 F.col("is_numeric") & some & (F.col("distinct_values") < P.FEW_DISTINCT),
-                F.lit("Contains: Distinct numeric values"),
+                F.lit(DISTINCT_NUMBERS),
             ),
-            F.when(F.col("is_text"), F.lit(f"Type: Text\n{TEXT_USE}")),
+            F.when(F.col("is_text"), F.lit(f"{TEXT_TYPE}\n{TEXT_USE}")),
             F.when(
                 F.col("is_text") & some & F.try_element_at(named, look).isNotNull(),
-                F.concat(F.lit("Format: "), F.try_element_at(named, look)),
+                F.concat(F.lit(FORMAT_LABEL), F.try_element_at(named, look)),
             ),
         ),
         _lines(
-            F.format_string("\nUnique values: %d", "distinct_values"),
-            F.format_string("Missing values: %d", "missing"),
+            F.format_string(UNIQUE_LINE, "distinct_values"),
+            F.format_string(MISSING_LINE, "missing"),
             F.when(F.col("is_numeric") & (F.col("non_null") > P.TYPICAL_RANGE_MIN_ROWS), typical),
         ),
     )

@@ -40,26 +40,31 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: i
         return F.struct(F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
 
     bands = df.agg(F.struct(*[sketch(c).alias(f"c{i}") for i, c in enumerate(columns)])).scalar()
-    named = [(i, c, j, p, bands[f"c{i}"]["lo"][j], bands[f"c{i}"]["hi"][j]) for i, c in enumerate(columns) for j, p in enumerate(probs)]
+    # the bands stand in a column of their own, so that the plan holds the sketch once
+    rows = df.select(bands.alias("_bands"), *[number(c).alias(f"_x{i}") for i, c in enumerate(columns)])
+    named = [
+        (f"{i}_{j}", c, p, F.col(f"_x{i}"), F.col(f"_bands.c{i}.lo")[j], F.col(f"_bands.c{i}.hi")[j])
+        for i, c in enumerate(columns) for j, p in enumerate(probs)
+    ]
 
-    totals = df.agg(
-        *[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+    totals = rows.agg(
+        *[F.count(f"_x{i}").alias(f"n{i}") for i in range(len(columns))],
         *[F.struct(
-            F.count_if(number(c) < lo).alias("below"), F.count_if(number(c).between(lo, hi)).alias("inside"),
-            F.max(F.when(number(c) < lo, number(c))).alias("under"), F.min(F.when(number(c) > hi, number(c))).alias("over"),
-        ).alias(f"b{i}_{j}") for i, c, j, _, lo, hi in named],
+            F.count_if(x < lo).alias("below"), F.count_if(x.between(lo, hi)).alias("inside"),
+            F.max(F.when(x < lo, x)).alias("under"), F.min(F.when(x > hi, x)).alias("over"),
+        ).alias(f"b{n}") for n, _, _, x, lo, hi in named],
     )
     ranks = totals.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"n{i}").alias("count"), F.col(f"b{i}_{j}").alias("b"))
-        for i, c, j, p, _, _ in named
+        F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"n{n.split('_')[0]}").alias("count"), F.col(f"b{n}").alias("b"))
+        for n, c, p, *_ in named
     ])))
     ranks = ranks.select("column", "prob", "count", "b.*", (F.col("prob") * (F.col("count") - 1)).alias("position"))
 
     inside = [
-        F.when(number(c).between(lo, hi), F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), number(c).alias("value")))
-        for _, c, _, p, lo, hi in named
+        F.when(x.between(lo, hi), F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), x.alias("value")))
+        for _, c, p, x, lo, hi in named
     ]
-    cells = df.select(F.explode(F.array_compact(F.array(*inside))).alias("x")).select("x.*")
+    cells = rows.select(F.explode(F.array_compact(F.array(*inside))).alias("x")).select("x.*")
     values = cells.groupBy("column", "prob", "value").agg(F.count("*").alias("n"))
     # the rows of a band: a few in ``accuracy``
     up_to = Window.partitionBy("column", "prob").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
