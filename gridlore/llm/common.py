@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.session import materialise
+from gridlore.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,14 +29,16 @@ def unpacked(rows: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``materialise`` that also lets go of the shuffle files behind the table, which nothing reads any more."""
+    """Write an intermediate table small, and let go of the shuffle files behind it, which nothing reads any more."""
+    path = scratch_path(df.sparkSession, name)
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, "false")
     conf.set(key, "true")
     try:
-        return materialise(df, name)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         conf.set(key, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
