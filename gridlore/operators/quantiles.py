@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000  # of the sketch; its size grows with it, and the rows of a band shrink
+from gridlore.session import materialise
+
+FINE_BINS = 10_000
 
 
 def number(column: str) -> Column:
@@ -21,73 +23,79 @@ def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
-    """(column, prob, value, count) with linear interpolation between neighbours, exact at any size.
+def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """(column, prob, value) with linear interpolation between neighbours, exact at any size.
+
+    The values at the wanted ranks are found by narrowing twice, so that no task holds or sorts a column.
 
-    A sketch of bounded size, whose error in ranks is at most rows / ``accuracy``, gives for each column and
-    probability a band of values that holds the wanted ranks, up to one rank at either end. One pass counts the values
-    below and inside each band and finds its neighbours, another counts every value inside it, a few in ``accuracy``
-    of all rows; there the wanted ranks are found exactly.
+    Three scans of the numeric columns: counts per bucket on a log scale (safe against outliers), counts
+    per equal-width bin inside the buckets that hold a wanted rank (safe against narrow ranges), and counts
+    per value inside the bins that hold one. All counts are partial aggregates, so each shuffle carries
+    buckets, bins or a sliver of the distinct values. What is broadcast and written between the scans has
+    two rows per column and probability.
     """
-    reach = 2 / accuracy
-    around = [F.lit(min(max(p + side, 0.0), 1.0)) for p in probs for side in (-reach, reach)]
-
-    def sketch(c: str) -> Column:
-        x = number(c)
-        marks = F.percentile_approx(x, F.array(*around), F.lit(accuracy))
-        lo = [F.min(x) if p - reach <= 0 else F.get(marks, F.lit(2 * i)) for i, p in enumerate(probs)]
-        hi = [F.max(x) if p + reach >= 1 else F.get(marks, F.lit(2 * i + 1)) for i, p in enumerate(probs)]
-        return F.struct(F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
-
-    bands = df.agg(F.struct(*[sketch(c).alias(f"c{i}") for i, c in enumerate(columns)])).scalar()
-    # the bands stand in a column of their own, so that the plan holds the sketch once
-    rows = df.select(bands.alias("_bands"), *[number(c).alias(f"_x{i}") for i, c in enumerate(columns)])
-    named = [
-        (f"{i}_{j}", c, p, F.col(f"_x{i}"), F.col(f"_bands.c{i}.lo")[j], F.col(f"_bands.c{i}.hi")[j])
-        for i, c in enumerate(columns) for j, p in enumerate(probs)
-    ]
-
-    totals = rows.agg(
-        *[F.count(f"_x{i}").alias(f"n{i}") for i in range(len(columns))],
-        *[F.struct(
-            F.count_if(x < lo).alias("below"), F.count_if(x.between(lo, hi)).alias("inside"),
-            F.max(F.when(x < lo, x)).alias("under"), F.min(F.when(x > hi, x)).alias("over"),
-        ).alias(f"b{n}") for n, _, _, x, lo, hi in named],
+    v = F.col("value")
+    scale = F.least(F.log1p(F.abs(v)) * 1000, F.lit(1e9))  # the limit is for infinity
+    cells = long_numbers(df, columns).withColumn("b1", (F.signum(v) * F.floor(scale)).cast("bigint"))
+
+    coarse = cells.groupBy("column", "b1").agg(
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    coarse = _running(coarse, ["column"], "b1")
+    totals = coarse.groupBy("column").agg(F.sum("n").alias("total"))
+    ranks = totals.select(
+        "column", "total", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob")
+    ).withColumn("position", F.col("prob") * (F.col("total") - 1))
+    both = F.array_distinct(F.array(F.floor("position"), F.ceil("position")))
+    ranks = ranks.select("column", "prob", "position", F.explode(both).alias("rank"))
+    keys = ["column", "prob", "position", "rank", "b1"]
+    wanted = materialise(
+        ranks.join(coarse, "column")
+        .where(_holds())
+        .select(*keys, "lo", "hi", F.col("before").alias("base")),
+        "quantile-buckets",
+    )
+
+    def binned(marks: DataFrame) -> DataFrame:
+        """The cells of the marked buckets with their bins."""
+        width = F.greatest(F.col("hi") - F.col("lo"), F.lit(5e-324))
+        rows = cells.join(F.broadcast(marks.distinct()), ["column", "b1"])
+        return rows.withColumn("b2", F.floor((v - F.col("lo")) / width * FINE_BINS))
+
+    marks = wanted.select("column", "b1", "lo", "hi", "base")
+    fine = binned(marks).groupBy("column", "b1", "b2", "base").agg(F.count("*").alias("n"))
+    fine = _running(fine, ["column", "b1"], "b2", "base")
+    wanted = materialise(
+        wanted.drop("base")
+        .join(fine.drop("base"), ["column", "b1"])
+        .where(_holds())
+        .select(*keys, "b2", "lo", "hi", F.col("before").alias("base")),
+        "quantile-bins",
     )
-    ranks = totals.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"n{n.split('_')[0]}").alias("count"), F.col(f"b{n}").alias("b"))
-        for n, c, p, *_ in named
-    ])))
-    ranks = ranks.select("column", "prob", "count", "b.*", (F.col("prob") * (F.col("count") - 1)).alias("position"))
-
-    inside = [
-        F.when(x.between(lo, hi), F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), x.alias("value")))
-        for _, c, p, x, lo, hi in named
-    ]
-    cells = rows.select(F.explode(F.array_compact(F.array(*inside))).alias("x")).select("x.*")
-    values = cells.groupBy("column", "prob", "value").agg(F.count("*").alias("n"))
-    # the rows of a band: a few in ``accuracy``
-    up_to = Window.partitionBy("column", "prob").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("within", F.coalesce(F.sum("n").over(up_to), F.lit(0)))
-    placed = values.join(ranks, ["column", "prob"]).withColumn("before", F.col("below") + F.col("within"))
-    fields = ["column", "prob", "position", "count", "value", "n", "before"]
-    beside = F.inline(F.array(
-        F.struct(F.col("under").alias("value"), (F.col("below") - 1).alias("before")),
-        F.struct(F.col("over").alias("value"), (F.col("below") + F.col("inside")).alias("before")),
-    ))
-    beside = ranks.select("*", F.lit(1).cast("long").alias("n"), beside).where("value IS NOT NULL")
-    placed = placed.select(*fields).unionAll(beside.select(*fields))
-    low, share = F.floor("position"), F.col("position") - F.floor("position")
-
-    def holds(rank: Column) -> Column:
-        return (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
-
-    weight = F.when(holds(low), 1 - share).otherwise(0.0) + F.when(holds(low + 1) & (share > 0), share).otherwise(0.0)
-    hits = placed.where(holds(low) | (holds(low + 1) & (share > 0)))
-    return hits.groupBy("column", "prob").agg(F.sum(weight * F.col("value")).alias("value"), F.max("count").alias("count"))
+
+    bins = wanted.select("column", "b1", "b2", "base").distinct()
+    last = binned(wanted.select("column", "b1", "lo", "hi"))
+    last = last.join(F.broadcast(bins), ["column", "b1", "b2"])
+    last = last.groupBy("column", "b1", "b2", "base", "value").agg(F.count("*").alias("n"))
+    last = _running(last, ["column", "b1", "b2"], "value", "base").drop("base")
+    hit = wanted.join(last, ["column", "b1", "b2"]).where(_holds())
+    share = F.col("position") - F.floor("position")
+    weight = F.when(F.col("rank") == F.floor("position"), 1 - share).otherwise(share)
+    return hit.groupBy("column", "prob").agg(F.sum(weight * v).alias("value"))
+
+
+def _holds() -> Column:
+    return (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+
+
+def _running(df: DataFrame, group: list[str], order: str, base: str | None = None) -> DataFrame:
+    """Add the count of all rows before each row, from the start of the column."""
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(w), F.lit(0))
+    return df.withColumn("before", before + F.col(base) if base else before)
 
 
 def wide(quantile_rows: DataFrame, names: dict[float, str]) -> DataFrame:
     """One row per column with a named column per probability."""
     picks = [F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in names.items()]
-    return quantile_rows.groupBy("column").agg(*picks, F.max("count").alias("count"))
+    return quantile_rows.groupBy("column").agg(*picks)

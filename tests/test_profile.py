@@ -32,11 +32,10 @@ def frame(spark):
     return spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data))
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 20])
-def test_quantiles(frame, accuracy):
+def test_quantiles(frame):
     got = {
         (r.column, r.prob): r.value
-        for r in quantiles(frame, frame.columns, PROBS, accuracy).collect()
+        for r in quantiles(frame, frame.columns, PROBS).collect()
     }
     for c, values in columns().items():
         values = values[~np.isnan(values)]
