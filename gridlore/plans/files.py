@@ -13,7 +13,7 @@ from gridlore.plans.profiling import PARTS_SQL, parts_with_gaps
 from gridlore.plans.questions import NUMBERS, ORDER_QUESTION, ORDER_SQL_TEXT, any_part, lit, says
 from gridlore.plans.questions import QUESTIONS_SQL, questions
 from gridlore.plans.registry import query
-from gridlore.plans.retrieval import COLUMN_CASE, TYPE_CASE, chunks, lexical_sql
+from gridlore.plans.retrieval import COLUMN_CASE, DOCUMENT_SQL, TYPE_CASE, asked_documents, chunks, lexical_sql
 from gridlore.plans.scoring import DAYS_SQL, QA_SOURCES, QUESTION, RECORDS_SQL, days, records
 from gridlore.session import scratch_path
 from gridlore.sources import files as N
@@ -84,23 +84,35 @@ def sink_json(spark, sf):
     return N.read_records(spark, path, rows.schema)
 
 
-@query("chunk_index_roundtrip", f"""
-WITH a AS (SELECT item_id AS query_id, text FROM benchmark), {lexical_sql('a', 3)}
+def index_sql(asked_sql):
+    return f"""
+WITH {asked_sql}, {lexical_sql('a', 3)}
 SELECT query_id, rank, ordinal, round(similarity, 6) AS similarity, {TYPE_CASE} AS type, {COLUMN_CASE} AS "column",
        n_chars AS chars FROM lex JOIN documents ON ordinal = doc_id
-""")
-def chunk_index_roundtrip(spark, sf):
+"""
+
+
+def _index_search(spark, sf, asked):
     """Store the chunk index, load it, and search in what was loaded."""
     path = scratch_path(spark, "chunk-index")
     N.save_index(chunks(spark, sf), path)
     index = N.load_index(spark, path).withColumn("chars", F.length("content").cast("bigint"))
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     hits = S.lexical_search(asked, index, 3, ["type", "column", "chars"])
     return hits.withColumn("similarity", F.round("similarity", 6)).select(
         "query_id", "rank", "ordinal", "similarity", "type", "column", "chars"
     )
 
 
+@query("chunk_index_roundtrip", index_sql("a AS (SELECT item_id AS query_id, text FROM benchmark)"))
+def chunk_index_roundtrip(spark, sf):
+    return _index_search(spark, sf, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+@query("chunk_index_roundtrip_by_documents", index_sql(DOCUMENT_SQL))
+def chunk_index_roundtrip_by_documents(spark, sf):
+    return _index_search(spark, sf, asked_documents(spark, sf).select(F.col("doc_id").alias("query_id"), "text"))
+
+
 PART_KINDS = {
     "p_partkey": "int64", "p_name": "object", "p_brand": "object", "p_type": "object", "p_size": "int64",
     "p_retailprice": "float64",
