@@ -3,6 +3,10 @@
 Every three consecutive lines of a text form a window. A window that also starts earlier, in a document with a smaller
 id or further up in the same document, is a later occurrence, and every line that a later occurrence covers is removed.
 Windows are judged on the input, not on what is left. Texts of fewer than three lines have no window and stay.
+
+Documents are told apart by id and text, as ids can be missing or repeated: of documents with one id, that with the smaller
+hash of its text comes first, and documents without id come last. Only rows that repeat both id and text are told apart by
+nothing: their windows, copies of one another at the same places, count as one document's.
 """
 
 from __future__ import annotations
@@ -25,33 +29,39 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def key_of(text: Column) -> Column:
+    """The second part of a document's key, a hash of its text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """doc_id, pos (from 0) and the hash pair (a, b) of every window."""
-    hashes = docs.select("doc_id", F.transform(lines_of(F.col("text")), _hash_pair).alias("_h")).filter(F.size("_h") >= lines)
+    """doc_id, _key, pos (from 0) and the hash pair (a, b) of every window."""
+    text = F.col("text")
+    hashes = docs.select("doc_id", key_of(text).alias("_key"), F.transform(lines_of(text), _hash_pair).alias("_h")).filter(F.size("_h") >= lines)
     starts = F.sequence(F.lit(0), F.size("_h") - lines)
-    each = hashes.select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(
+    each = hashes.select("doc_id", "_key", F.explode(F.transform(starts, lambda i: F.struct(
         i.alias("pos"), F.slice("_h", i + 1, F.lit(lines)).alias("w")
     ))).alias("_w"))
-    return each.select("doc_id", "_w.pos", F.xxhash64("_w.w.a").alias("a"), F.xxhash64("_w.w.b").alias("b"))
+    return each.select("doc_id", "_key", "_w.pos", F.xxhash64("_w.w.a").alias("a"), F.xxhash64("_w.w.b").alias("b"))
 
 
 def covered(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """doc_id and _later, the sorted starts of windows that also start earlier; only documents that have any.
+    """doc_id, _key and _later, the sorted starts of windows that also start earlier; only documents that have any.
 
     First occurrences are found by a partial aggregate, so that a very common window is one row per task before any
     shuffle; the join back leaves a hot window to the split of skewed joins.
     """
     each = materialise(windows(docs, lines), "windows")
-    place = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "pos")
+    place = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "_key", "pos")
     first = each.groupBy("a", "b").agg(F.min(place).alias("_first"), F.count("*").alias("_times")).filter("_times > 1")
-    later = each.join(first, ["a", "b"]).filter("NOT (doc_id <=> _first.doc_id AND pos = _first.pos)")
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("_later"))
+    later = each.join(first, ["a", "b"]).filter("NOT (doc_id <=> _first.doc_id AND _key = _first._key AND pos = _first.pos)")
+    return later.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set("pos")).alias("_later"))
 
 
 def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """All rows and columns of ``docs``, packed in ``_row``, with _n_lines, _n_removed and _text, the text that is left.
 
-    A null text counts as empty and has one empty line. Rows that repeat an id count as one document for its windows.
+    A null text counts as empty and has one empty line. Rows that repeat id and text count as one document for its windows.
     Covered positions are merged in order: a window adds the lines that lie beyond the one before it.
     """
 
@@ -61,9 +71,9 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
         return F.concat(F.array_repeat(F.lit(True), gap), F.array_repeat(F.lit(False), added))
 
     stays = covered(docs, lines).select(
-        F.col("doc_id").alias("_id"), F.flatten(F.transform("_later", run)).alias("_stays")
+        F.col("doc_id").alias("_id"), "_key", F.flatten(F.transform("_later", run)).alias("_stays")
     )
-    rows = packed(docs).join(stays, F.expr("_row.doc_id <=> _id"), "left")
+    rows = packed(docs).withColumn("_own", key_of(F.col("_row.text"))).join(stays, F.expr("_row.doc_id <=> _id AND _own = _key"), "left")
     text = lines_of(F.col("_row.text"))
     kept = F.filter(text, lambda _, i: F.coalesce(F.get(F.col("_stays"), i), F.lit(True)))
     n_removed = F.coalesce(F.size(F.filter("_stays", lambda x: ~x)), F.lit(0))

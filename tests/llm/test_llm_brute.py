@@ -330,6 +330,19 @@ def test_line_dedup_odd_rows(spark, odd, empty):
     assert {r._row.doc_id: r._text for r in line_dedup.dedup_lines(docs).collect()} == lines_left(data)
 
 
+def test_line_dedup_of_missing_and_repeated_ids(spark):
+    data = [
+        (1, "a\nb\nc\nd"), (None, "p\nq\nr\na\nb\nc"), (None, "1\n2\n3\n4\n5\n6\n7"), (2, "a\nb\nc\nz"), (2, "e\nf\ng\nh"),
+        (None, "k\nl\nm\nx"), (None, "k\nl\nm\ny"),
+    ]
+    done = line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = {(r._row.doc_id, r._row.text): (r._text, r._n_removed) for r in done}
+    assert len(done) == len(data) == len(got)
+    assert got[data[0]] == (data[0][1], 0) and got[data[1]] == ("p\nq\nr", 3) and got[data[2]] == (data[2][1], 0)
+    assert got[data[3]] == ("z", 3) and got[data[4]] == (data[4][1], 0)
+    assert {got[data[5]], got[data[6]]} in ({("k\nl\nm\nx", 0), ("y", 3)}, {("x", 3), ("k\nl\nm\ny", 0)})
+
+
 def test_url_filter_odd_rows(spark):
     urls = {
         1: None, 2: "", 3: "no scheme.com/x", 4: "HTTP://A.Example.COM/en/x?y", 5: "http://www.example.com/en/", 6: "http://example.com/en",
