@@ -19,7 +19,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm.common import packed, unpacked, whole_text
@@ -200,8 +200,21 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
 
 
 def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` of one document, that with the smallest id, of each group. Rows that repeat an id are one
-    document, and so are rows without one."""
-    groups = near_groups(docs, shingle, max_bits)
-    stay = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return unpacked(packed(docs).join(stay, F.expr("_row.doc_id <=> _id")).select("_row"))
+    """The rows of ``docs`` of one document of each group: that with the smallest id, and of one id that with the smaller
+    hash of its text. Rows without id come last, and one of them stays where a group has no id. Rows that repeat both id
+    and text are one document."""
+
+    def own_key(text: str) -> Column:
+        return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+    place = F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("id"), own_key("text").alias("key"))
+    groups = near_groups(docs.select(place.alias("doc_id"), "text"), shingle, max_bits)
+    stay = materialise(groups.filter("doc_id <=> component_id").select("doc_id.id", "doc_id.key").distinct().toDF("_id", "_key"), "stay")
+
+    def rows(some: DataFrame) -> DataFrame:
+        return packed(some).withColumn("_own", own_key("_row.text"))
+
+    named = rows(docs.filter("doc_id IS NOT NULL")).join(stay.filter("_id IS NOT NULL"), F.expr("_row.doc_id = _id AND _own = _key"))
+    nameless = rows(docs.filter("doc_id IS NULL")).dropDuplicates(["_own"])
+    nameless = nameless.join(stay.filter("_id IS NULL"), F.expr("_own = _key"))
+    return unpacked(named.select("_row").unionAll(nameless.select("_row")))

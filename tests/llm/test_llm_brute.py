@@ -60,6 +60,16 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert sorted(r.doc_id for r in stay.collect()) == [1, 1, 3, 6, 8, 9, 10]
 
 
+def test_near_copies_with_missing_and_repeated_ids(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef")
+    data = [
+        (1, a), (None, a + " "), (None, b), (None, b + " "), (None, b + "  "), (None, b), (None, c),  # one without id of b, and of c
+        (2, d), (9, d + " "), (9, e), (5, f), (5, f + " "),  # 9 stays by its other text, 5 once
+    ]
+    stay = simhash.without_near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text.strip()) for r in stay), key=str) == sorted([(1, a), (None, b), (None, c), (2, d), (9, e), (5, f)], key=str)
+
+
 @pytest.mark.parametrize("tile", [4, 64])
 def test_links_connect_dense_and_sparse_fingerprints(spark, tile):
     rng = np.random.default_rng(1)
