@@ -108,6 +108,7 @@ def fingerprints(
 def differing(docs: DataFrame, groups: DataFrame, keys: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id and _sha of the texts that differ from the first text of their group.
 
+    Rows meet members by id and hash of the text, so that rows without id, or of one id, do not all meet each other.
     Members are dealt to replicas of the first text, so that a group of any size spreads over tasks; the join streams
     sorted chunks and holds one chunk of the first text at a time.
     """
@@ -116,12 +117,12 @@ def differing(docs: DataFrame, groups: DataFrame, keys: list[str], chunk_bytes:
         F.col("doc_id").alias("_id"), F.col("_sha").alias("_s"), *keys, (F.expr("doc_id <=> keep_id AND _sha = _first_sha")).alias("_first"),
         replicas.alias("_replicas"),
     )
-    texts = docs.select(F.col("doc_id"), F.col("text"))
-    joined = texts.join(members, texts.doc_id.eqNullSafe(members._id)).withColumn("_text", normalised(F.col("text")))
-    own = joined.filter(F.sha2("_text", 256) == F.col("_s"))
+    texts = docs.select("doc_id", normalised(F.col("text")).alias("_text"))
+    own = texts.withColumn("_own", F.sha2("_text", 256)).join(members, F.expr("doc_id <=> _id AND _own = _s"))
     keep = [k for k in keys if k != "_n"]
     chunks = materialise(_chunk_rows(own.drop("_n"), chunk_bytes, "doc_id", "_s", *keep, "_first", "_replicas"), "candidates")
-    first = chunks.filter("_first").select(
+    # rows that repeat id and text are one member
+    first = chunks.filter("_first").dropDuplicates([*keys, "_chunk"]).select(
         *keys, "_chunk", F.col("_data").alias("_first_data"), F.explode(F.sequence(F.lit(0), F.col("_replicas") - 1)).alias("_replica")
     )
     rest = chunks.filter("NOT _first").withColumn("_replica", F.expr("cast(pmod(xxhash64(doc_id, _s), _replicas) as int)"))

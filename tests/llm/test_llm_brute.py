@@ -254,6 +254,17 @@ def test_exact_groups_odd_rows(spark, odd, empty):
     assert stay.columns == odd.columns and sorted(r.doc_id for r in stay.collect()) == [1, 3, 5, 6, 7, 8, 9, 10]
 
 
+def test_copies_without_id_do_not_meet_in_pairs(spark, monkeypatch):
+    data = [(None, f"text {i}") for i in range(300)] + [(i, f"text {i}") for i in range(300)] + [(0, "text 0")] * 20
+    seen, write = {}, exact_dedup.materialise
+    monkeypatch.setattr(exact_dedup, "materialise", lambda df, name: write(seen.setdefault(name, df), name))
+    got = exact_dedup.exact_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == 620 and sorted(r.doc_id for r in got if r.kept) == list(range(300))
+    plan = seen["candidates"]._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"Join \[(.*?)\], \[(.*?)\], ", plan)
+    assert any("_own" in own and "_s" in other for own, other in joins)
+
+
 def test_equal_fingerprints_of_different_texts_are_told_apart(spark):
     data = [(i, f"{i % 40:02d}" * 30) for i in range(200)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
