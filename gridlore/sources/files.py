@@ -108,9 +108,19 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA)
     return spark.read.schema(schema).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, files: int = 8) -> None:
-    """Records as so many files, each one JSON array; a task writes its file record by record."""
+ARRAY_BYTES = 1 << 24  # of a file with one JSON array, which a single task reads as a whole
+
+
+def write_json_arrays(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Records as files that each hold one JSON array; a task writes its file record by record.
+
+    There are as many files as the bytes of the records ask for at about ``ARRAY_BYTES`` each, or so many as are given.
+    Records are dealt in turn, so that equal ones spread. JSON lines, which can be split, are the form for large tables.
+    """
     text = df.select(F.to_json(F.struct("*")).alias("value"))
+    if files is None:
+        n = text.agg(F.sum(F.octet_length("value").cast("bigint") + 2)).first()[0] or 0
+        files = max(1, -(-n // ARRAY_BYTES))
 
     def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = "["
@@ -122,7 +132,7 @@ def write_json_arrays(df: DataFrame, path: str, files: int = 8) -> None:
             yield pa.RecordBatch.from_pydict({"value": lines}, pa.schema([("value", pa.string())]))
         yield pa.RecordBatch.from_pydict({"value": ["]" if mark == "," else "[]"]}, pa.schema([("value", pa.string())]))
 
-    text.repartition(files, F.xxhash64("value")).mapInArrow(bracketed, "value string").write.text(path)
+    text.repartition(files).mapInArrow(bracketed, "value string").write.text(path)
 
 
 def write_records(df: DataFrame, path: str, files_per_key: int = 4) -> None:
