@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_counts, topk, url_filter
+from gridlore.llm import (
+    exact_dedup, filter_audit, licenses, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_counts, topk, url_filter, whitening,
+)
 from gridlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +144,75 @@ def op10_line_dedup(spark, sf):
         F.col("_row.doc_id").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
         F.col("_text").alias("text"),
     )
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query("op12_filter_audit", r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (SELECT doc_id, part,
+             CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+             || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM w),
+c AS (SELECT f.part, f.fails, count(*) AS n, count(*) FILTER (l.quality = 1) AS good, count(*) FILTER (l.toxic = 1) AS toxic
+      FROM f LEFT JOIN labels l USING (doc_id) GROUP BY f.part, f.fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before
+      FROM o, (SELECT unnest(range(1, 6)) AS step)),
+m AS (SELECT *, contains(fails, letter) AS hit, before <> '' AND fails <> '' AND regexp_matches(before, '[' || fails || '0]') AS gone FROM c, s),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept,
+             coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant,
+             coalesce(sum(n) FILTER (fails = letter), 0) AS unique_fails, coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost
+      FROM m GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r
+""")
+def op12_filter_audit(spark, sf):
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def _template_sql() -> str:
+    """A row per word of every template: number, label, base, place, word, whether a key phrase holds that place."""
+    rows = []
+    for n, t in enumerate((*licenses.BASE, *licenses.PASSAGES)):
+        needed = {at + i for at, words in t.phrases() for i in range(len(words))}
+        rows += [f"({n}, '{t.label}', {str(t.base).lower()}, {p}, '{w}', {str(p in needed).lower()})" for p, w in enumerate(t.words())]
+    return ", ".join(rows)
+
+
+@query("op13_license_scan", rf"""
+WITH t(tpl, label, base, p, word, needed) AS (VALUES {_template_sql()}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM d),
+v AS (SELECT * FROM w WHERE word IN (SELECT word FROM t)),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM v GROUP BY word),
+h AS (SELECT v.doc_id, v.word, v.pos, t.tpl, t.p, df.n FROM v JOIN t USING (word) JOIN df USING (word)),
+q AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, tpl ORDER BY n, word) AS rare FROM h),
+c AS (SELECT doc_id, tpl, pos - p AS start FROM q WHERE rare <= {licenses.RARE} GROUP BY doc_id, tpl, pos - p HAVING count(DISTINCT word) >= 2),
+m AS (SELECT c.doc_id, c.tpl, c.start, any_value(t.label) AS label, any_value(t.base) AS base, count(*) AS size,
+             count(v.word) AS found, count(*) FILTER (t.needed) AS needed, count(v.word) FILTER (t.needed) AS held
+      FROM c JOIN t ON c.tpl = t.tpl LEFT JOIN v ON v.doc_id = c.doc_id AND v.pos = c.start + t.p AND v.word = t.word
+      GROUP BY c.doc_id, c.tpl, c.start),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+             max(CAST(found AS DOUBLE) / CAST(size AS DOUBLE)) AS score
+      FROM m WHERE needed = held GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN g USING (doc_id)
+""")
+def op13_license_scan(spark, sf):
+    return licenses.labelled(table(spark, sf, "documents"))
