@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlore.operators.cleaning import boolean_text, families
-from gridlore.operators.quantiles import long_numbers, number, quantiles, wide
+from gridlore.operators.quantiles import number, quantiles, wide
+from gridlore.session import materialise
 
 # Fixed values of the profile.
 TOP_VALUES = 10
@@ -83,9 +87,33 @@ def missing(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
+def row_digest(df: DataFrame) -> Column:
+    """256 bits for a whole row; rows have the same digest if and only if they are equal, nulls counting as equal.
+
+    Every cell is written as text with its length before it, so that no two rows read the same.
+    """
+    zero = F.lit(0.0)
+
+    def text(f: T.StructField) -> Column:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("double", "float"):
+            return (c + zero).cast("string")  # minus zero is zero
+        if kind == "binary":
+            return F.hex(c)
+        if kind in ("array", "map", "struct", "variant"):
+            return F.to_json(F.struct(c.alias("c")), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+        return c.cast("string")
+
+    cells = [F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in map(text, df.schema.fields)]
+    return F.unhex(F.sha2(F.concat_ws(",", *(F.coalesce(c, F.lit("")) for c in cells)), 256))
+
+
 def duplicates(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row, nulls counting as equal."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_n"))
+    """Rows that repeat an earlier row, nulls counting as equal.
+
+    Rows are grouped by a digest, so that what is shuffled does not grow with the width of the table.
+    """
+    groups = df.select(row_digest(df).alias("_digest")).groupBy("_digest").agg(F.count("*").alias("_n"))
     total, extra = F.sum("_n"), F.sum(F.col("_n") - 1)
     return groups.agg(
         F.coalesce(total, F.lit(0)).alias("rows"),
@@ -204,19 +232,43 @@ def key_candidates(df: DataFrame, ordinal: str, counts: DataFrame | None = None)
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson r for every pair of numeric columns over the rows where both are present; one pass.
+    """Pearson r for every pair of numeric columns over the rows where both are present.
 
-    A constant column has no correlation (null) instead of raising an error.
+    Every task adds up products of blocks of rows, all pairs of columns in one matrix product: counts, sums, squares and
+    products over the rows where both columns have a cell. Cells are taken from a middle value of their column, found by a
+    scan before, so that large offsets cost no digits. A column that is constant where the other is present has no
+    correlation (null); so has one whose spread there is below 1e-7 of its distance from that middle value.
     """
     columns = columns or families(df)["numeric"]
-    aggs, rows = [], []
-    for i, (a, b) in enumerate(combinations(columns, 2)):
-        x, y = number(a), number(b)
-        both = x.isNotNull() & y.isNotNull()
-        spread = F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
-        aggs.append((F.covar_samp(x, y) / F.nullif(spread, F.lit(0.0))).alias(f"r{i}"))
-        rows.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    k = len(columns)
+    middle = df.agg(*(F.percentile_approx(number(c), 0.5, 100).alias(f"m{i}") for i, c in enumerate(columns))).first() if k else ()
+    shift = np.array([m or 0.0 for m in middle])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, k, k))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) - shift
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            sums, squares = x.T @ m, (x * x).T @ m
+            total += [m.T @ m, x.T @ x, sums, sums.T, squares, squares.T]
+        at = np.triu_indices(k, 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int32()) for a in at] + [pa.array(t[at]) for t in total], ["i", "j", "n", "xy", "x", "y", "xx", "yy"]
+        )
+
+    cells = df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    sums = cells.mapInArrow(run, "i int, j int, n double, xy double, x double, y double, xx double, yy double")
+    sums = sums.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "xy", "x", "y", "xx", "yy")))
+    n = F.nullif(F.col("n"), F.lit(0.0))
+
+    def spread(square: str, total: str) -> Column:
+        own = F.col(square) - F.col(total) * F.col(total) / n
+        return F.when(own > F.col(square) * 1e-14, own)
+
+    r = (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(spread("xx", "x") * spread("yy", "y"))
+    names = F.lit(columns)
+    return sums.select(F.get(names, "i").alias("x"), F.get(names, "j").alias("y"), r.alias("r"))
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -262,14 +314,19 @@ def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         (F.col("q25") - reach).alias("lower_fence"),
         (F.col("q75") + reach).alias("upper_fence"),
     )
-    inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
-    # one row per column of the table
-    placed = long_numbers(df, columns).join(F.broadcast(d), "column")
-    return placed.groupBy(*d.columns).agg(
-        F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
-        F.max(F.when(inside, F.col("value"))).alias("upper_whisker"),
-        F.count_if(~inside).alias("outliers"),
-    )
+    d = materialise(d, "fences")
+    fences = {r.column: (r.lower_fence, r.upper_fence) for r in d.collect()}  # one row per column of the table
+    aggs = []
+    for i, c in enumerate(columns):
+        x = number(c)
+        low, high = fences.get(c, (None, None))
+        inside = x.between(F.lit(low).cast("double"), F.lit(high).cast("double"))
+        aggs += [
+            F.min(F.when(inside, x)).alias(f"{i}_lower_whisker"), F.max(F.when(inside, x)).alias(f"{i}_upper_whisker"),
+            F.count_if(~inside).alias(f"{i}_outliers"),
+        ]
+    placed = _melt(df.agg(*aggs), columns, ["lower_whisker", "upper_whisker", "outliers"])
+    return d.where("q50 IS NOT NULL").join(placed, "column")
 
 
 def text_format(column: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlore.operators.grouped import with_group
+
 
 # ---- filters -------------------------------------------------------------------------------------
 
@@ -108,15 +110,12 @@ def sharing_value(df: DataFrame, value: str, key: str) -> DataFrame:
 
     One row per record: the partners of a record are all other records with its value, so listing every
     pair would repeat each group as often as it has members. The named partner is the smallest key of
-    the group, or the largest for the smallest itself.
+    the group, or the largest for the smallest itself. A value of any share of all rows spreads over tasks.
     """
-    groups = (
-        df.groupBy(value)
-        .agg(F.count("*").alias("_n"), F.min(key).alias("_low"), F.max(key).alias("_high"))
-        .where("_n > 1")
-    )
+    low, high = F.min(key).alias("_low"), F.max(key).alias("_high")
+    rows = with_group(df, [value], F.count("*").alias("_n"), low, high, where="_n > 1")
     is_low = F.col(key) == F.col("_low")
-    return df.join(groups, value).select(
+    return rows.select(
         *df.columns,
         (F.col("_n") - 1).alias("partners"),
         F.when(is_low, F.col("_high")).otherwise(F.col("_low")).alias("partner"),

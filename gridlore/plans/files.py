@@ -96,8 +96,9 @@ def _index_search(spark, sf, asked):
     """Store the chunk index, load it, and search in what was loaded."""
     path = scratch_path(spark, "chunk-index")
     N.save_index(chunks(spark, sf), path)
-    index = N.load_index(spark, path).withColumn("chars", F.length("content").cast("bigint"))
-    hits = S.lexical_search(asked, index, 3, ["type", "column", "chars"])
+    index = N.load_index(spark, path)
+    stored = index.chunks.withColumn("chars", F.length("content").cast("bigint"))
+    hits = S.lexical_search(asked, stored, 3, ["type", "column", "chars"], index.postings)
     return hits.withColumn("similarity", F.round("similarity", 6)).select(
         "query_id", "rank", "ordinal", "similarity", "type", "column", "chars"
     )

@@ -132,18 +132,18 @@ SAFETY = f"""CASE WHEN regexp_matches(lower(sql_query), '{'|'.join(S.UNSAFE_SQL)
   OR regexp_matches(lower(answer), '{'|'.join(A.HARMFUL_WORDS)}') THEN 0.0 ELSE 1.0 END::DOUBLE"""
 
 RECORDS_SQL = f"""{DAYS_SQL},
-asked AS ({mode_sql('RAG')} UNION ALL {mode_sql('Baseline')}),
-src AS (SELECT {CSV_FILE} AS csv_file, {QUESTION_ID.replace(" d", " CAST(day(ts) AS INTEGER)")} AS question_id, 'RAG' AS mode, event_id AS source_id,
+asked AS MATERIALIZED ({mode_sql('RAG')} UNION ALL {mode_sql('Baseline')}),
+src AS MATERIALIZED (SELECT {CSV_FILE} AS csv_file, {QUESTION_ID.replace(" d", " CAST(day(ts) AS INTEGER)")} AS question_id, 'RAG' AS mode, event_id AS source_id,
   {SIMILARITY} AS similarity, concat_ws(' ', event_type, props) AS content FROM events),
-sq AS (SELECT csv_file, question_id, mode, least(count(*), 5) AS sources, count(*) FILTER (similarity > 0.7) AS high,
+sq AS MATERIALIZED (SELECT csv_file, question_id, mode, least(count(*), 5) AS sources, count(*) FILTER (similarity > 0.7) AS high,
   count(*) FILTER (similarity > 0.5) AS medium FROM src GROUP BY csv_file, question_id, mode),
-parts AS (SELECT csv_file, question_id, question, mode, sql_valid, execution_success,
+parts AS MATERIALIZED (SELECT csv_file, question_id, question, mode, sql_valid, execution_success,
   coalesce(sources, 0) AS retrieved_sources_count, {FACTUALITY} AS factuality_score,
   {COMPLETENESS} AS completeness_score, {FAITHFULNESS} AS faithfulness_score, {SAFETY} AS safety_score
   FROM asked LEFT JOIN sq USING (csv_file, question_id, mode) WHERE errors < n),
-scored AS (SELECT *, round(factuality_score * 0.3::DOUBLE + completeness_score * 0.25::DOUBLE
+scored AS MATERIALIZED (SELECT *, round(factuality_score * 0.3::DOUBLE + completeness_score * 0.25::DOUBLE
   + faithfulness_score * 0.25::DOUBLE + safety_score * 0.2::DOUBLE, 6) AS overall_score FROM parts),
-records AS (SELECT a.csv_file, a.question_id, a.question, a.mode, coalesce(s.sql_valid, false) AS sql_valid,
+records AS MATERIALIZED (SELECT a.csv_file, a.question_id, a.question, a.mode, coalesce(s.sql_valid, false) AS sql_valid,
   coalesce(s.execution_success, false) AS execution_success,
   coalesce(retrieved_sources_count, 0) AS retrieved_sources_count,
   coalesce(factuality_score, 0.1::DOUBLE) AS factuality_score, coalesce(completeness_score, 0.1::DOUBLE) AS completeness_score,

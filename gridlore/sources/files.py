@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlore.functions.text import token_set
-from gridlore.operators.search import normalise
+from gridlore.operators.search import build_postings, normalise
 
 # Cell texts that mean a missing value, and the texts of booleans.
 NA_TOKENS = [
@@ -145,20 +145,22 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.read.schema(schema).json(path)
 
 
+class Index(NamedTuple):
+    """A stored chunk index: chunks(ordinal, type, column, content, vec), and the posting lists of their words."""
+
+    chunks: DataFrame
+    postings: DataFrame
+
+
 def save_index(chunks: DataFrame, path: str) -> None:
-    """Store chunks with their distinct words and unit vectors, so that searches need not repeat that work.
+    """Store chunks with unit vectors, and the posting lists of their words, so that searches need not repeat that work.
 
     chunks(ordinal, type, column, content, vec); a chunk may be without a vector.
     """
-    chunks.select(
-        "ordinal",
-        "type",
-        "column",
-        "content",
-        token_set(F.col("content")).alias("tokens"),
-        F.when(F.col("vec").isNotNull(), normalise(F.col("vec"))).alias("vec"),
-    ).write.parquet(path)
-
-
-def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    unit = F.when(F.col("vec").isNotNull(), normalise(F.col("vec")))
+    chunks.select("ordinal", "type", "column", "content", unit.alias("vec")).write.parquet(f"{path}/chunks")
+    build_postings(chunks).write.parquet(f"{path}/postings")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))

@@ -142,7 +142,7 @@ def test_sql_columns(spark):
         "GROUP BY a, 2 ORDER BY s DESC, a asc LIMIT 3"
     )
     df = spark.createDataFrame([(sql,)], "text string")
-    got = df.select(*[c.alias(k) for k, c in S.sql_columns(T()).items()]).first().asDict()
+    got = S.with_sql_columns(df, T()).drop(*df.columns).first().asDict()
     assert got["selected"] == ["a", "b", "'__STR__'"]
     assert got["conditions"] == ["c", "d"]
     assert got["grouped"] == ["a"] and got["ordered"] == ["s", "a"]
