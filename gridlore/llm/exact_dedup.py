@@ -135,7 +135,8 @@ def exact_groups(docs: DataFrame, moduli: tuple[int, ...] = MODULI, chunk_bytes:
 
     Returns a row per input row: doc_id, keep_id (smallest doc_id of the group), group_size, kept, text_sha256, n_bytes,
     copy, repeats (rows with this id and text). A null text is an empty one; empty texts are equal to each other. Null ids come last: a group without any id
-    has a null keep_id. Of rows that repeat both id and text, the one with copy = 1 stays. Other columns are not read.
+    has a null keep_id. Of rows that repeat both id and text, the one with copy = 1 stays. Texts of any length are compared whole, chunk
+    by chunk. An empty table gives an empty result. Other columns are not read.
     """
     keys = ["_n", *(f"_h{i}" for i in range(len(moduli))), "_round"]
     prints = materialise(fingerprints(docs, moduli, chunk_bytes).withColumn("_round", F.lit(0)), "fingerprints")
@@ -145,6 +146,7 @@ def exact_groups(docs: DataFrame, moduli: tuple[int, ...] = MODULI, chunk_bytes:
             F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "_sha")).alias("_f"),
             F.sum("_rows").alias("group_size"), F.count("*").alias("_members"),
         ).select(*keys, F.col("_f.doc_id").alias("keep_id"), F.col("_f._sha").alias("_first_sha"), "group_size", "_members")
+        first = materialise(first, "firsts")  # written, so that the join with a hot group can be split
         groups = prints.join(first, keys)
         other = materialise(differing(docs, groups, keys, chunk_bytes), "differing")
         if other.isEmpty():
