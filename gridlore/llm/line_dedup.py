@@ -49,11 +49,12 @@ def covered(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """doc_id, _key and _later, the sorted starts of windows that also start earlier; only documents that have any.
 
     First occurrences are found by a partial aggregate, so that a very common window is one row per task before any
-    shuffle; the join back leaves a hot window to the split of skewed joins.
+    shuffle. They are written, because Spark splits a hot window in the join back only if both sides come straight from a shuffle.
     """
     each = materialise(windows(docs, lines), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "_key", "pos")
     first = each.groupBy("a", "b").agg(F.min(place).alias("_first"), F.count("*").alias("_times")).filter("_times > 1")
+    first = materialise(first, "firsts")
     later = each.join(first, ["a", "b"]).filter("NOT (doc_id <=> _first.doc_id AND _key = _first._key AND pos = _first.pos)")
     return later.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set("pos")).alias("_later"))
 
@@ -61,6 +62,8 @@ def covered(docs: DataFrame, lines: int = LINES) -> DataFrame:
 def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """All rows and columns of ``docs``, packed in ``_row``, with _n_lines, _n_removed and _text, the text that is left.
 
+    An empty table gives an empty one; texts of any length are cut into all their lines.
+
     A null text counts as empty and has one empty line. Rows that repeat id and text count as one document for its windows.
     Covered positions are merged in order: a window adds the lines that lie beyond the one before it.
     """
