@@ -153,7 +153,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> Data
     masks = block_masks(max_bits + 2)
     keys = F.array(*(F.struct(F.lit(i).cast("short").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
     keyed = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.key")
-    counts = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    # aggregates are written before rows are joined with them, so that a hot key can be split
+    counts = materialise(keyed.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     met = keyed.join(counts, ["c", "key"]).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     met = met.withColumn("own", F.expr("cast(pmod(xxhash64(fp), tiles) as int)"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -187,14 +188,15 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     """doc_id, fp (long) and component_id, the smallest doc_id that links lead to: one row for every row of ``docs``.
 
     A null text counts as empty; texts without words have fingerprint 0 and are linked like any other. Rows that repeat
-    an id are rows of their own. Null ids are no smallest id: a group without any id has a null component_id. Other
-    columns are not read.
+    an id are rows of their own. Null ids are no smallest id: a group without any id has a null component_id. Texts of any
+    length are read whole. An empty table gives an empty result. Other columns are not read.
     """
     prints = materialise(fingerprints(docs, shingle), "prints")
     values = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "values")
     roots = components(links(values.select("fp"), max_bits)).toDF("fp", "root")
     rooted = values.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = materialise(rooted, "rooted")
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
