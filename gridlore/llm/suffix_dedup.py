@@ -16,7 +16,8 @@ left of them is induced:
    long. Such strings are induced as new tuples, which a last grouping sends to their first place.
 
 Every step is a sort, a grouping or a join of Spark with spilling operators; a task holds one batch of rows. Groups of
-copies of any size are aggregated before they are shuffled, and joins are left to the split of skewed partitions.
+copies of any size are aggregated before they are shuffled. Aggregates are written before rows are joined with them, because
+Spark splits a skewed partition only if both sides of a join come straight from a shuffle.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def sampled_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     each = written(rows.mapInArrow(run, f"doc_id {kind}, _key long, _other long, _n long, _grams array<long>"), "sampled")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id")).alias("_first")
-    firsts = each.groupBy("_key", "_other").agg(least)
+    firsts = written(each.groupBy("_key", "_other").agg(least), "firsts")
     marked = each.join(firsts, ["_key", "_other"]).withColumn("_copy", ~F.col("doc_id").eqNullSafe(F.col("_first.doc_id")))
     out = written(marked.select("doc_id", "_key", "_n", "_copy", F.when(~F.col("_copy"), F.col("_grams")).alias("_grams")), "documents")
     discard(each)
@@ -152,6 +153,7 @@ def repeated_grams(sampled_: DataFrame) -> DataFrame:
     """doc_id, _key and _grams: of every document that is no copy, the hashes that occur more than once."""
     each = sampled_.filter("NOT _copy").select("doc_id", "_key", F.explode("_grams").alias("gram"))
     often = each.groupBy("gram").count().filter("count > 1").select("gram")
+    often = written(often, "often")
     return each.join(often, "gram").groupBy("doc_id", "_key").agg(F.collect_set("gram").alias("_grams"))
 
 
@@ -263,7 +265,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(own)
 
     same = found.groupBy("gram", "c1", "c2").agg(F.min(place).alias("first"))
-    several = same.groupBy("gram").agg(F.count("*").alias("kinds"))
+    same = written(same, "same")
+    several = written(same.groupBy("gram").agg(F.count("*").alias("kinds")), "several")
     same = written(same.join(several, "gram").select("c1", "c2", "first", "kinds"), "kinds")
     again = found.drop("left", "right").join(same.drop("kinds"), ["c1", "c2"]).filter(not_first)
     again = again.withColumns({"start": F.col("at") - F.col("most"), "end": F.col("at") - F.col("least") + length})
@@ -278,6 +281,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     strings = written(induced(by_left, length), "strings")
     discard(by_right)
     firsts = strings.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = written(firsts, "first-strings")
     later = strings.join(firsts, ["w1", "w2"]).filter(not_first)
     later = written(later.select("doc_id", "_key", F.col("at").alias("start"), (F.col("at") + length).alias("end")), "repeated-strings")
     discard(strings)
@@ -289,7 +293,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null text counts as empty; texts shorter than ``length`` bytes stay whole. Null ids come last. Rows that repeat id and
     text are one document; rows that repeat an id with other texts follow each other in a fixed order. Strings are judged on
-    the input, overlaps count, and none crosses documents. Other columns are not read.
+    the input, overlaps count, and none crosses documents. Long texts are cut into overlapping blocks. An empty table gives an
+    empty result. Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = repeated_spans(docs, length).groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(
