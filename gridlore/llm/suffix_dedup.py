@@ -145,16 +145,17 @@ def sampled_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     firsts = written(each.groupBy("_key", "_other").agg(least), "firsts")
     marked = each.join(firsts, ["_key", "_other"]).withColumn("_copy", ~F.col("doc_id").eqNullSafe(F.col("_first.doc_id")))
     out = written(marked.select("doc_id", "_key", "_n", "_copy", F.when(~F.col("_copy"), F.col("_grams")).alias("_grams")), "documents")
-    discard(each)
+    discard(each, firsts)
     return out
 
 
-def repeated_grams(sampled_: DataFrame) -> DataFrame:
-    """doc_id, _key and _grams: of every document that is no copy, the hashes that occur more than once."""
+def repeated_grams(sampled_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, _key and _grams: of every document that is no copy, the hashes that occur more than once. And the written
+    table of those hashes, which the first reads."""
     each = sampled_.filter("NOT _copy").select("doc_id", "_key", F.explode("_grams").alias("gram"))
     often = each.groupBy("gram").count().filter("count > 1").select("gram")
     often = written(often, "often")
-    return each.join(often, "gram").groupBy("doc_id", "_key").agg(F.collect_set("gram").alias("_grams"))
+    return each.join(often, "gram").groupBy("doc_id", "_key").agg(F.collect_set("gram").alias("_grams")), often
 
 
 TUPLE = "gram long, c1 long, c2 long, least int, most int, doc_id {kind}, _key long, at long, right binary, left binary"
@@ -260,14 +261,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     span = ["doc_id", "_key", "start", "end"]
 
     own = sampled_documents(docs, length)
-    found = written(tuples(docs, repeated_grams(own), length), "tuples")
+    grams, often = repeated_grams(own)
+    found = written(tuples(docs, grams, length), "tuples")
     copies = written(own.filter(F.col("_copy") & (F.col("_n") >= length)).selectExpr("doc_id", "_key", "0L AS start", "_n AS end"), "copies")
-    discard(own)
+    discard(own, often)
 
     same = found.groupBy("gram", "c1", "c2").agg(F.min(place).alias("first"))
     same = written(same, "same")
     several = written(same.groupBy("gram").agg(F.count("*").alias("kinds")), "several")
-    same = written(same.join(several, "gram").select("c1", "c2", "first", "kinds"), "kinds")
+    each, same = same, written(same.join(several, "gram").select("c1", "c2", "first", "kinds"), "kinds")
+    discard(each, several)
     again = found.drop("left", "right").join(same.drop("kinds"), ["c1", "c2"]).filter(not_first)
     again = again.withColumns({"start": F.col("at") - F.col("most"), "end": F.col("at") - F.col("least") + length})
     again = written(again.select(*span), "repeated-tuples")
@@ -284,7 +287,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     firsts = written(firsts, "first-strings")
     later = strings.join(firsts, ["w1", "w2"]).filter(not_first)
     later = written(later.select("doc_id", "_key", F.col("at").alias("start"), (F.col("at") + length).alias("end")), "repeated-strings")
-    discard(strings)
+    discard(strings, firsts)
     return copies.unionAll(again).unionAll(later)
 
 
