@@ -1,7 +1,7 @@
 """Token counts by rank-synchronous merging.
 
 Texts are cut into chunks between white space, and chunks into the tokenizer's pre-tokens. A task remembers the symbols of
-chunks it has met; the pre-tokens of new chunks are gathered over many texts and merged together in ragged numpy arrays
+short chunks it has met, up to a bound in bytes; the pre-tokens of new chunks are gathered over many texts and merged together in ragged numpy arrays
 (``word_bpe.Merges``), in each of them all pairs of lowest rank at once. The surviving symbols are counted.
 """
 
@@ -29,7 +29,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     """doc_id, n_bytes, n_tokens, over_limit: one row for every row of ``docs``.
 
     Null and empty texts have no bytes and no tokens. Special strings inside a text are one token each, no others are
-    added, and nothing is cut. Other columns are not read. ``path`` names a tokenizer file that every executor has.
+    added, and nothing is cut; long texts are read in blocks. Repeated rows are counted each for itself, and an empty table gives
+    an empty result. Other columns are not read. ``path`` names a tokenizer file that every executor has.
     """
     path = path or tokenizer_path()
 

@@ -19,7 +19,9 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 BLOCK_CHARS = 1 << 20  # of a text that are cut into words at a time
 GATHERED_CHARS = 1 << 20  # of texts whose new chunks are merged together
 SLOT_BITS = 20  # of the tables in which pairs are looked up
-KNOWN_CHUNKS = 400_000  # that a task remembers
+KNOWN_BYTES = 96 << 20  # of chunks and their ids that a task remembers
+KNOWN_LENGTH = 64  # characters of the longest chunk that is remembered
+ENTRY_BYTES = 200  # of an entry, besides its characters and ids
 
 
 class Words:
@@ -39,6 +41,36 @@ class Words:
         self._white = re.compile(f"[{WHITE_SPACE}]")
         self._whites = re.compile(f"[{WHITE_SPACE}]+")
         self._separators = re.compile("[\x1c-\x1f]")  # white space for str.split, but not for the tokenizer
+        self._path, self._library, self._odd = path, None, None
+
+    @property
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return self._library
+
+    def odd(self, text: str) -> bool:
+        """Whether a text holds a code point that the library may take for something else than this Python does.
+
+        These are the ones that Python's tables have not assigned, and combining marks that the library does not reorder.
+        """
+        if self._odd is None:
+            normalize = self.library.normalizer.normalize_str
+
+            def differs(c: str) -> bool:
+                if not unicodedata.combining(c):
+                    return unicodedata.category(c) == "Cn"
+                marked = f"a\u0345{c}"
+                return normalize(marked) != normalize(unicodedata.normalize("NFC", marked))
+
+            points = [c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))) if differs(c)]
+            low = "".join(map(re.escape, (c for c in points if c <= "\uffff")))
+            # beyond the basic plane a pattern only says that there is something to look up
+            self._odd = re.compile(f"[{low}\U00010000-\U0010ffff]"), frozenset(points)
+        pattern, points = self._odd
+        return pattern.search(text) is not None and not points.isdisjoint(text)
 
     def words_of(self, chunk: str) -> list[str]:
         if chunk.isalpha():  # a run of letters is one word
@@ -58,6 +90,10 @@ class Words:
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
+            if self.odd(text):
+                # chunks that the library has to read are marked by a blank before them
+                parts = [c for c in self._whites.split(text) if c]
+                return [x for c in parts for x in ([" " + c] if self.odd(c) else self._plain(c))]
             if "Σ" in text:
                 text = text.replace("Σ", "σ")  # lowered alone, not by its place in the word
             text = unicodedata.normalize("NFC", text)
@@ -162,27 +198,38 @@ class Merges:
 
 
 class Known:
-    """The ids of chunks that a task has met, as bytes; beyond ``limit`` chunks it forgets them and starts anew."""
+    """The ids of chunks that a task has met, as bytes; beyond ``limit`` bytes it forgets them and starts anew.
+
+    Long chunks, as in texts without blanks, are merged each time and not remembered.
+    """
 
-    def __init__(self, path: str, limit: int = KNOWN_CHUNKS):
+    def __init__(self, path: str, limit: int = KNOWN_BYTES):
         self.words, self.merges, self.limit = Words(path), Merges(path), limit
         self.special = {" " + s: np.array([i], "<u4").tobytes() for s, i in self.words.special.items()}
-        self.of = dict(self.special)
+        self.of, self.held = dict(self.special), 0
 
-    def learn(self, blocks: list[list[str]]) -> None:
-        """Merge the words of all chunks of some blocks that are new, together."""
-        if len(self.of) > self.limit:
-            self.of = dict(self.special)
+    def learn(self, blocks: list[list[str]]) -> dict[str, bytes]:
+        """Merge the words of all chunks of some blocks that are new, together. Returns those that are not remembered."""
+        if self.held > self.limit:
+            self.of, self.held = dict(self.special), 0
         new = list(set().union(*blocks).difference(self.of))
-        if not new:
-            return
+        found = {c: np.array(self.words.library.encode(c[1:], add_special_tokens=False).ids, "<u4").tobytes() for c in new if c[0] == " "}
+        new = [c for c in new if c[0] != " "]
         cut = [self.words.words_of(c) for c in new]
         words = [w.encode() for c in cut for w in c]
         flat, counts = self.merges.ids(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         data = flat.astype("<u4").tobytes()
         ends = np.r_[0, np.cumsum(counts)][np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))] * 4
-        begins = [0, *ends[:-1].tolist()]
-        self.of.update((c, data[b:e]) for c, b, e in zip(new, begins, ends.tolist(), strict=True))
+        begins = [0, *ends.tolist()][: len(ends)]
+        found.update((c, data[b:e]) for c, b, e in zip(new, begins, ends.tolist(), strict=True))
+        once = {}
+        for c, ids in found.items():
+            if len(c) > KNOWN_LENGTH:
+                once[c] = ids
+            else:
+                self.of[c] = ids
+                self.held += ENTRY_BYTES + 2 * len(c) + len(ids)
+        return once
 
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, four bytes each; new chunks of about GATHERED_CHARS characters are merged together."""
@@ -205,6 +252,7 @@ class Known:
         yield from self._settled(rows)
 
     def _settled(self, rows: list[list[str]]) -> list[bytes]:
-        self.learn(rows)
-        of = self.of.__getitem__
+        once = self.learn(rows)
+        known = self.of.get
+        of = (lambda c: once[c] if (ids := known(c)) is None else ids) if once else self.of.__getitem__
         return [b"".join(map(of, chunks)) for chunks in rows]
