@@ -2,20 +2,22 @@
 
 Documents become token ids; those longer than a sequence are cut into pieces, and every piece is an item. In a round,
 items are dealt to tasks of bounded size and every task packs its own by best fit, largest first. Bins that are nearly
-full are done. The underfull ones are items of the next round, in which fewer tasks see more of what is left. Rounds end
-with the one that a single task has packed, or as soon as a round no longer lowers the number of underfull bins.
+full are done, and so are those into which not even the least filled bin fits. The others are items of the next round, in
+which fewer tasks see more of what is left. Rounds end with the one that a single task has packed, or as soon as a round
+no longer lowers the number of bins that could still be merged.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridlore.llm.common import whole_text
 from gridlore.llm.token_counts import tokenizer_path
@@ -26,11 +28,6 @@ SEQUENCE = 2048
 END_ID = 0
 TASK_ITEMS = 40_000  # items that one task packs
 NEARLY_FULL = 0.999  # share of a sequence from which a bin is done
-PROGRESS = 0.98  # a round that leaves more than this share of its items as underfull bins is the last
-
-MEMBERS = T.ArrayType(
-    T.StructType([T.StructField("item", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("offset", T.LongType())])
-)
 
 
 def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -91,38 +88,32 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
 
 
 def _packed(items: DataFrame, room: int, turn: int) -> DataFrame:
-    """Bins of the items of each partition: members (items in their places), fill and a number that no other bin has."""
-    schema = T.StructType(
-        [T.StructField("members", MEMBERS), T.StructField("fill", T.IntegerType()), T.StructField("bin", T.LongType())]
-    )
+    """child, parent, offset, fill: where every item of each partition lies in its bin, and the fill of that bin.
 
-    kind = pa.list_(pa.struct([("item", pa.int64()), ("length", pa.int32()), ("offset", pa.int64())]))
-
-    def in_place(own: list[dict]) -> list[dict]:
-        at = 0
-        for m in own:
-            m["offset"] = at
-            at += m["length"]
-        return own
+    Parents are numbers that no other bin has. A task holds a number and a size for each of its items.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members, sizes = [], []
+        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for b in batches:
-            members += b.column("members").to_pylist()
-            sizes += b.column("fill").to_pylist()
+            ids.append(b.column("bin").to_numpy())
+            sizes.append(b.column("fill").to_numpy().astype(np.int64))
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
         base = (turn << 58) | (TaskContext.get().partitionId() << 32)
-        bins = best_fit(sizes, room)
-        for lo in range(0, len(bins), 5_000):
-            some = bins[lo : lo + 5_000]
-            own = [in_place([m for at in b for m in members[at]]) for b in some]
-            fill = [sum(sizes[at] for at in b) for b in some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own, kind), pa.array(fill, pa.int32()),
-                 pa.array(range(base + lo, base + lo + len(some)), pa.int64())],
-                ["members", "fill", "bin"],
-            )
-
-    return items.mapInArrow(run, schema)
+        bins = best_fit(sizes.tolist(), room)
+        members = np.fromiter(itertools.chain.from_iterable(bins), np.int64, len(sizes))
+        counts = np.fromiter(map(len, bins), np.int64, len(bins))
+        own = sizes[members]
+        starts = np.cumsum(counts) - counts
+        before = np.cumsum(own) - own
+        fills = np.add.reduceat(own, starts) if len(bins) else own
+        offset = before - np.repeat(before[starts], counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[members]), pa.array(np.repeat(base + np.arange(len(bins)), counts)), pa.array(offset), pa.array(np.repeat(fills, counts))],
+            ["child", "parent", "offset", "fill"],
+        )
+
+    return items.mapInArrow(run, "child long, parent long, offset long, fill long")
 
 
 def pack(
@@ -131,35 +122,46 @@ def pack(
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every row of ``docs``.
 
-    A null or empty text is the end id alone. Repeated rows are packed each for itself, and a null id is kept as it is.
-    Other columns are not read; an empty table gives an empty result.
+    A null or empty text is the end id alone. Repeated rows are packed each for itself, and a null id is kept as it is. Long
+    texts are read in blocks. Other columns are not read; an empty table gives an empty result.
+
+    Rounds only move the number and fill of bins. Where items lie within bins, and these within bins of the next round, is
+    kept in one table of links per round; they are followed at the end, from the last round to the first.
     """
     cut = pieces(docs, path, sequence, end_id)
     numbered = materialise(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")
-    whole = numbered.filter(F.col("length") == sequence).select(
-        "item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
-    items = numbered.filter(F.col("length") < sequence).select(
-        F.array(F.struct("item", F.col("length").cast("int").alias("length"), F.lit(0).cast("long").alias("offset"))).alias("members"),
-        F.col("length").cast("int").alias("fill"), F.col("item").alias("bin"),
-    )
-    done, turn, n = [whole], 0, items.count()
+    short = numbered.filter(F.col("length") < sequence)
+    items, n, rounds = short.select(F.col("item").alias("bin"), F.col("length").alias("fill")), short.count(), []
     while n:
         tasks = max(1, -(-n // task_items))
         # a fixed order within tasks that are dealt by number: a task that runs again makes the same bins
-        dealt = items.repartition(tasks, F.xxhash64("bin", F.lit(turn))).sortWithinPartitions("bin").select("members", "fill")
-        bins = materialise(_packed(dealt, sequence, turn), "bins")
-        underfull = bins.filter(F.col("fill") < nearly_full * sequence)
-        left = underfull.count()
-        last = tasks == 1 or left > PROGRESS * n
-        ready = bins if last else bins.filter(F.col("fill") >= nearly_full * sequence)
-        done.append(ready.select("bin", F.explode("members").alias("m")).select("m.item", F.col("bin").alias("sequence_id"), "m.offset"))
-        if last:
+        dealt = items.repartition(tasks, F.xxhash64("bin", F.lit(len(rounds)))).sortWithinPartitions("bin")
+        links = materialise(_packed(dealt, sequence, len(rounds)), "links")
+        rounds.append(links)
+        if tasks == 1:
             break
-        items, n, turn = underfull, left, turn + 1
-    placed = done[0]
-    for some in done[1:]:
-        placed = placed.unionAll(some)
-    return numbered.join(placed, "item").select(
+        underfull = links.filter((F.col("offset") == 0) & (F.col("fill") < nearly_full * sequence)).select(F.col("parent").alias("bin"), "fill")
+        least = underfull.agg(F.min("fill")).first()[0]
+        # a bin that even the least filled one does not fit into is done as well
+        items = underfull.filter(F.col("fill") + F.lit(least) <= sequence) if least is not None else underfull
+        left = items.count()
+        if left < 2 or left >= n:
+            break
+        n = left
+    placed = numbered.filter(F.col("length") == sequence).select(
+        F.col("item").alias("child"), (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    above = None
+    for turn, links in enumerate(reversed(rounds)):
+        own = links.select("child", F.col("parent").alias("sequence_id"), "offset")
+        if above is not None:
+            up = above.toDF("_bin", "_sequence", "_offset")
+            own = links.join(up, F.col("parent") == F.col("_bin"), "left").select(
+                "child", F.coalesce("_sequence", "parent").alias("sequence_id"), (F.col("offset") + F.coalesce("_offset", F.lit(0))).alias("offset")
+            )
+        above = materialise(own, "placed") if turn + 1 < len(rounds) else own
+    if above is not None:
+        placed = placed.unionAll(above)
+    return numbered.join(placed, F.col("item") == F.col("child")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
