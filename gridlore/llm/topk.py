@@ -79,22 +79,25 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, scale: int = SCALE)
 
     Ties go to the smaller vec_id, null last. Vectors that are null or hold null or non-finite components take no part.
     A query meets vectors of its own length only; empty vectors score 0. Rows that repeat a vec_id are the query's own for
-    a query of that id and candidates of their own for others; a query row that repeats id and vector is asked once.
+    a query of that id and candidates of their own for others; a query row that repeats id and vector is asked once. An empty
+    table gives an empty result; other columns are not read.
     """
     whole = vectors.select("vec_id", whole_numbers(F.col("embedding"), scale).alias("v")).filter("v IS NOT NULL")
-    rows = materialise(whole.withColumn("size", F.size("v")), "vectors")
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).withColumn("key", F.xxhash64("vec_id", "v"))
+    # numbered, so that rows without id, or of one id, are dealt like any others
+    rows = materialise(whole.withColumn("size", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "size").dropDuplicates(["vec_id", "v"])
+    asked = asked.withColumn("key", F.xxhash64("vec_id", "v"))
     shards, blocks = (max(1, -(-df.count() // n)) for df, n in ((rows, SHARD), (asked, BLOCK)))
 
-    def numbered(name: str, n: int):
-        return F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(n)).cast("int").alias(name)
+    def numbered(name: str, of: str, n: int):
+        return F.pmod(F.xxhash64(of, F.lit(name)), F.lit(n)).cast("int").alias(name)
 
     def all_of(name: str, n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
     # queries are the smaller side: every block goes to every shard, and a shard is repeated only for further blocks
-    left = asked.select("*", numbered("block", blocks), all_of("shard", shards)).groupBy("size", "block", "shard")
-    right = rows.select("*", numbered("shard", shards), all_of("block", blocks)).groupBy("size", "block", "shard")
+    left = asked.select("*", numbered("block", "key", blocks), all_of("shard", shards)).groupBy("size", "block", "shard")
+    right = rows.select("vec_id", "v", "size", numbered("shard", "row", shards), all_of("block", blocks)).groupBy("size", "block", "shard")
 
     def best(queries: pa.Table, shard: pa.Table) -> pa.Table:
         out: tuple[list[np.ndarray], ...] = ([], [], [], [])
