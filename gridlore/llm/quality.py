@@ -8,10 +8,9 @@ get no weight. The rules that are left are compiled into one column expression,
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,27 +23,29 @@ FOLDS, HELD_OUT = 3, 1
 TREES, DEPTH, SEED = 24, 3, 7
 PENALTY = 0.002
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SYMBOLS = "!#$%&*+/<=>@^_|~{}[]\\"
-DIGITS = "0123456789"
+# what is counted, as classes of characters
+UPPER = "[A-Z]"
+SYMBOLS = r"[!#$%&*+/<=>@^_|~{}\[\]\\]"
+DIGITS = "[0-9]"
+STOPS = "[.,;:?]"
 
 
 def statistics(text: Column) -> dict[str, Column]:
     """Numbers from 0 on that describe a text; null counts as empty. Each is linear in the length of the text."""
     text = F.coalesce(text, F.lit(""))
     chars = F.greatest(F.lit(1), F.length(text)).cast("double")
-    words = F.split(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " +")
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     n_words = F.greatest(F.lit(1), F.size(words)).cast("double")
 
-    def share(letters: str) -> Column:
-        return 1 - F.length(F.translate(text, letters, "")) / chars
+    def share(kind: str) -> Column:
+        return F.regexp_count(text, F.lit(kind)) / chars
 
     return {
         "upper": share(UPPER),
         "symbols": share(SYMBOLS),
         "digits": share(DIGITS),
-        "stops": share(".,;:?"),
-        "lines": share("\n"),
+        "stops": share(STOPS),
+        "lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))) / chars,
         "word_length": chars / n_words,
         "words": F.log1p(n_words),
         "distinct_words": F.size(F.array_distinct(words)) / n_words,
@@ -71,26 +72,23 @@ class Rule:
         return holds
 
 
-def rules_of(forest: str, names: list[str]) -> list[Rule]:
-    """Every path from a root to a node, from the printed form of a forest."""
+def rules_of(forest: RandomForestClassificationModel, names: list[str]) -> list[Rule]:
+    """Every path from a root to a node, the root left out, read from the nodes of the trees."""
     found: dict[Rule, None] = {}
-    path: list[tuple[int, str, float]] = []
-    for line in forest.splitlines():
-        m = re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", line)
-        if not m:
-            path = [] if "Tree" in line else path
-            continue
-        depth = len(m[1])
-        path = [p for p in path if p[0] < depth] + [(depth, f"{m[2]} {m[3]}", float(m[4]))]
-        bounds: dict[str, list[float]] = {}
-        for _, test, at in path:
-            feature, sign = test.split()
-            own = bounds.setdefault(names[int(feature)], [-math.inf, math.inf])
-            if sign == ">":
-                own[0] = max(own[0], at)
-            else:
-                own[1] = min(own[1], at)
-        found[Rule(tuple((n, lo, hi) for n, (lo, hi) in sorted(bounds.items())))] = None
+
+    def walk(node, path: dict[str, tuple[float, float]]) -> None:
+        if path:
+            found[Rule(tuple((n, lo, hi) for n, (lo, hi) in sorted(path.items())))] = None
+        if node.getClass().getSimpleName() != "InternalNode":
+            return
+        split = node.split()
+        name, at = names[split.featureIndex()], float(split.threshold())
+        low, high = path.get(name, (-math.inf, math.inf))
+        walk(node.leftChild(), {**path, name: (low, min(high, at))})
+        walk(node.rightChild(), {**path, name: (max(low, at), high)})
+
+    for tree in forest.trees:
+        walk(tree._call_java("rootNode"), {})
     return list(found)
 
 
@@ -134,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     forest = RandomForestClassifier(
         featuresCol="x", labelCol="_label", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=5, seed=SEED, featureSubsetStrategy="onethird"
     ).fit(table)
-    rules = rules_of(forest.toDebugString, names)
+    rules = rules_of(forest, names)
     if not rules:
         return Model((), (), math.log(ones / (n - ones)))
     held = known.select("_label", *(r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)))
@@ -146,7 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row for every row of ``docs``; empty and null texts are scored too."""
+    """doc_id, held_out, score, predicted: one row for every row of ``docs``; empty, null and very long texts are scored too.
+
+    Rows that repeat an id are scored each for itself, and a row without id is not held out. An empty table gives an empty result.
+    """
     rows = _measured(docs.select("doc_id", "text"), F.col("text"))
     rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -211,10 +212,56 @@ def test_quality_odd_rows(spark, odd, empty):
     assert quality.accepted(odd, model, 0.0).count() == odd.count()
     for some in (labels.limit(0), labels.filter("quality = 1")):  # nothing to tell apart
         assert quality.fit(docs, some).rules == ()
-    r = quality.Rule((("upper", 0.1, 0.5), ("words", -float("inf"), 2.0)))
-    assert quality.rules_of(
-        "  Tree 0 (weight 1.0):\n    If (feature 0 <= 0.5)\n     If (feature 0 > 0.1)\n      If (feature 1 <= 2.0)\n", ["upper", "words"]
-    )[-1] == r
+
+
+def plain_statistics(text):
+    """The statistics of a text by their definition."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    chars, n = max(1, len(text)), max(1, len(words))
+
+    def share(letters):
+        return sum(c in letters for c in text) / chars
+
+    return {
+        "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "symbols": share("!#$%&*+/<=>@^_|~{}[]\\"), "digits": share("0123456789"),
+        "stops": share(".,;:?"), "lines": share("\n"), "word_length": chars / n, "words": math.log1p(n), "distinct_words": len(set(words)) / n,
+    }
+
+
+def test_quality_as_by_plain_python(spark, rows, odd):
+    """Statistics, rules and the logistic sum, recomputed for every text from the fitted rules and weights."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.rules and all(r.bounds for r in model.rules)
+    for frame, texts in ((docs, rows), (odd, [(r.doc_id, r.text or "") for r in odd.collect()])):
+        found = quality._measured(frame.select("doc_id", "text"), quality.F.col("text")).drop("text").collect()
+        want = sorted(((i, tuple(plain_statistics(t).values())) for i, t in texts), key=str)
+        assert [i for i, _ in want] == [r[0] for r in sorted(found, key=str)]
+        assert Counter((r[0], *(round(x, 9) for x in r[1:])) for r in found) == Counter((i, *(round(x, 9) for x in v)) for i, v in want)
+        scores = Counter()
+        for i, t in texts:
+            s = plain_statistics(t)
+            z = model.intercept + sum(
+                w for r, w in zip(model.rules, model.weights, strict=True) if all(low < s[n] <= high for n, low, high in r.bounds)
+            )
+            scores[i, round(1 / (1 + math.exp(-z)), 9)] += 1
+        assert Counter((r.doc_id, round(r.score, 9)) for r in quality.scored(frame, model).collect()) == scores
+
+
+def test_rules_are_the_paths_of_the_trees(spark):
+    """A tree of two splits gives a rule for each of its nodes but the root."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.linalg import Vectors
+
+    data = [(float(x > 3 and y > 5), Vectors.dense(float(x), float(y))) for x in range(10) for y in range(10)]
+    forest = RandomForestClassifier(
+        labelCol="l", featuresCol="x", numTrees=1, maxDepth=2, featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=False, seed=1
+    ).fit(spark.createDataFrame(data, ["l", "x"]))
+    rules = {r.bounds for r in quality.rules_of(forest, ["a", "b"])}
+    assert len(rules) == 4 and all(1 <= len(b) <= 2 for b in rules)
+    both = [b for b in rules if len(b) == 2]
+    assert {n for n, _, _ in both[0]} == {"a", "b"}
+    assert any(all(low > 0 and high == math.inf for _, low, high in b) for b in both)
 
 
 def test_search_prunes_and_agrees_with_brute_force():
