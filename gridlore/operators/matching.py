@@ -82,8 +82,10 @@ def _lengths(size: Column) -> Column:
 def _similar(asked: DataFrame, known: DataFrame) -> DataFrame:
     """(a, c, ratio): all pairs of words of asked(a) and known(c) with a ratio of at least the cutoff.
 
-    With at most d edits, one of d + 1 parts of the known word stands unchanged in the other, moved by d letters at most.
-    Words therefore meet by equal length of both, number and text of a part; the ratio is computed for these pairs only.
+    With at most d edits, let i be the first of d + 1 parts of the known word such that parts 0 to i have i edits at most. All
+    of these come before part i, which stands unchanged, and at most d - i come after it. So it has moved by i letters at most,
+    and the difference of the lengths, less that, is d - i at most: few places for each part. Words meet by equal length of
+    both, number and text of a part; the ratio is computed for these pairs only.
     """
     c, a = F.col("c"), F.col("a")
 
@@ -102,7 +104,9 @@ def _similar(asked: DataFrame, known: DataFrame) -> DataFrame:
 
         def around(i: Column) -> Column:
             size = begin(i + 1, lc, d) - begin(i, lc, d)
-            starts = F.filter(F.sequence(begin(i, lc, d) - d, begin(i, lc, d) + d), lambda s: (s >= 0) & (s + size <= la))
+            least, most = F.greatest(-i, la - lc - d + i), F.least(i, la - lc + d - i)
+            moves = F.when(least <= most, F.sequence(least, F.greatest(least, most))).otherwise(F.array().cast("array<int>"))
+            starts = F.filter(F.transform(moves, lambda m: begin(i, lc, d) + m), lambda s: (s >= 0) & (s + size <= la))
             return F.transform(starts, lambda s: F.struct(
                 la.alias("la"), lc.alias("lc"), i.alias("i"), F.substring(a, s + 1, size).alias("part")
             ))
