@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlore.operators.search import build_postings, normalise
+from gridlore.sources.records import CSV, JSON, split_records
 
 # Cell texts that mean a missing value, and the texts of booleans.
 NA_TOKENS = [
@@ -36,12 +38,22 @@ def read_csv(
 
     With a schema, its columns are found by their names in the header, in any order, the file is read once, and cells
     that do not fit become null; further files must have the header of the first. Without one a pass over the text
-    finds the types. Line breaks inside quotes need ``multi_line``, which gives up splitting files.
+    finds the types. Line breaks inside quotes need ``multi_line``, with which byte ranges of the files are read twice, by any
+    number of tasks, to find where records end.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    reader = spark.read.option("header", True).option("escape", '"')
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if schema is not None:
+    if multi_line:
+        records = split_records(spark, path, CSV)
+        first = records.where("place = 4").orderBy("file").limit(1).collect()
+        header = _header(first[0].record) if first else (schema.names if schema is not None else [])
+        wanted = schema.names if schema is not None else header
+        rows = records.select("place", F.regexp_replace("record", r"\r?\n$", "").alias("record")).where("place <> 4 AND record <> ''")
+        text_schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        cells = F.from_csv("record", F.lit(", ".join(f"`{c}` STRING" for c in header)), {"escape": '"'}) if header else None
+        text = rows.select(cells.alias("r")).select(*[F.col(f"r.`{c}`") for c in wanted]) if header else spark.createDataFrame([], text_schema)
+    elif schema is not None:
         header = reader.option("inferSchema", False).csv(path).columns or schema.names  # reads the first line only
         text_schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
         text = reader.schema(text_schema).option("enforceSchema", False).csv(path)
@@ -55,6 +67,11 @@ def read_csv(
     return cells.select(*[_typed(F.col(f"`{c}`"), types[c]).alias(c) for c in cells.columns])
 
 
+def _header(record: str) -> list[str]:
+    """The names in the first record of a CSV file."""
+    return next(csv.reader([record.rstrip("\r\n")]))
+
+
 def _typed(text: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return text
@@ -99,8 +116,9 @@ def write_csv(df: DataFrame, path: str, missing: str = "") -> None:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str = QA_SCHEMA) -> DataFrame:
-    """Files that each hold one JSON array of records."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Files that each hold one JSON array of records, read in byte ranges by any number of tasks."""
+    records = split_records(spark, path, JSON).select(F.from_json("record", schema).alias("r"))
+    return records.select("r.*")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA) -> DataFrame:
@@ -108,14 +126,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA)
     return spark.read.schema(schema).json(path)
 
 
-ARRAY_BYTES = 1 << 24  # of a file with one JSON array, which a single task reads as a whole
+ARRAY_BYTES = 1 << 24  # of a file with one JSON array
 
 
 def write_json_arrays(df: DataFrame, path: str, files: int | None = None) -> None:
     """Records as files that each hold one JSON array; a task writes its file record by record.
 
     There are as many files as the bytes of the records ask for at about ``ARRAY_BYTES`` each, or so many as are given.
-    Records are dealt in turn, so that equal ones spread. JSON lines, which can be split, are the form for large tables.
+    Records are dealt in turn, so that equal ones spread.
     """
     text = df.select(F.to_json(F.struct("*")).alias("value"))
     if files is None:
