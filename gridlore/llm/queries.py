@@ -92,7 +92,10 @@ def op6_topk_search(spark, sf):
 
 
 def _term_sql(terms: tuple[str, ...]) -> str:
-    return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INTEGER)" for t in terms)
+    """The number of terms that stand in a URL in a form that is theirs."""
+    owner = {f: t for t in reversed((*url_filter.STRICT, *url_filter.SOFT)) for f in url_filter.forms(t)}
+    own = {t: "|".join(f for f in url_filter.forms(t) if owner[f] == t) for t in terms}
+    return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9])({f})([^a-z0-9]|$)') AS INTEGER)" for f in own.values() if f)
 
 
 _RULE_SQL = " ".join(

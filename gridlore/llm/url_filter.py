@@ -22,14 +22,48 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-# own vocabulary: one of these rejects a URL
-STRICT = ("adult", "casino", "escort", "hentai", "malware", "phishing", "porn", "porno", "sex", "spam", "viagra", "warez", "xxx")
+# own vocabulary, which a file or table can replace (``vocabulary``): one of these rejects a URL
+STRICT = (
+    "adult", "bestiality", "bordello", "brothel", "casino", "camgirl", "camsex", "erotic", "erotica", "escort", "fetish", "gambling", "hardcore",
+    "hentai", "hookup", "incest", "malware", "milf", "nude", "nudity", "orgy", "phishing", "porn", "porno", "pornography", "prostitute", "ransomware",
+    "roulette", "sex", "sexcam", "spam", "spyware", "sportsbook", "stripper", "swinger", "trojan", "viagra", "cialis", "voyeur", "warez", "xxx",
+)
 # ... and so do two different ones of these
 SOFT = (
-    "ads", "bet", "bets", "bonus", "cheap", "click", "coupon", "crack", "dating", "deal", "farm", "free", "gambling", "jackpot",
-    "keygen", "loan", "loans", "pills", "poker", "promo", "replica", "slots", "torrent", "track", "tracker", "win", "winner",
+    "ad", "advert", "affiliate", "baccarat", "bargain", "bet", "bingo", "blackjack", "bonus", "botnet", "cashback", "cheap", "cheat", "clickbait",
+    "click", "coupon", "crack", "cracked", "dating", "deal", "diet", "discount", "download", "drug", "exploit", "farm", "free", "freebie", "gamble",
+    "giveaway", "hack", "jackpot", "keygen", "lender", "loan", "lottery", "lotto", "mortgage", "offer", "payday", "pharmacy", "pill", "pirate", "poker",
+    "popup", "prize", "promo", "promotion", "proxy", "replica", "rich", "seduce", "serial", "sexy", "singles", "slot", "spin", "steroid",
+    "supplement", "sweepstake", "torrent", "track", "tracker", "unlock", "unlocked", "wager", "weightloss", "win", "winner",
 )
 SOFT_HITS = 2
+MAX_TERMS = 1_000_000  # of a vocabulary, whose automaton every task builds
+
+
+def forms(term: str) -> tuple[str, ...]:
+    """A term and its regular inflections: plural, -ed and -ing."""
+    vowels = "aeiou"
+    out = [term, term + "es" if term.endswith(("s", "x", "z", "ch", "sh")) else term + "s"]
+    stem = term
+    if len(term) > 2 and term[-1] == "y" and term[-2] not in vowels:
+        out.append(term[:-1] + "ies")
+    if term.endswith("e"):
+        stem = term[:-1]
+    elif len(term) == 3 and term[0] not in vowels and term[1] in vowels and term[2] not in vowels + "wxy":
+        stem = term + term[-1]
+    return tuple(dict.fromkeys([*out, stem + "ed", stem + "ing"]))
+
+
+def vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a table terms(term, strict boolean), at most ``MAX_TERMS``; for ``judge``.
+
+    Terms are lower-cased; a term with both weights is strict; rows without term or weight are left out.
+    """
+    rows = terms.selectExpr("lower(trim(term)) AS term", "strict").where("term <> '' AND strict IS NOT NULL")
+    rows = rows.groupBy("term").agg(F.max("strict").alias("strict")).orderBy("term").limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"a vocabulary has at most {MAX_TERMS} terms")
+    return tuple(r.term for r in rows if r.strict), tuple(r.term for r in rows if not r.strict)
 
 
 def host_of(url: Column) -> Column:
@@ -52,8 +86,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def term_hits(rows: DataFrame, strict=STRICT, soft=SOFT) -> DataFrame:
-    """Adds strict_hits and soft_hits, the numbers of different terms in the column ``_url``; null counts as empty."""
+    """Adds strict_hits and soft_hits, the numbers of different terms in the column ``_url``; null counts as empty.
+
+    A term counts in any of its forms, once; a form that two terms share counts for the strict one, or else the first.
+    """
     kinds = {**dict.fromkeys(soft, 1), **dict.fromkeys(strict, 0)}
+    of: dict[str, str] = {}
+    for term in (*strict, *soft):
+        for form in forms(term):
+            of.setdefault(form, term)
     schema = T.StructType([*rows.schema, *(T.StructField(c, T.IntegerType()) for c in ("strict_hits", "soft_hits"))])
 
     def bounded(text: str, start: int, end: int) -> bool:
@@ -64,14 +105,14 @@ def term_hits(rows: DataFrame, strict=STRICT, soft=SOFT) -> DataFrame:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for term in kinds:
-            automaton.add_word(term, term)
+        for form, term in of.items():
+            automaton.add_word(form, (form, term))
         automaton.make_automaton()
         for b in batches:
             counts: tuple[list[int], list[int]] = ([], [])
             for url in b.column("_url").to_pylist():
                 text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in url or "")
-                found = {t for end, t in automaton.iter(text) if bounded(text, end - len(t) + 1, end + 1)}
+                found = {t for end, (f, t) in automaton.iter(text) if bounded(text, end - len(f) + 1, end + 1)}
                 for k in (0, 1):
                     counts[k].append(sum(kinds[t] == k for t in found))
             yield pa.RecordBatch.from_arrays(
@@ -85,7 +126,8 @@ def term_hits(rows: DataFrame, strict=STRICT, soft=SOFT) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
     """page_id, host, path, rule, verdict, strict_hits, soft_hits: one row for every row of ``pages``.
 
-    A null URL, or one without ``://``, has an empty host and path; no rule fits it. Other columns are not read.
+    A null URL, or one without ``://``, has an empty host and path; no rule fits it. URLs of any length are read whole, and repeated
+    rows are judged each for itself. An empty table gives an empty result. Other columns are not read.
     """
     hits = term_hits(pages.select("page_id", F.col("url").alias("_url")), strict, soft)
     parts = hits.withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url")))

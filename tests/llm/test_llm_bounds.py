@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gridlore.llm import packing, topk, word_bpe
+from gridlore.llm import packing, topk, url_filter, word_bpe
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -100,3 +100,25 @@ def test_rows_without_id_spread_over_shards(spark, monkeypatch):
         assert [r.score for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == scores[:5]
     sizes = frame.selectExpr("pmod(xxhash64(monotonically_increasing_id(), 'shard'), 24) AS s").groupBy("s").count()
     assert sizes.agg({"count": "max"}).first()[0] < 3 * 64
+
+
+def test_forms_and_vocabulary_of_a_table(spark):
+    assert url_filter.forms("bet") == ("bet", "bets", "betted", "betting")
+    assert url_filter.forms("gamble") == ("gamble", "gambles", "gambled", "gambling")
+    assert {"pharmacies", "crashes", "pills"} <= {f for t in ("pharmacy", "crash", "pill") for f in url_filter.forms(t)}
+    terms = spark.createDataFrame(
+        [("Bad", True), ("meh", False), ("bad", False), (None, True), ("", True), ("odd", None), ("so", False), ("meh", False)], "term string, strict boolean"
+    )
+    strict, soft = url_filter.vocabulary(terms)
+    assert (strict, soft) == (("bad",), ("meh", "so"))
+    urls = ["http://x.org/badding", "http://x.org/badly", "http://meh.org/mehs", "http://meh.org/so", "HTTP://BADS.org", None, "", "http://x.org/" + "a/" * 200_000 + "bad"]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate([*urls, *urls])], "page_id int, url string, strict_hits int")
+    got = sorted((r.page_id, r.strict_hits, r.soft_hits, r.verdict) for r in url_filter.judge(pages, (), strict, soft).collect())
+    want = [(1, 0, "block"), (0, 0, "allow"), (0, 1, "allow"), (0, 2, "block"), (1, 0, "block"), (0, 0, "allow"), (0, 0, "allow"), (1, 0, "block")]
+    assert got == [(i, *w) for i, w in enumerate([*want, *want])]
+    assert url_filter.judge(pages.limit(0), (), strict, soft).collect() == []
+    monster = spark.range(5).selectExpr("concat('t', id) AS term", "true AS strict")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(url_filter, "MAX_TERMS", 4)
+        with pytest.raises(ValueError, match="at most 4"):
+            url_filter.vocabulary(monster)
