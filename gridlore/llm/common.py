@@ -28,14 +28,14 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("_row.*")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write an intermediate table small, and let go of the shuffle files behind it, which nothing reads any more."""
     path = scratch_path(df.sparkSession, name)
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, "false")
     conf.set(key, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -142,7 +142,7 @@ def sampled_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     each = written(rows.mapInArrow(run, f"doc_id {kind}, _key long, _other long, _n long, _grams array<long>"), "sampled")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id")).alias("_first")
-    firsts = written(each.groupBy("_key", "_other").agg(least), "firsts")
+    firsts = written(each.groupBy("_key", "_other").agg(least), "firsts", "snappy")
     marked = each.join(firsts, ["_key", "_other"]).withColumn("_copy", ~F.col("doc_id").eqNullSafe(F.col("_first.doc_id")))
     out = written(marked.select("doc_id", "_key", "_n", "_copy", F.when(~F.col("_copy"), F.col("_grams")).alias("_grams")), "documents")
     discard(each, firsts)
@@ -154,7 +154,7 @@ def repeated_grams(sampled_: DataFrame) -> tuple[DataFrame, DataFrame]:
     table of those hashes, which the first reads."""
     each = sampled_.filter("NOT _copy").select("doc_id", "_key", F.explode("_grams").alias("gram"))
     often = each.groupBy("gram").count().filter("count > 1").select("gram")
-    often = written(often, "often")
+    often = written(often, "often", "snappy")
     return each.join(often, "gram").groupBy("doc_id", "_key").agg(F.collect_set("gram").alias("_grams")), often
 
 
@@ -267,8 +267,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(own, often)
 
     same = found.groupBy("gram", "c1", "c2").agg(F.min(place).alias("first"))
-    same = written(same, "same")
-    several = written(same.groupBy("gram").agg(F.count("*").alias("kinds")), "several")
+    same = written(same, "same", "snappy")
+    several = written(same.groupBy("gram").agg(F.count("*").alias("kinds")), "several", "snappy")
     each, same = same, written(same.join(several, "gram").select("c1", "c2", "first", "kinds"), "kinds")
     discard(each, several)
     again = found.drop("left", "right").join(same.drop("kinds"), ["c1", "c2"]).filter(not_first)
@@ -284,7 +284,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     strings = written(induced(by_left, length), "strings")
     discard(by_right)
     firsts = strings.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    firsts = written(firsts, "first-strings")
+    firsts = written(firsts, "first-strings", "snappy")
     later = strings.join(firsts, ["w1", "w2"]).filter(not_first)
     later = written(later.select("doc_id", "_key", F.col("at").alias("start"), (F.col("at") + length).alias("end")), "repeated-strings")
     discard(strings, firsts)
