@@ -348,3 +348,37 @@ def _column_chunks(profile: DataFrame) -> DataFrame:
         "column",
         content.alias("content"),
     )
+
+
+GUIDANCE = (
+    ("is_unique", "Columns that identify a record", "join two copies of the table on them, or tell its records apart by them"),
+    ("is_grouping", "Columns with few values", "group by them, or pair records within the same value"),
+    ("is_match", "Columns that records can share", "pair records that agree in them and differ in an identifying column"),
+)
+PAIRING = (
+    "Records with the same value: join the table with itself on a shared column, where the identifying columns differ.",
+    "Repeated values: group by a shared column and keep groups of more than one record.",
+    "Pairs within a group: join on the grouping and the shared column, where one identifier is the smaller.",
+)
+
+
+def join_guidance(df: DataFrame, key: str, shown: int | None = None) -> DataFrame:
+    """One chunk that says by which columns records of a table can be joined, grouped and matched.
+
+    Lists name all columns of a class in the order of the table, or the first ``shown``; a class without columns has no line.
+    ``key`` orders the rows, for the first value of text columns.
+    """
+    places = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "position int, name string")
+    traits = P.key_candidates(df, key).join(F.broadcast(places), F.col("column") == F.col("name"))
+    # one row per column of the table
+    lists = traits.agg(*(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col(flag), F.struct("position", "column")))), lambda c: c["column"]).alias(flag)
+        for flag, _, _ in GUIDANCE
+    ))
+
+    def line(flag: str, title: str, use: str) -> Column:
+        names = F.col(flag) if shown is None else F.slice(flag, 1, shown)
+        return F.when(F.size(flag) > 0, F.concat(F.lit(f"{title}: "), F.array_join(names, ", "), F.lit(f" ({use})")))
+
+    text = F.concat_ws("\n", *(line(*g) for g in GUIDANCE), *(F.lit(p) for p in PAIRING))
+    return lists.select(F.lit("join_guidance").alias("chunk_id"), F.lit("join_patterns").alias("type"), text.alias("content"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlore.operators.grouped import with_group
+from gridlore.operators.sequences import with_rank
 
 
 # ---- filters -------------------------------------------------------------------------------------
@@ -201,3 +202,13 @@ def leading_group(groups: DataFrame, name: str, value: str) -> DataFrame:
     first = groups.orderBy(F.col(value).desc(), F.col(name).asc()).limit(1)
     counted = groups.select(F.count("*")).scalar()
     return first.select(counted.alias("groups"), F.col(name).alias("leader"), F.col(value).alias("leader_value"))
+
+
+def group_summary(groups: DataFrame, name: str, value: str) -> DataFrame:
+    """All groups of a result by value, largest first (ties: smallest name), with their place, whether they lead, and the
+    number of groups. Groups without a value come last and never lead. The order is made in ranges, so that any number of groups will do.
+    """
+    ranked = with_rank(groups, [F.col(value).desc_nulls_last(), F.col(name).asc()], "place")
+    counted = groups.select(F.count("*")).scalar()
+    leads = (F.col("place") == 1) & F.col(value).isNotNull()
+    return ranked.select(name, value, F.col("place").cast("bigint").alias("place"), leads.alias("leads"), counted.alias("groups"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlore.operators import chunks as H
 from gridlore.operators import cleaning as C
 from gridlore.operators import profile as P
 from gridlore.plans.registry import query
@@ -271,7 +272,7 @@ def quality_duplicates(spark, sf):
     return P.duplicates(events).withColumn("duplicate_pct", F.round("duplicate_pct", 6))
 
 
-@query("profile_key_candidates", union_sql(ORDER_COLUMNS, """
+KEY_CANDIDATES_SQL = union_sql(ORDER_COLUMNS, """
 SELECT '{c}' AS "column", count(DISTINCT {c}) AS distinct_values, count({c}) AS non_null,
        regexp_matches('{c}', 'id|code|number|no') AS id_like, count(DISTINCT {c}) = count({c}) AS is_unique,
        count(DISTINCT {c}) <> count({c}) AND count(DISTINCT {c}) < 20 AS is_grouping,
@@ -284,12 +285,34 @@ SELECT 'ship_note', count(DISTINCT n), count(n), true, count(DISTINCT n) = count
        count(DISTINCT n) <> count(n) AND count(DISTINCT n) < 20,
        len(string_split(arg_min(n, o_orderkey), '-')) = 3
 FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS n FROM orders)
-""")
+"""
+
+
+def orders_with_note(spark, sf):
+    return table(spark, sf, "orders").withColumn("ship_note", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+@query("profile_key_candidates", KEY_CANDIDATES_SQL)
 def profile_key_candidates(spark, sf):
-    orders = table(spark, sf, "orders").withColumn(
-        "ship_note", F.date_format("o_orderdate", "yyyy-MM-dd")
-    )
-    return P.key_candidates(orders, "o_orderkey")
+    return P.key_candidates(orders_with_note(spark, sf), "o_orderkey")
+
+
+def guidance_sql():
+    names = [*ORDER_COLUMNS, "ship_note"]
+    places = "[" + ", ".join(f"'{c}'" for c in names) + "]"
+    lines = [
+        f"(SELECT '{title}: ' || string_agg(\"column\", ', ' ORDER BY list_position({places}, \"column\")) || ' ({use})' FROM t WHERE {flag})"
+        for flag, title, use in H.GUIDANCE
+    ]
+    return ", ".join([*lines, *(f"'{p}'" for p in H.PAIRING)])
+
+
+@query("join_guidance", f"""
+WITH t AS ({KEY_CANDIDATES_SQL})
+SELECT 'join_guidance' AS chunk_id, 'join_patterns' AS type, concat_ws(chr(10), {guidance_sql()}) AS content
+""")
+def join_guidance(spark, sf):
+    return H.join_guidance(orders_with_note(spark, sf), "o_orderkey")
 
 
 def format_sql(c):

@@ -368,6 +368,18 @@ def group_leader(spark, sf):
     return R.leading_group(groups, "p_brand", "price")
 
 
+@query("group_summary", """
+WITH g AS (SELECT c_mktsegment || '/' || c_nationkey AS segment, CAST(nullif(sum(CAST(c_acctbal AS DECIMAL(18,2))), 0) AS DOUBLE) AS balance
+           FROM customer GROUP BY 1)
+SELECT segment, balance, row_number() OVER (ORDER BY balance DESC NULLS LAST, segment) AS place,
+       row_number() OVER (ORDER BY balance DESC NULLS LAST, segment) = 1 AND balance IS NOT NULL AS leads, (SELECT count(*) FROM g) AS groups FROM g
+""")
+def group_summary(spark, sf):
+    segment = F.concat_ws("/", "c_mktsegment", "c_nationkey").alias("segment")
+    groups = table(spark, sf, "customer").groupBy(segment).agg(F.nullif(F.sum(R.money("c_acctbal")), F.lit(0)).cast("double").alias("balance"))
+    return R.group_summary(groups, "segment", "balance")
+
+
 # ---- windows, sort, limit ------------------------------------------------------------------------
 
 
