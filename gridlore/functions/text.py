@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # and AFTER replace \w and \b, whose meaning for letters outside ASCII depends on the regex engine.
 WORD = r"[\p{L}\p{N}_]+"
 START = r"(?<![\p{L}\p{N}_])"
-NAME = f"{START}({WORD})"
+NAME = f"{START}({WORD}+)"  # possessive: what follows a name is never part of a word, so there is nothing to give back
 BEFORE = r"(?:^|[^\p{L}\p{N}_])"
 AFTER = r"(?:$|[^\p{L}\p{N}_])"
 
@@ -70,7 +70,7 @@ SEARCH_SKIP_WORDS = ["give", "the", "and", "for", "with", "have", "from"]
 PAIR_PARTS = ["=", ":"]
 PAIR_PATTERNS = [
     rf"{NAME}\s*[=:]\s*['\"]?({WORD})['\"]?",
-    rf"{START}({WORD}\s+{WORD})\s*[=:]\s*['\"]?({WORD})['\"]?",
+    rf"{START}({WORD}+\s++{WORD}+)\s*[=:]\s*['\"]?({WORD})['\"]?",
 ]
 
 LIMIT_PATTERN = rf"{BEFORE}(?:top|first|limit to|show only)\s+\p{{Nd}}+{AFTER}"
@@ -179,28 +179,31 @@ def one_line(text: Column) -> Column:
 
 def search_terms(text: Column) -> Column:
     """The question, its words each with their upper case, then names and values of 'X = Y' pairs."""
-    question = one_line(text)
     skip = F.array(*[F.lit(w) for w in SEARCH_SKIP_WORDS])
-    words = F.filter(
-        extract_all(question, WORD),
-        lambda w: (F.length(w) >= 3) & ~F.array_contains(skip, F.lower(w)),
-    )
-    both_cases = F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w))))
-    pairs = [
-        F.flatten(
-            extract_pairs(
-                question,
-                p,
-                PAIR_PARTS,
-                lambda left, right: F.array(
-                    F.upper(F.regexp_replace(F.trim(left), r"\s+", "_")), F.upper(right)
-                ),
-            )
+
+    def terms(question: Column) -> Column:
+        words = F.filter(
+            extract_all(question, WORD),
+            lambda w: (F.length(w) >= 3) & ~F.array_contains(skip, F.lower(w)),
         )
-        for p in PAIR_PATTERNS
-    ]
-    terms = F.flatten(F.array(F.array(question), both_cases, *pairs))
-    return F.filter(F.array_distinct(terms), lambda t: t != "")
+        both_cases = F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w))))
+        pairs = [
+            F.flatten(
+                extract_pairs(
+                    question,
+                    p,
+                    PAIR_PARTS,
+                    lambda left, right: F.array(
+                        F.upper(F.regexp_replace(F.trim(left), r"\s+", "_")), F.upper(right)
+                    ),
+                )
+            )
+            for p in PAIR_PATTERNS
+        ]
+        return F.filter(F.array_distinct(F.flatten(F.array(F.array(question), both_cases, *pairs))), lambda t: t != "")
+
+    # a list of one is transformed, so that the question is put on one line once
+    return F.get(F.transform(F.array(one_line(text)), terms), F.lit(0))
 
 
 def analysis_terms(text: Column, mentions_used: int | None = None) -> Column:
