@@ -45,8 +45,8 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight asks for.
 
-    A null source is a source of its own, last in order; documents of equal size are taken in order of id, null last; texts without
-    words take no part in any share and are left out with an expectation of none.
+    A null source is a source of its own, last in order; documents of equal size are taken in order of id, null last; a text without
+    words has size 0 and is taken as often as its place asks for, but a source without any words is not taken.
     """
     return mixing.mixed(docs)
 
