@@ -36,6 +36,7 @@ from gridlore.llm.common import discard, written
 LENGTH = 100
 GRAM = 16
 BLOCK = 1 << 19  # bytes whose strings are sampled at a time
+BATCH_ROWS = 500  # whose texts are worked on at a time
 PLACE_BITS = 20  # of a rank, for the place in the block: of equal bytes, the leftmost is lowest
 
 
@@ -114,6 +115,13 @@ def samples(texts: list[bytes], length: int = LENGTH):
         yield rows[part], place - begins[part] + offsets[part], hashes.view(np.int64), least, most
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that a task holds copies and results of few texts at a time."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.slice(lo, rows)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """doc_id, _key (a hash of the text) and text as bytes. Rows that repeat id and text are one document."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -130,7 +138,7 @@ def sampled_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = _texts(docs).withColumn("_other", F.xxhash64(F.lit("other"), "_bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             own = b.column("_bytes").to_pylist()
             found = list(samples(own, length))
             none = np.zeros(0, np.int64)
@@ -173,7 +181,7 @@ def tuples(docs: DataFrame, grams: DataFrame, length: int = LENGTH) -> DataFrame
     names = [c.split()[0] for c in TUPLE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             own = b.column("_bytes").to_pylist()
             known = [np.sort(np.asarray(g.as_py(), np.int64)) for g in b.column("_grams")]
             for rows, places, hashes, least, most in samples(own, length):
@@ -306,7 +314,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = _texts(docs).join(spans, F.expr("doc_id <=> _id AND _key = _k"), "left").select("doc_id", "_bytes", "_starts", "_ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for text, starts, ends in zip(*(b.column(c) for c in ("_bytes", "_starts", "_ends")), strict=True):
                 data, left, n = text.as_py(), [], 0
