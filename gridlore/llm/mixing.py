@@ -57,7 +57,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """doc_id, source, size, source_size, target, copies, taken: one row for every row of ``docs``.
 
     A null text has size 0, a null source is a source of its own. Repeated rows are rows of their own. Other columns are
-    not read. An empty table gives an empty result; sources without words have target 0 and are not taken.
+    not read. An empty table gives an empty result; sources without words have target 0 and are not taken. Texts of any
+    length are counted whole.
     """
     order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_last()]
     sized = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")

@@ -147,6 +147,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for every row of ``docs``; empty, null and very long texts are scored too.
 
     Rows that repeat an id are scored each for itself, and a row without id is not held out. An empty table gives an empty result.
+    Other columns are not read.
     """
     rows = _measured(docs.select("doc_id", "text"), F.col("text"))
     rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))

@@ -70,3 +70,4 @@ def test_odd_rows_pass_all_stages(spark, odd, empty):
             df = stage(spark, df, SF)
         assert (df.count() > 0) == (docs.count() > 0)
     assert pipeline.good_quality(spark, odd, SF).columns == odd.columns
+    assert pipeline.good_quality(spark, empty, SF).collect() == []
