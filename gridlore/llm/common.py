@@ -29,7 +29,11 @@ def unpacked(rows: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write an intermediate table small, and let go of the shuffle files behind it, which nothing reads any more."""
+    """Write an intermediate table small, and let go of the shuffle files behind it, which nothing reads any more.
+
+    Spark has that as a setting of the session, which is put back after the write. A job that another thread starts meanwhile
+    lets go of its own shuffle files as well, once it has ended; its result is the same.
+    """
     path = scratch_path(df.sparkSession, name)
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, "false")
