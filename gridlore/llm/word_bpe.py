@@ -56,6 +56,11 @@ class Words:
 
         These are the ones that Python's tables have not assigned, and combining marks that the library does not reorder.
         """
+        try:
+            text.encode("latin-1")  # the quickest test: none of these letters is odd
+            return False
+        except UnicodeEncodeError:
+            pass
         if self._odd is None:
             normalize = self.library.normalizer.normalize_str
 
@@ -253,6 +258,9 @@ class Known:
 
     def _settled(self, rows: list[list[str]]) -> list[bytes]:
         once = self.learn(rows)
-        known = self.of.get
-        of = (lambda c: once[c] if (ids := known(c)) is None else ids) if once else self.of.__getitem__
-        return [b"".join(map(of, chunks)) for chunks in rows]
+        self.of.update(once)
+        of = self.of.__getitem__
+        out = [b"".join(map(of, chunks)) for chunks in rows]
+        for c in once:
+            del self.of[c]
+        return out
