@@ -18,6 +18,7 @@ from gridlore.session import materialise
 TOP_VALUES = 10
 COMMON_VALUES = 3
 FIRST_VALUES = 8
+KEPT_VALUES = 1024  # of a column, in a task's sketch
 FEW_DISTINCT = 20
 TYPICAL_RANGE_MIN_ROWS = 10
 ID_WORDS = ["id", "code", "number", "no"]
@@ -122,17 +123,9 @@ def duplicates(df: DataFrame) -> DataFrame:
     )
 
 
-def value_counts(
-    df: DataFrame, columns: list[str] | None = None, ordinal: str | None = None
-) -> DataFrame:
-    """(column, value, n[, first]) with values as text; the one shuffle that value reports share.
-
-    Partial counts shrink a hot value to one row per task before the shuffle. ``first`` is the smallest
-    ordinal at which the value occurs.
-    """
-    columns = columns or df.columns
+def _cells(df: DataFrame, columns: list[str], ordinal: str | None = None) -> DataFrame:
+    """(column, value) with values as text, one row per cell that is not null; with the ordinal of its row if asked for."""
     kind = families(df)
-    numeric = set(kind["numeric"])
     fractional = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
 
     def text(c: str) -> Column:
@@ -143,16 +136,25 @@ def value_counts(
         return x.cast("string").alias(c)
 
     ids = [F.col(f"`{ordinal}`").alias("_ordinal")] if ordinal else []
-    cells = (
-        df.select(*ids, *[text(c) for c in columns])
-        .unpivot(
-            ["_ordinal"] if ordinal else [], [F.col(f"`{c}`") for c in columns], "column", "value"
-        )
-        .where("value IS NOT NULL")
+    long = df.select(*ids, *[text(c) for c in columns]).unpivot(
+        ["_ordinal"] if ordinal else [], [F.col(f"`{c}`") for c in columns], "column", "value"
     )
+    return long.where("value IS NOT NULL")
+
+
+def value_counts(
+    df: DataFrame, columns: list[str] | None = None, ordinal: str | None = None
+) -> DataFrame:
+    """(column, value, n[, first]) with values as text; the one shuffle that value reports share.
+
+    Partial counts shrink a hot value to one row per task before the shuffle. ``first`` is the smallest
+    ordinal at which the value occurs.
+    """
+    columns = columns or df.columns
+    numeric = set(families(df)["numeric"])
     aggs = [F.count("*").alias("n")] + ([F.min("_ordinal").alias("first")] if ordinal else [])
     is_number = F.col("column").isin([c for c in columns if c in numeric])
-    return cells.groupBy("column", "value").agg(*aggs).withColumn("is_number", is_number)
+    return _cells(df, columns, ordinal).groupBy("column", "value").agg(*aggs).withColumn("is_number", is_number)
 
 
 def split_value(counts: DataFrame) -> list[Column]:
@@ -179,6 +181,61 @@ def top_values(counts: DataFrame, n: int = TOP_VALUES) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def heavy_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VALUES) -> DataFrame:
+    """The same as ``top_values(value_counts(df, columns), n)``, for columns in which a few values are common.
+
+    Every task sums up the values of a column in a sketch of bounded size, which never counts a value too often, and too rarely
+    by no more than a known number. The most frequent values of all sketches are then counted exactly in a second scan. If the
+    n-th of them is more frequent than any value that was left out can be, they are the answer, and nothing else has been
+    shuffled. Columns without such values, as keys, are counted in full.
+    """
+    columns = columns or df.columns
+    kept = KEPT_VALUES
+    cells = _cells(df, columns)
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[str, int]] = {}
+        missed: dict[str, int] = {}
+        for b in batches:
+            counts = pa.Table.from_batches([b]).group_by(["column", "value"]).aggregate([([], "count_all")])
+            for column, value, times in zip(*(counts.column(c).to_pylist() for c in ("column", "value", "count_all")), strict=True):
+                own = known.setdefault(column, {})
+                own[value] = own.get(value, 0) + times
+            for column, own in known.items():
+                if len(own) > 2 * kept:
+                    # what is taken off is what any value can have lost by it
+                    cut = sorted(own.values(), reverse=True)[kept]
+                    missed[column] = missed.get(column, 0) + cut
+                    known[column] = {v: c - cut for v, c in own.items() if c > cut}
+        rows = [(c, v, times) for c, own in known.items() for v, times in own.items()] + [(c, None, m) for c, m in missed.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())],
+            ["column", "value", "low"],
+        )
+
+    sums = cells.mapInArrow(sketched, "column string, value string, low long").groupBy("column", "value").agg(F.sum("low").alias("low"))
+    sums = materialise(sums, "value-sketch")
+    w = Window.partitionBy("column").orderBy(F.col("low").desc(), "value")
+    ranked = sums.where("value IS NOT NULL").withColumn("rank", F.row_number().over(w))
+    # so many rows per column at most
+    candidates = materialise(ranked.where(F.col("rank") <= kept).select("column", "value"), "value-candidates")
+    counted = cells.join(F.broadcast(candidates), ["column", "value"]).groupBy("column", "value").agg(F.count("*").alias("n"))
+    numeric = [c for c in columns if c in set(families(df)["numeric"])]
+    counted = materialise(counted.withColumn("is_number", F.col("column").isin(numeric)), "heavy-values")
+    top = top_values(counted, n)
+    # a value that is no candidate has at most its count in the sketches, that of the first one left out, and all they can have missed
+    others = ranked.where(F.col("rank") == kept + 1).select("column", F.col("low").alias("others"))
+    missed = sums.where("value IS NULL").select("column", F.col("low").alias("missed"))
+    nth = top.groupBy("column").agg(F.min("n").alias("nth"), F.count("*").alias("found"))
+    state = sums.select("column").distinct().join(nth, "column", "left").join(others, "column", "left").join(missed, "column", "left")
+    bound = F.coalesce("others", F.lit(0)) + F.coalesce("missed", F.lit(0))
+    open_ = state.where((bound > 0) & ((F.coalesce("nth", F.lit(0)) <= bound) | (F.coalesce("found", F.lit(0)) < n))).select("column").collect()  # of the table's columns
+    full = {r.column for r in open_}
+    rest = [c for c in columns if c in full]
+    done = top.where(~F.col("column").isin(rest))
+    return done.unionByName(top_values(value_counts(df, rest), n)) if rest else done
+
+
 def category_share(top: DataFrame) -> DataFrame:
     """Share of each listed value among the listed values of its column."""
     return top.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("column")))

@@ -165,6 +165,22 @@ def profile_top_values(spark, sf):
     return top.select("column", *P.split_value(top), "n", "rank")
 
 
+HEAVY_NUMBERS = ["l_quantity", "l_discount", "l_tax", "l_partkey", "l_extendedprice"]
+
+
+@query("profile_heavy_values", f"WITH {LINES_SQL}, {long_sql('lines', HEAVY_NUMBERS, ['l_returnflag', 'l_linestatus'])}" + """
+SELECT "column", text, number, n, rank FROM (
+  SELECT "column", text, number, count(*) AS n,
+         CAST(row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, number, text) AS INTEGER) AS rank
+  FROM cells WHERE text IS NOT NULL OR number IS NOT NULL GROUP BY "column", text, number)
+WHERE rank <= 10
+""")
+def profile_heavy_values(spark, sf):
+    lines = lines_with_gaps(spark, sf)
+    top = P.heavy_values(lines, [*HEAVY_NUMBERS, "l_returnflag", "l_linestatus"])
+    return top.select("column", *P.split_value(top), "n", "rank")
+
+
 @query("category_share", f"WITH {PARTS_SQL}, {long_sql('parts', [], PART_TEXT)}," + """
 top AS (SELECT "column", text, count(*) AS n,
                row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, text) AS rank

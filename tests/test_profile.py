@@ -110,3 +110,20 @@ def test_key_candidates(spark):
 def test_histogram_of_constant(spark):
     df = spark.createDataFrame([(2.0,)] * 3, "x double")
     assert [(r.bin, r.n) for r in P.histogram(df, "x").collect()] == [(0, 3)]
+
+
+@pytest.mark.parametrize("kept", [3, 20, 1024])
+def test_heavy_values_are_the_top_values(spark, monkeypatch, kept):
+    """Common, evenly spread and unique values, ties at the end of the list, few values and none; for sketches of any size."""
+    monkeypatch.setattr(P, "KEPT_VALUES", kept)
+    rnd = np.random.default_rng(8)
+    n = 3000
+    rows = [
+        (str(int(x)), int(y), str(i), float(i % 4), None if i % 3 else "z", None, bool(i % 2))
+        for i, (x, y) in enumerate(zip(rnd.geometric(0.3, n), rnd.integers(0, 300, n)))
+    ]
+    df = spark.createDataFrame(rows, "hot string, even long, key string, few double, gaps string, none string, flag boolean").repartition(5)
+    for most in (2, 10):
+        got = sorted(map(tuple, P.heavy_values(df, n=most).select("column", "value", "n", "rank").collect()))
+        want = P.top_values(P.value_counts(df), most).select("column", "value", "n", "rank").collect()
+        assert got == sorted(map(tuple, want))
