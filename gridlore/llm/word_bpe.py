@@ -64,18 +64,18 @@ class Words:
         if self._odd is None:
             normalize = self.library.normalizer.normalize_str
 
-            def differs(c: str) -> bool:
-                if not unicodedata.combining(c):
-                    return unicodedata.category(c) == "Cn"
+            def moved(c: str) -> bool:
                 marked = f"a\u0345{c}"
                 return normalize(marked) != normalize(unicodedata.normalize("NFC", marked))
 
-            points = [c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))) if differs(c)]
-            low = "".join(map(re.escape, (c for c in points if c <= "\uffff")))
-            # beyond the basic plane a pattern only says that there is something to look up
-            self._odd = re.compile(f"[{low}\U00010000-\U0010ffff]"), frozenset(points)
-        pattern, points = self._odd
-        return pattern.search(text) is not None and not points.isdisjoint(text)
+            marks = frozenset(c for c in map(chr, range(0x300, 0x110000)) if unicodedata.combining(c) and moved(c))
+            plane = map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000)))
+            low = "".join(re.escape(c) for c in plane if c in marks or unicodedata.category(c) == "Cn")
+            self._odd = re.compile(f"[{low}]"), re.compile("[\U00010000-\U0010ffff]"), marks
+        low, high, marks = self._odd
+        if low.search(text):
+            return True
+        return any(c in marks or unicodedata.category(c) == "Cn" for c in set(high.findall(text)))
 
     def words_of(self, chunk: str) -> list[str]:
         if chunk.isalpha():  # a run of letters is one word
