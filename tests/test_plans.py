@@ -12,6 +12,7 @@ from gridlore.operators import matching as M
 from gridlore.operators import quantiles as N
 from gridlore.operators import relational as R
 from gridlore.operators import sequences as Q
+from gridlore.plans.retrieval import chunks
 from gridlore.session import materialise, scratch_path
 from gridlore.sources.tables import table
 
@@ -69,6 +70,13 @@ def test_ranks_are_cut_before_the_shuffle(spark, name):
     assert "Partial" in limits and "Final" in limits
 
 
+def test_signatures_of_chunks_go_before_the_join(spark):
+    """What follows a found chunk is read without moving its text."""
+    text = plan(chunks(spark, FOLDER).select("ordinal", "type", "column", "signature"))
+    moved = text[text.index("Join") :]
+    assert "sha2(" in moved and "sha2(" not in text[: text.index("Join")]
+
+
 def test_sums_go_before_the_join(spark):
     text = query_plan(spark, "sales_by_category")
     assert text.index("Join") < text.index("partial_sum((cast(l_extendedprice")
