@@ -29,3 +29,10 @@ def test_contexts_of_all_documents(spark, folder):
     got = {r.query_id: r.context for r in found(spark, folder, "build_context_by_documents")}
     assert set(got) == {q for i, *_ in ROWS for q in (i, -1 - i)}
     assert all(got[i].startswith(f"Question: {text}\n") and text in got[i].split("\n", 1)[1] for i, text, *_ in ROWS)
+
+
+def test_all_documents_are_searched_by_their_terms(spark, folder):
+    got = found(spark, folder, "fused_search_by_documents")
+    vectors = {-1 - i for i, *_ in ROWS}  # no text holds their word
+    assert {r.query_id for r in got} == {i for i, *_ in ROWS} | vectors
+    assert {(i, i) for i, *_ in ROWS} <= {(r.query_id, r.ordinal) for r in got}
