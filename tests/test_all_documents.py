@@ -36,3 +36,9 @@ def test_all_documents_are_searched_by_their_terms(spark, folder):
     vectors = {-1 - i for i, *_ in ROWS}  # no text holds their word
     assert {r.query_id for r in got} == {i for i, *_ in ROWS} | vectors
     assert {(i, i) for i, *_ in ROWS} <= {(r.query_id, r.ordinal) for r in got}
+
+
+def test_all_documents_are_searched_by_their_words(spark, folder):
+    got = found(spark, folder, "lexical_search_by_documents")
+    assert {r.query_id for r in got} == {i for i, *_ in ROWS}
+    assert {(i, i, 1.0) for i, *_ in ROWS} <= {(r.query_id, r.ordinal, r.similarity) for r in got}
